@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op5_language_id
+from .ngram_jaccard import op10_ngram_jaccard
 from .packing import op9_packing
 from .quality_rules import op2_quality_rules
 from .secret_scans import op3_secret_scans
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_language_id,
         op7_exact_dedup,
         op9_packing,
+        op10_ngram_jaccard,
     )
 }
 
