@@ -135,10 +135,10 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, win: int, k: int) -> tuple[
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty, empty
     at = chosen[start]
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[start[1:]] != doc[start[:-1]])])
     last = np.r_[first[1:], len(start)] - 1
     a = at[first]
-    return grams[a], doc[a], a, a - start[first], a - start[last]
+    return grams[a], doc[start[first]], a, a - start[first], a - start[last]
 
 
 def runs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,8 @@ from .packing import op9_packing
 from .quality_rules import op2_quality_rules
 from .secret_scans import op3_secret_scans
 from .sharding import op1_sharding
+from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -20,8 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_sharding,
         op2_quality_rules,
         op3_secret_scans,
+        op4_substring_dedup,
         op5_language_id,
         op7_exact_dedup,
+        op8_suffix_dedup,
         op9_packing,
         op10_ngram_jaccard,
     )
