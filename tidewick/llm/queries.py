@@ -12,6 +12,7 @@ from .ngram_jaccard import op10_ngram_jaccard
 from .packing import op9_packing
 from .quality_rules import op2_quality_rules
 from .secret_scans import op3_secret_scans
+from .sentencepieces import op6_sentencepieces
 from .sharding import op1_sharding
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secret_scans,
         op4_substring_dedup,
         op5_language_id,
+        op6_sentencepieces,
         op7_exact_dedup,
         op8_suffix_dedup,
         op9_packing,
