@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import features, signals  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "volume_spike"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
