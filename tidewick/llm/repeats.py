@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, anchors, byte_table, mixed, small_batches, words_of
+from .common import Rolling, anchors, byte_table, mixed, small_batches, stored, words_of
 
 #: Symbols of a buffer that is worked on at once; longer documents are cut into overlapping parts.
 BUFFER = 1 << 21
@@ -148,14 +148,9 @@ def repeated(docs: DataFrame, kind: Kind, first_stays: bool) -> DataFrame:
     window stays; otherwise every window that starts at two places goes.
     """
     small_batches(docs.sparkSession)
-    out = None
-    rows = docs.mapInArrow(partial(_runs, kind=kind), _ROWS)
-    for level, width in enumerate((0, *kind.widths)):
-        if level:
-            held = by_document(split, "at", "lo", "hi").withColumnRenamed("doc_id", "__d")  # noqa: F821
-            rows = docs.join(held, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "ranges").mapInArrow(partial(_slices, kind=kind, width=width), _ROWS)
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
-        met = rows.join(groups.select(F.col("key").alias("k"), (F.col("u0") == F.col("u1")).alias("alike")), F.col("key") == F.col("k")).drop("k", "u")
+    out, split = None, None
+    for width in (0, *kind.widths):
+        met = stored(_met(docs, kind, width, split))
         alike = met.where("alike")
         if first_stays:
             place: Column = F.struct("doc_id", "lo")
@@ -167,6 +162,19 @@ def repeated(docs: DataFrame, kind: Kind, first_stays: bool) -> DataFrame:
     return out
 
 
+def _met(docs: DataFrame, kind: Kind, width: int, split: DataFrame | None) -> DataFrame:
+    """Runs whose key another run has too, and whether all runs of the key are alike. width 0: the runs around anchors."""
+    if split is None:
+        rows = docs.mapInArrow(partial(_runs, kind=kind), _ROWS)
+    else:
+        held = by_document(split, "at", "lo", "hi").withColumnRenamed("doc_id", "__d")
+        rows = docs.join(held, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "ranges")
+        rows = stored(rows.mapInArrow(partial(_slices, kind=kind, width=width), _ROWS))
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
+    groups = groups.select(F.col("key").alias("k"), (F.col("u0") == F.col("u1")).alias("alike"))
+    return rows.join(groups, F.col("key") == F.col("k")).drop("k", "u")
+
+
 def covered(ranges: list[tuple[int, int]], win: int) -> list[tuple[int, int]]:
     """Maximal runs of symbols that windows starting in the ranges cover."""
     out: list[tuple[int, int]] = []
