@@ -48,7 +48,7 @@ class Pieces:
             ends.setdefault(piece[-2:], set()).add(len(piece))
         #: Lengths of the pieces of two characters or more that end with these two, longest first.
         self.lengths = {x: sorted(n, reverse=True) for x, n in ends.items() if len(x) == 2}
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.stable = lru_cache(1 << 19)(self._stable)
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the adjacent pair of the best rank first, the leftmost of equals."""
@@ -125,12 +125,20 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     pieces = Pieces(path)
-    words = [t.encode() for t in pieces.text]
+    words = [t.replace(MARK, " ").encode() for t in pieces.text]
     for byte, i in pieces.bytes.items():
         words[i] = bytes([byte])
-    mark = MARK.encode()
+    table = np.frombuffer(b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size) - size
     for batch in batches:
-        texts = [b"".join([words[i] for i in ids]).replace(mark, b" ")[1:].decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+        texts = []
+        for ids in batch.column(1):
+            ids = ids.values.to_numpy()
+            n = size[ids]
+            end = np.cumsum(n)
+            at = np.repeat(start[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)
+            texts.append(table[at[1:]].tobytes().decode("utf-8", "replace"))  # the first byte is the first mark
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
 
