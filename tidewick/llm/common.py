@@ -38,21 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing before it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    _tidy(kept.sparkSession)
+    return kept
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder: for tables too wide or long for cut().
+def _tidy(spark: SparkSession) -> None:
+    """Shuffle files that nothing needs any more go with the driver's garbage, so it is asked to collect it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Shuffle files that nothing needs any more go with the driver's garbage, so it is asked to collect it.
-    """
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder: for tables too wide or long for cut()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _tidy(spark)
     return spark.read.schema(schema).parquet(path)
 
 
