@@ -7,24 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("d")
+
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("d")
 
 
 def back(column: str | Column, n: int = 1) -> Column:
-    return F.lag(column, n).over(BY_SYMBOL)
+    return F.lag(column, n).over(by_symbol())
 
 
 def ahead(column: str | Column, n: int = 1) -> Column:
-    return F.lead(column, n).over(BY_SYMBOL)
+    return F.lead(column, n).over(by_symbol())
 
 
 def roll(f: Callable[[Column], Column], column: str | Column, n: int, end: int = 0) -> Column:
     """f over the n rows that end `end` rows before this one (0: with this one); null unless n values are there."""
     column = F.col(column) if isinstance(column, str) else column
-    frame = BY_SYMBOL.rowsBetween(-(n - 1) - end, -end)
+    frame = by_symbol().rowsBetween(-(n - 1) - end, -end)
     return F.when(F.count(column).over(frame) == n, f(column).over(frame))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_SYMBOL, ahead, back, roll, true
+from ..functions.rolling import by_symbol, ahead, back, roll, true
 
 
 def volume_spike(bars: DataFrame, multiple: float = 2.0, least_change: float = 0.03, log_days: int | None = 60) -> DataFrame:
@@ -53,7 +53,7 @@ def keep_first(marked: DataFrame, flag: str, apart: int = 5) -> DataFrame:
     Whether a bar stays depends on the one kept before it, so flagged bars are folded in order. Only
     flagged bars enter the fold.
     """
-    rows = marked.withColumn("__i", F.row_number().over(BY_SYMBOL)).where(flag)
+    rows = marked.withColumn("__i", F.row_number().over(by_symbol())).where(flag)
     lists = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), "d"))).alias("at"))
     kept = F.aggregate(
         "at",

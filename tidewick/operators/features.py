@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_SYMBOL, ahead, back, roll, true
+from ..functions.rolling import by_symbol, ahead, back, roll, true
 
 RETURNS = (1, 5, 10, 20)
 HORIZONS = (5, 10, 20)
@@ -29,7 +29,7 @@ def with_volatility(frame: DataFrame) -> DataFrame:
 
 def with_rank(frame: DataFrame, previous: int = RANK_WINDOW, name: str = "vol20_rank") -> DataFrame:
     """Share of the `previous` last values of vol20, today's not among them, that are below today's."""
-    frame = frame.withColumn("__past", F.collect_list("vol20").over(BY_SYMBOL.rowsBetween(-previous, -1)))
+    frame = frame.withColumn("__past", F.collect_list("vol20").over(by_symbol().rowsBetween(-previous, -1)))
     below = F.size(F.filter("__past", lambda x: x < F.col("vol20")))
     return frame.withColumn(name, F.when((F.size("__past") == previous) & F.col("vol20").isNotNull(), below / previous)).drop("__past")
 
@@ -89,7 +89,7 @@ def climax() -> Column:
 
 def with_climax(frame: DataFrame) -> DataFrame:
     frame = frame.withColumn("climax", climax())
-    return frame.withColumn("climax3", F.max("climax").over(BY_SYMBOL.rowsBetween(-2, 0)))
+    return frame.withColumn("climax3", F.max("climax").over(by_symbol().rowsBetween(-2, 0)))
 
 
 def index_columns(index: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def join_index(frame: DataFrame, index: DataFrame, fill: int = 3) -> DataFrame:
     """frame with the index columns of its date; gaps take the value of at most `fill` rows before."""
     columns = [c for c in index.columns if c != "d"]
     frame = frame.join(F.broadcast(index), "d", "left")  # one row per session of one symbol
-    past = BY_SYMBOL.rowsBetween(-fill, 0)
+    past = by_symbol().rowsBetween(-fill, 0)
     return frame.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
 
 
@@ -114,7 +114,7 @@ def with_labels(frame: DataFrame) -> DataFrame:
 
 def with_path(frame: DataFrame, steps: int = PATH) -> DataFrame:
     """path: cumulative forward log returns of 1 to `steps` sessions, null unless all are known."""
-    closes = F.collect_list("c").over(BY_SYMBOL.rowsBetween(1, steps))
+    closes = F.collect_list("c").over(by_symbol().rowsBetween(1, steps))
     frame = frame.withColumn("__next", closes)
     return frame.withColumn("path", F.when(F.size("__next") == steps, F.transform("__next", lambda x: F.ln(x / F.col("c"))))).drop("__next")
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DAY = Window.partitionBy("symbol", "d").orderBy("acc")
 MIN_ORDERS = 100
 MIN_SIZE = 500
 #: (longest gap in seconds, fewest orders) of the two passes that look for a steady beat, and of the last one, for even gaps.
@@ -17,11 +16,15 @@ BASKET_SYMBOLS = 5
 SKIPPED = (9 * 3600 + 15 * 60, 13 * 3600)
 
 
+def day() -> WindowSpec:
+    return Window.partitionBy("symbol", "d").orderBy("acc")
+
+
 def active_orders(ticks: DataFrame) -> DataFrame:
     """symbol, d, i, sec, side (B or S), vol, price: ticks of one second and side in a row, auctions left out first."""
     rows = ticks.where(F.col("side").isin("PS", "PB")).withColumn("side", F.when(F.col("side") == "PS", "B").otherwise("S"))
-    new = ~(F.col("sec").eqNullSafe(F.lag("sec").over(DAY)) & F.col("side").eqNullSafe(F.lag("side").over(DAY)))
-    rows = rows.withColumn("i", F.sum(new.cast("int")).over(DAY))
+    new = ~(F.col("sec").eqNullSafe(F.lag("sec").over(day())) & F.col("side").eqNullSafe(F.lag("side").over(day())))
+    rows = rows.withColumn("i", F.sum(new.cast("int")).over(day()))
     return rows.groupBy("symbol", "d", "i").agg(
         F.first("sec").alias("sec"), F.first("side").alias("side"), F.sum("vol").alias("vol"), F.max_by("price", "acc").alias("price")
     )

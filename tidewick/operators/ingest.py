@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DAY = Window.partitionBy("symbol", "d").orderBy("acc")
+
+def day() -> WindowSpec:
+    return Window.partitionBy("symbol", "d").orderBy("acc")
+
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def shortfall(ticks: DataFrame, share: float = 0.002, points: int = 3) -> DataFr
 
     Rejected: more ticks than counted, a gap above the share, or one in too many places.
     """
-    rows = ticks.withColumn("__jump", (F.col("acc") != F.coalesce(F.lag("acc").over(DAY), F.lit(0)) + F.col("vol")).cast("int"))
+    rows = ticks.withColumn("__jump", (F.col("acc") != F.coalesce(F.lag("acc").over(day()), F.lit(0)) + F.col("vol")).cast("int"))
     out = rows.groupBy("symbol", "d").agg((F.max("acc") - F.sum("vol")).alias("gap"), F.sum("__jump").alias("gap_points"), F.max("acc").alias("__acc"))
     bad = (F.col("gap") < 0) | (F.col("gap") > share * F.col("__acc")) | ((F.col("gap") > 0) & (F.col("gap_points") > points))
     return out.withColumn("accepted", ~bad).drop("__acc")

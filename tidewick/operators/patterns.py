@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_SYMBOL, roll, true
+from ..functions.rolling import by_symbol, roll, true
 
 #: Fixed values of the rules.
 SMALL, DOJI, SHADOW, OTHER_SHADOW, SOLID, BIG = 0.30, 0.10, 2.0, 0.10, 0.60, 0.80
@@ -57,11 +57,11 @@ class Candle:
 
 def with_lags(bars: DataFrame) -> DataFrame:
     """bars with the prices of this bar and the four before it, mean body of 10, mean volume and highest close of 20 bars before."""
-    lags = {f"__{x}{n}": F.lag(x, n).over(BY_SYMBOL) if n else F.col(x) for x in "ohlc" for n in range(5)}
+    lags = {f"__{x}{n}": F.lag(x, n).over(by_symbol()) if n else F.col(x) for x in "ohlc" for n in range(5)}
     return bars.withColumns(
         lags
         | {
-            "__row": F.row_number().over(BY_SYMBOL),
+            "__row": F.row_number().over(by_symbol()),
             "__body10": roll(F.avg, F.abs(F.col("c") - F.col("o")), 10, 1),
             "__v20": roll(F.avg, "v", 20, 1),
             "__c20": roll(F.max, "c", 20, 1),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_SYMBOL, ahead, back, roll, true
+from ..functions.rolling import by_symbol, ahead, back, roll, true
 
 FVG_MIN, FVG_LIFE = 0.5, 20
 DISPLACEMENT, DISPLACED_WITHIN, LIFE = 1.5, 3, 60
@@ -17,7 +17,7 @@ FIRST_BLOCK = 20
 
 def numbered(bars: DataFrame) -> DataFrame:
     """bars with t: the row number within the symbol, from 0."""
-    return bars.withColumn("t", F.row_number().over(BY_SYMBOL) - 1)
+    return bars.withColumn("t", F.row_number().over(by_symbol()) - 1)
 
 
 def swings(bars: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def breaks(bars: DataFrame) -> DataFrame:
     found = []
     for up in (True, False):
         own = marks.where(F.col("up") == up).select("symbol", "t", F.struct("s", "p").alias("__at"))
-        met = rows.join(own, ["symbol", "t"], "left").withColumn("__at", F.last("__at", ignorenulls=True).over(BY_SYMBOL))
+        met = rows.join(own, ["symbol", "t"], "left").withColumn("__at", F.last("__at", ignorenulls=True).over(by_symbol()))
         beyond = F.col("c") > F.col("__at.p") if up else F.col("c") < F.col("__at.p")
         found.append(met.where(beyond).groupBy("symbol", "__at.s", "__at.p").agg(F.min("t").alias("t")).withColumn("up", F.lit(up)))
     first = found[0].unionByName(found[1])
@@ -93,7 +93,7 @@ def levels_in_force(bars: DataFrame) -> DataFrame:
 
     rows = rows.join(side(True, "__hi"), ["symbol", "t"], "left").join(side(False, "__lo"), ["symbol", "t"], "left")
     for name in ("__hi", "__lo"):
-        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(BY_SYMBOL))
+        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(by_symbol()))
 
     def alive(name: str) -> Column:
         return F.when(F.col(f"{name}.broken").isNull() | (F.col(f"{name}.broken") > F.col("t")), F.col(f"{name}.p"))
@@ -155,9 +155,9 @@ def climaxes(bars: DataFrame) -> DataFrame:
 def ranges(bars: DataFrame, win: int = 20, prior: int = 40) -> DataFrame:
     """symbol, d, lo, hi: sideways ranges of 20 bars after a fall: 6 to 35 % high, both edges touched twice, hardly any slope."""
     hi, lo = roll(F.max, "h", win), roll(F.min, "l", win)
-    rows = numbered(bars).withColumns({"hi": hi, "lo": lo, "__before": roll(F.max, "c", prior, win), "__h": F.collect_list("h").over(BY_SYMBOL.rowsBetween(1 - win, 0)), "__l": F.collect_list("l").over(BY_SYMBOL.rowsBetween(1 - win, 0))})
+    rows = numbered(bars).withColumns({"hi": hi, "lo": lo, "__before": roll(F.max, "c", prior, win), "__h": F.collect_list("h").over(by_symbol().rowsBetween(1 - win, 0)), "__l": F.collect_list("l").over(by_symbol().rowsBetween(1 - win, 0))})
     band = 0.15 * (F.col("hi") - F.col("lo"))
-    rows = rows.withColumn("slope", F.regr_slope("c", "t").over(BY_SYMBOL.rowsBetween(1 - win, 0)) / roll(F.avg, "c", win))
+    rows = rows.withColumn("slope", F.regr_slope("c", "t").over(by_symbol().rowsBetween(1 - win, 0)) / roll(F.avg, "c", win))
     height = F.col("hi") / F.col("lo") - 1
     return rows.where(
         height.between(0.06, 0.35)
@@ -177,8 +177,8 @@ def reversals(bars: DataFrame, least: int = 2, look: int = 10, life: int = 20) -
     out = []
     for up in (True, False):
         rows = numbered(bars).withColumn("same", F.col("c") < F.col("o") if up else F.col("c") > F.col("o"))
-        rows = rows.withColumn("run", F.sum(F.when(F.col("same").eqNullSafe(F.lag("same").over(BY_SYMBOL)), 0).otherwise(1)).over(BY_SYMBOL))
-        extreme = F.min("l").over(BY_SYMBOL.rowsBetween(1 - look, 0)) if up else F.max("h").over(BY_SYMBOL.rowsBetween(1 - look, 0))
+        rows = rows.withColumn("run", F.sum(F.when(F.col("same").eqNullSafe(F.lag("same").over(by_symbol())), 0).otherwise(1)).over(by_symbol()))
+        extreme = F.min("l").over(by_symbol().rowsBetween(1 - look, 0)) if up else F.max("h").over(by_symbol().rowsBetween(1 - look, 0))
         rows = rows.withColumn("ext", extreme)
         runs = rows.where("same").groupBy("symbol", "run").agg(
             F.min("t").alias("s"), F.max("t").alias("e"), F.min_by("o", "t").alias("p"), (F.min("l") if up else F.max("h")).alias("own"), F.max_by("ext", "t").alias("ext")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_SYMBOL
+from ..functions.rolling import by_symbol
 
 _BARS = "array_sort(collect_list(struct(d, o, h, l, c, v)))"
 
@@ -74,9 +74,9 @@ def supertrend(bars: DataFrame, n: int = 10, width: float = 3.0) -> DataFrame:
 def trend_signals(bars: DataFrame, mean: int = 10, warm_up: int = 40) -> DataFrame:
     """symbol, d, signal: st_exit when the trend turns down, st_buy at the first close above the mean in an up-run."""
     st = supertrend(bars)
-    with_mean = ema(bars, mean).select("symbol", "d", F.col("value").alias("mean"), F.row_number().over(BY_SYMBOL).alias("row"))
-    rows = st.join(with_mean, ["symbol", "d"]).withColumn("was", F.lag("up").over(BY_SYMBOL))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("was") == F.col("up"), 0).otherwise(1)).over(BY_SYMBOL))
+    with_mean = ema(bars, mean).select("symbol", "d", F.col("value").alias("mean"), F.row_number().over(by_symbol()).alias("row"))
+    rows = st.join(with_mean, ["symbol", "d"]).withColumn("was", F.lag("up").over(by_symbol()))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("was") == F.col("up"), 0).otherwise(1)).over(by_symbol()))
     strong = F.col("up") & (F.col("c") > F.col("mean"))
     within = Window.partitionBy("symbol", "run").orderBy("d")
     rows = rows.withColumn("times", F.sum(F.coalesce(strong, F.lit(False)).cast("int")).over(within)).withColumn("strong", strong)
@@ -89,8 +89,8 @@ def trend_signals(bars: DataFrame, mean: int = 10, warm_up: int = 40) -> DataFra
 
 def trend_state(bars: DataFrame, mean: int = 10) -> DataFrame:
     """Each bar's trend: up, line, since when, for how many sessions, and whether the close is above the mean."""
-    st = supertrend(bars).withColumn("was", F.lag("up").over(BY_SYMBOL))
-    st = st.withColumn("run", F.sum(F.when(F.col("was") == F.col("up"), 0).otherwise(1)).over(BY_SYMBOL))
+    st = supertrend(bars).withColumn("was", F.lag("up").over(by_symbol()))
+    st = st.withColumn("run", F.sum(F.when(F.col("was") == F.col("up"), 0).otherwise(1)).over(by_symbol()))
     run = Window.partitionBy("symbol", "run").orderBy("d")
     rows = st.withColumns({"since": F.first("d").over(run), "days": F.row_number().over(run).cast("long")})
     means = ema(bars, mean).select("symbol", "d", F.col("value").alias("mean"))

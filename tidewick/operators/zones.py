@@ -6,7 +6,7 @@ side. Price levels stay in long form, one row per (symbol, d, price).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Prices are in thousands; a sweep of this value or more counts as large.
@@ -15,7 +15,10 @@ MAX_BINS = 60
 EPS = 1e-6
 VALUE_AREA = 0.70
 ZONE_VOLUME, BUY_SHARE, SELL_SHARE = 1.2, 0.58, 0.42
-DAY = Window.partitionBy("symbol", "d").orderBy("acc")
+
+
+def day() -> WindowSpec:
+    return Window.partitionBy("symbol", "d").orderBy("acc")
 
 
 def active(side: str = "side") -> Column:
@@ -26,8 +29,8 @@ def _islands(ticks: DataFrame, *same: str) -> DataFrame:
     """ticks with `run`, which grows where a column of `same` differs from the tick before or a side is not active."""
     new = F.lit(False)
     for c in same:
-        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(DAY))
-    return ticks.withColumn("run", F.sum(F.when(new | ~active(), 1).otherwise(0)).over(DAY))
+        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(day()))
+    return ticks.withColumn("run", F.sum(F.when(new | ~active(), 1).otherwise(0)).over(day()))
 
 
 def orders(ticks: DataFrame) -> DataFrame:
