@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -49,13 +49,25 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,end:int,value:string>>")
 
 
+_ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the arrays assign, access and hex of the fixed patterns' spans. Texts without a hit skip the extraction."""
+    """df with the arrays __assign, __access and __hex of the fixed patterns' spans, and __tokens of what the models may judge.
+
+    A plain search for what each pattern cannot do without spares most texts the patterns: random
+    tokens, for one, have a digit among their characters.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(t)
+    named = F.lit(False)
+    for word in _ASSIGNED:
+        named = named | low.contains(word)
     parts = {
-        "assign": F.when(t.rlike(ASSIGN), F.filter(_matches(t, ASSIGN, 2), lambda x: F.length(x["value"]) >= 6)),
-        "access": F.when(t.rlike(ACCESS), F.filter(_matches(t, ACCESS, None), lambda x: x["end"] - x["start"] >= 20)),
+        "assign": F.when(named, F.filter(_matches(t, ASSIGN, 2), lambda x: F.length(x["value"]) >= 6)),
+        "access": F.when(t.contains("AKIA"), F.filter(_matches(t, ACCESS, None), lambda x: x["end"] - x["start"] >= 20)),
         "hex": F.when(t.rlike(HEX), _matches(t, HEX, None)),
+        "tokens": F.when(t.rlike("[0-9]"), F.filter(_matches(t, TOKEN, None), lambda x: x["value"].rlike("[0-9]"))),
     }
     return df.withColumns({f"__{k}": F.coalesce(v, _none()) for k, v in parts.items()})
 
@@ -88,47 +100,35 @@ def log_ratio(random: list[float], ordinary: list[float]) -> list[float]:
     return out
 
 
-def fit_models(found: DataFrame) -> list[float] | None:
+def _drawn(doc_id: str, of: int) -> Column:
+    """About SAMPLE_DOCUMENTS of so many rows, by a hash of the id."""
+    return F.pmod(F.xxhash64(F.lit(3), doc_id), F.lit(1 << 24)) < int(min(1.0, SAMPLE_DOCUMENTS / max(of, 1)) * (1 << 24))
+
+
+def fit_models(docs: DataFrame, found: DataFrame) -> list[float] | None:
     """The ratio table from labelled samples: values that the fixed patterns matched are random strings, words of documents without a match ordinary identifiers.
 
-    None without either label. The fit reads at most about SAMPLE_DOCUMENTS documents of each label,
-    those of the least hashes; what reaches the driver is two tables of SYMBOLS squared counts.
+    found: docs after base_spans, without texts. None without either label. The fit reads at most about
+    SAMPLE_DOCUMENTS documents of each label, those of the least hashes; what reaches the driver is two
+    tables of SYMBOLS squared counts.
     """
     spans = F.concat("__assign", "__access", "__hex")
-    hit = F.size(spans) > 0
-    n = found.agg(F.count_if(hit).alias("hit"), F.count_if(~hit).alias("rest")).first()
-    if not n["hit"] or not n["rest"]:
+    n = found.agg(F.count_if(F.size(spans) > 0).alias("hit"), F.count(F.lit(1)).alias("all")).first()
+    if not n["hit"] or n["hit"] == n["all"]:
         return None
-
-    def drawn(of: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 24)) < int(min(1.0, SAMPLE_DOCUMENTS / of) * (1 << 24))
-
-    random = found.where(hit & drawn(n["hit"])).select(F.explode(spans).alias("s")).select(F.col("s.value").alias("token"))
-    ordinary = found.where(~hit & drawn(n["rest"])).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_]{4,}"), F.lit(0))).alias("token"))
+    random = found.where((F.size(spans) > 0) & _drawn("doc_id", n["hit"])).select(F.explode(spans).alias("s")).select(F.col("s.value").alias("token"))
+    rest = base_spans(docs.select("doc_id", "text").where(_drawn("doc_id", n["all"]))).where(F.size(spans) == 0)
+    ordinary = rest.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_]{4,}"), F.lit(0))).alias("token"))
     return log_ratio(pair_counts(random), pair_counts(ordinary))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with `spans`: array<struct<start, kind, end>> of all secrets, by start, then kind.
-
-    Kinds 0 assign, 1 access, 2 hex (fixed patterns), 3 markov: a long token with a digit whose
-    log-likelihood ratio exceeds LOG_ODDS and which no fixed span overlaps. n_assign, n_access, n_hex
-    and `base` (the fixed spans) come with it. Null text counts as empty; equal texts get equal
-    spans; an empty table gives no rows. Columns __* are this function's own.
-    """
-    found = base_spans(docs)
-    ratio = fit_models(found)
+def judged(found: DataFrame, ratio: list[float] | None) -> DataFrame:
+    """found (after base_spans) with base, spans, n_assign, n_access and n_hex in place of the arrays."""
     kind = lambda name, k: F.transform(f"__{name}", lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     found = found.withColumn("base", F.sort_array(F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2))))
     if ratio is None:
         more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
-        t = F.coalesce(F.col("text"), F.lit(""))
-        # a random token has a digit among its characters: cheap to see before scoring
-        found = found.withColumn(
-            "__tokens",
-            F.when(t.rlike(r"(?=[A-Za-z0-9+/_]{16})[A-Za-z+/_]*[0-9]"), F.filter(_matches(t, TOKEN, None), lambda x: x["value"].rlike("[0-9]"))).otherwise(_none()),
-        )
         table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratio])), "array<double>")
 
         def score(token: Column) -> Column:
@@ -142,11 +142,24 @@ def scan(docs: DataFrame) -> DataFrame:
             lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
         )
     found = found.withColumn("spans", F.sort_array(F.concat("base", more)))
-    for name in ("assign", "access", "hex"):
-        found = found.withColumn(f"n_{name}", F.size(f"__{name}").cast("long"))
+    found = found.withColumns({f"n_{name}": F.size(f"__{name}").cast("long") for name in ("assign", "access", "hex")})
     return found.drop("__assign", "__access", "__hex", "__tokens")
 
 
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and `spans`: array<struct<start, kind, end>> of all secrets of each text, by start, then kind.
+
+    Kinds 0 assign, 1 access, 2 hex (fixed patterns), 3 markov: a long token with a digit whose
+    log-likelihood ratio exceeds LOG_ODDS and which no fixed span overlaps. n_assign, n_access, n_hex
+    and `base` (the fixed spans) come with it. Every text is read once; what was found in it is kept
+    while the models are fitted. Null text counts as empty; equal texts get equal spans; an empty
+    table gives no rows.
+    """
+    docs = docs.select("doc_id", "text")
+    found = stored(base_spans(docs).drop("text"))
+    return judged(found, fit_models(docs, found))
+
+
 def spans_text(spans: str) -> Column:
     names = F.array(*[F.lit(x) for x in ("assign", "access", "hex", "markov")])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -155,7 +168,9 @@ def spans_text(spans: str) -> Column:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """Pipeline stage: secrets in text give way to MASK; n_chars follows. No row goes."""
     names = docs.columns
-    found = scan(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])).select("__row", "doc_id", "text"))
+    texts = docs.select("doc_id", "text")
+    ratio = fit_models(texts, stored(base_spans(texts).drop("text")))
+    found = judged(base_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "text")), ratio)
     start0 = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(
         "spans",
@@ -175,5 +190,5 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir).select("doc_id", "text"))
+    found = scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
