@@ -119,6 +119,8 @@ def fit_models(docs: DataFrame, found: DataFrame) -> list[float] | None:
     random = found.where((F.size(spans) > 0) & _drawn("doc_id", n["hit"])).select(F.explode(spans).alias("s")).select(F.col("s.value").alias("token"))
     rest = base_spans(docs.select("doc_id", "text").where(_drawn("doc_id", n["all"]))).where(F.size(spans) == 0)
     ordinary = rest.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_]{4,}"), F.lit(0))).alias("token"))
+    # what the models are to judge is no label of its own
+    ordinary = ordinary.where(~(F.col("token").rlike("[0-9]") & (F.length("token") >= 16)))
     return log_ratio(pair_counts(random), pair_counts(ordinary))
 
 
