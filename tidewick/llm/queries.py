@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op5_language_id
-from .ngram_jaccard import op10_ngram_jaccard
+from .ngram_jaccard import OP10_SQL, op10_ngram_jaccard
 from .packing import op9_packing
 from .quality_rules import op2_quality_rules
 from .secret_scans import op3_secret_scans
 from .sentencepieces import op6_sentencepieces
 from .sharding import op1_sharding
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,4 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
+    "op7_exact_dedup": OP7_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
+}
