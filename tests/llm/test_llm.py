@@ -311,3 +311,10 @@ def test_sharding_of_one_huge_row(spark):
     rows = spark.createDataFrame([(1, 5), (2, 10_000), (3, 5), (4, 5)], "k long, size long")
     out = {r["k"]: r["shard"] for r in sharding.byte_shards(rows, ["k"], "size", 4).collect()}
     assert out[1] == out[2] == 0 and out[3] == 3
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    from oracle import difference
+
+    assert difference(spark, "/root/testdata/sf0.001", queries.QUERIES[name], queries.ORACLES[name]) == ""

@@ -66,7 +66,7 @@ def batched(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype("float64" if batch.column(0).null_count else "int64")
+        ids, unknown = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
         texts = [raw(t) for t in batch.column(1)]
         for i, j in batched(texts):
             symbols, bounds = kind.symbols(texts[i:j])
@@ -91,7 +91,7 @@ def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBa
                     [
                         pa.array(g.view(np.int64)),
                         pa.array(union.view(np.int64)),
-                        pa.array(ids[i + doc], pa.int64(), from_pandas=True),
+                        pa.array(ids[i + doc], pa.int64(), mask=unknown[i + doc]),
                         *(pa.array((x - move).astype(np.int32)) for x in (at, lo, hi)),
                     ],
                     ["key", "u", "doc_id", "at", "lo", "hi"],
