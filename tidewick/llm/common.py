@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -45,9 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Shuffle files that nothing needs any more go with the driver's garbage, so it is asked to collect it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files that nothing needs any more go with the driver's garbage, so it is asked to collect it.
+
+    Twice, as what Python lets go of is garbage to the JVM only a little later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def stored(df: DataFrame) -> DataFrame:
