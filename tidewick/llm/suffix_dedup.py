@@ -12,7 +12,7 @@ from .common import documents
 from .repeats import Kind, covered, raw, repeated, with_ranges
 
 #: Strings of 200 bytes.
-BYTES = Kind(words=False, win=200, gram=24, widths=(12, 1))
+BYTES = Kind(words=False, win=200, gram=24, widths=(40, 6, 1))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
