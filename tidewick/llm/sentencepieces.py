@@ -6,7 +6,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +72,11 @@ class Pieces:
         state, before = [""], ""
         lengths, rank, stable = self.lengths, self.rank, self.stable
         for word in words:
-            shared = len(commonprefix((before, word)))
+            shared = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 for n in lengths.get(word[end - 2 : end] if end > 1 else "", ()):
@@ -90,7 +93,10 @@ class Pieces:
             before = word
 
     def numbers(self, pieces: list[str]) -> array:
-        out = array("i")
+        try:
+            return array("i", map(self.id.__getitem__, pieces))
+        except KeyError:
+            out = array("i")
         for p in pieces:
             i = self.id.get(p)
             if i is not None:
