@@ -119,6 +119,20 @@ def test_op2_finds_the_worse_rule(spark):
     assert abs(fitted[0] - 0.7) < 0.06 and fitted[1] > 0.85 and fitted[4] < 0.75
 
 
+def test_op2_posterior_alone_drops_symbol_junk(spark):
+    rnd = random.Random(6)
+    words = vocabulary(8, 400)
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    clean = [(i, " ".join(prose(120))) for i in range(200)]
+    junk = [(1000 + i, " ".join(w + rnd.choice(("###", "$$$", "%%%")) for w in prose(120))) for i in range(14)]
+    lines = [(2000 + i, "\n".join([" ".join(prose(9))] * 12 + [" ".join(prose(60))])) for i in range(14)]
+    docs = spark.createDataFrame(clean + junk + lines, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in quality_rules.judge(quality_rules.text_stats(docs)).collect()}
+    assert all(out[d]["kept"] for d, _ in clean)
+    assert not any(out[d]["kept"] or out[d]["base_failed"] for d, _ in junk)
+    assert all(out[d]["p_good"] < quality_rules.KEEP_FROM for d, _ in junk + lines)
+
+
 def test_op3(spark, sf_dir, rows):
     for d, r in result(spark, sf_dir, "op3_").items():
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == brute.secrets(rows[d])

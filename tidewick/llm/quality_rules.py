@@ -1,7 +1,10 @@
-"""Weak supervision for document quality: voting rules, EM accuracies, posterior probability (JVM only)."""
+"""Weak supervision for document quality: voting rules, EM accuracies, posterior probability (JVM only; EM reads counts)."""
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ EM_ROUNDS = 30
 #: What the EM starts from and is pulled to: the share of good documents and a rule's accuracy, with these weights in rows.
 PRIOR_GOOD, PRIOR_ACCURACY, PRIOR_WEIGHT = 0.9, 0.8, 20.0
 KEEP_FROM = 0.5
+#: Of a rule's bad votes more are right than wrong; bad documents of a rule's own kind get its bad vote with this chance at least.
+LEAST_RIGHT, LEAST_HIT = 0.51, 0.55
+FLOOR, CEILING = 1e-6, 0.99
 _STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -88,63 +94,79 @@ def rules() -> list[Column]:
     ]
 
 
-def fit_rules(votes: DataFrame) -> list[float]:
-    """[share of good documents, accuracy of each rule] by expectation-maximisation.
-
-    votes has one array column `v`. Documents are first counted by their pattern of votes, of which
-    there are at most 3**rules, so that EM itself runs on a table of fixed size, as one fold over its
-    rounds. Accuracies stay within 0.55 and 0.99: a rule votes better than chance by definition.
-    """
-    n_rules = len(rules())
-    patterns = votes.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.collect_list(F.struct("v", "n")).alias("p"))
-    state0 = F.array(F.lit(PRIOR_GOOD), *[F.lit(PRIOR_ACCURACY)] * n_rules)
-
-    def step(s: Column, _: Column) -> Column:
-        def posterior(x: Column) -> Column:
-            z = F.ln(s[0] / (1 - s[0]))
-            for j in range(n_rules):
-                z = z + x["v"][j] * F.ln(s[j + 1] / (1 - s[j + 1]))
-            return 1 / (1 + F.exp(-z))
-
-        scored = F.transform("p", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x).alias("q")))
-        start = F.array(*[F.lit(0.0)] * (2 * n_rules + 2))
-
-        def add(a: Column, x: Column) -> Column:
-            parts = [a[0] + x["n"] * x["q"], a[1] + x["n"]]
-            for j in range(n_rules):
-                v = x["v"][j]
-                right = F.when(v == 1, x["q"]).when(v == -1, 1 - x["q"]).otherwise(F.lit(0.0))
-                parts += [a[2 + 2 * j] + x["n"] * right, a[3 + 2 * j] + x["n"] * F.abs(v)]
-            return F.array(*parts)
+def _patterns(n_rules: int) -> list[tuple[int, ...]]:
+    """All patterns of votes, in the order of their code: the first rule's vote counts most."""
+    return list(itertools.product((-1, 0, 1), repeat=n_rules))
 
-        def close(a: Column) -> Column:
-            def clip(x: Column, low: float) -> Column:
-                return F.greatest(F.lit(low), F.least(F.lit(0.99), x))
 
-            w = F.lit(PRIOR_WEIGHT)
-            share = clip((a[0] + w * PRIOR_GOOD) / (a[1] + w), 0.05)
-            return F.array(share, *[clip((a[2 + 2 * j] + w * PRIOR_ACCURACY) / (a[3 + 2 * j] + w), 0.55) for j in range(n_rules)])
+def fit_rules(votes: DataFrame) -> list[float]:
+    """[share of good documents, P(good vote | good) of each rule, then of each kind of bad document its share and P(bad vote | kind) of each rule] by expectation-maximisation.
 
-        return F.aggregate(scored, start, add, close)
+    votes has one array column `v`. Documents are first counted by their pattern of votes, of which
+    there are at most 3**rules, so that EM itself runs on a table of fixed size, whatever the rows.
 
-    fitted = patterns.select(F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), state0, step).alias("s"))
-    return [float(x) for x in fitted.first()["s"]]  # 1 + rules numbers
+    Every rule has its own chances of a bad vote among good and among bad documents. Bad documents
+    come in kinds, one for each rule: symbol junk seldom repeats itself, so that under one table for all
+    bad documents the votes of one kind would clear the others. An abstention tells nothing of either
+    class. A rule votes better than chance by definition: in its own kind a bad vote has a chance of LEAST_HIT,
+    in no kind a lower one than among good documents, and of a rule's bad votes at least LEAST_RIGHT are right.
+    """
+    counts = {tuple(r["v"]): float(r["n"]) for r in votes.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rules_ = range(len(next(iter(counts), rules())))
+    total = sum(counts.values())
+
+    def share_bad(j: int) -> float:
+        bad, good = (sum(n for v, n in counts.items() if v[j] == x) for x in (-1, 1))
+        return min(max(bad / max(bad + good, 1.0), FLOOR), CEILING)
+
+    marginal = [share_bad(j) for j in rules_]
+    # class 0 is the good one; a bad vote is right with PRIOR_ACCURACY
+    weight0 = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) * m / sum(marginal) for m in marginal]
+    hit0 = [[m * (1 - PRIOR_ACCURACY) / PRIOR_GOOD for m in marginal]] + [[PRIOR_ACCURACY if i == j else marginal[i] for i in rules_] for j in rules_]
+    weight, hit = weight0, hit0
+    for _ in range(EM_ROUNDS):
+        rows = [0.0] * len(weight)
+        bad = [[0.0] * len(rules_) for _ in weight]
+        voted = [[0.0] * len(rules_) for _ in weight]
+        for v, n in counts.items():
+            for k, q in enumerate(_responsibilities(v, weight, hit)):
+                rows[k] += n * q
+                for j in rules_:
+                    bad[k][j] += n * q * (v[j] == -1)
+                    voted[k][j] += n * q * (v[j] != 0)
+        prior = [PRIOR_WEIGHT * w for w in weight0]
+        bad = [[bad[k][j] + prior[k] * hit0[k][j] for j in rules_] for k in range(len(weight))]
+        weight = [(rows[k] + prior[k]) / (total + PRIOR_WEIGHT) for k in range(len(weight))]
+        hit = [[bad[k][j] / (voted[k][j] + prior[k]) for j in rules_] for k in range(len(weight))]
+        most = [sum(x[j] for x in bad[1:]) * (1 - LEAST_RIGHT) / LEAST_RIGHT / (rows[0] + prior[0]) for j in rules_]
+        good = [min(max(min(hit[0][j], most[j]), FLOOR), CEILING) for j in rules_]
+        hit = [good] + [[min(max(x, LEAST_HIT if i == j else FLOOR, good[i]), CEILING) for i, x in enumerate(hit[j + 1])] for j in rules_]
+    return [weight[0], *[1 - x for x in hit[0]], *[x for k in range(1, len(weight)) for x in (weight[k], *hit[k])]]
+
+
+def _responsibilities(v: tuple[int, ...], weight: list[float], hit: list[list[float]]) -> list[float]:
+    """P(class | votes) of each class."""
+    z = [math.log(w) + sum(math.log(h if x < 0 else 1 - h) for x, h in zip(v, hs, strict=True) if x) for w, hs in zip(weight, hit, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
 
 
 def posterior(params: list[float]) -> Column:
-    import math
-
-    logit = lambda p: math.log(p / (1 - p))
-    z = F.lit(logit(params[0]))
-    for rule, accuracy in zip(rules(), params[1:], strict=True):
-        z = z + rule * F.lit(logit(accuracy))
-    return 1 / (1 + F.exp(-z))
+    """P(good | votes), looked up by the code of the pattern: 3**rules numbers, whatever the rows."""
+    n = len(rules())
+    kinds = [params[1 + n + k * (n + 1) : 1 + n + (k + 1) * (n + 1)] for k in range(n)]
+    weight, hit = [params[0], *[k[0] for k in kinds]], [[1 - x for x in params[1 : 1 + n]], *[k[1:] for k in kinds]]
+    table = F.array(*[F.lit(_responsibilities(v, weight, hit)[0]) for v in _patterns(n)])
+    code = F.lit(0)
+    for rule in rules():
+        code = code * 3 + rule + 1
+    return F.get(table, code)
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """stats (see text_stats) with p_good, base_failed and kept.
 
-    Rules vote or abstain; their accuracies are estimated from all rows without labels, and a row stays
+    Rules vote or abstain; their chances of a bad vote among good and bad rows are estimated from all rows without labels, and a row stays
     if its posterior probability of being good is at least KEEP_FROM and no base rule fails. A null or
     empty text has no words and fails; equal texts are judged alike; an empty table gives no rows.
     """
