@@ -151,6 +151,25 @@ def test_op3_finds_random_tokens_beyond_the_patterns(spark):
     assert len(found & {d for d, _ in planted}) >= 18 and not found & set(range(100, 200))
 
 
+def test_op3_judges_letters_short_and_hyphenated_tokens(spark):
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda n, of=letters + "0123456789": "".join(rnd.choice(of) for _ in range(n))
+    words = vocabulary(4, 300)
+    prose = lambda: " ".join(rnd.choice(words) + rnd.choice(("", "", "", "-" + rnd.choice(words))) for _ in range(80))
+    data = [(i, f"{prose()} token={key(40)}") for i in range(400)] + [(500 + i, prose()) for i in range(300)]
+    kinds = [lambda: key(24, letters), lambda: key(15), lambda: "-".join(key(n) for n in (8, 4, 4, 4, 12)), lambda: "session-" + key(14) + "="]
+    planted = [(1000 + 100 * k + i, prose(), make(), prose()) for k, make in enumerate(kinds) for i in range(10)]
+    learn = spark.createDataFrame(data, "doc_id long, text string")
+    fitted = secret_scans.fit_models(learn, secret_scans.base_spans(learn))
+    docs = spark.createDataFrame(data + [(d, f"{a} {t} {b}") for d, a, t, b in planted], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secret_scans.judged(secret_scans.base_spans(docs), fitted).collect()}
+    for k in range(len(kinds)):
+        found = [d for d, a, t, _ in planted if d // 100 == 10 + k and [x for x in out[d] if x["kind"] == 3 and x["start"] <= len(a) + 9 and x["end"] >= len(a) + len(t)]]
+        assert len(found) >= (7, 1, 7, 1)[k], (k, len(found))
+    assert not [d for d in range(500, 800) if out[d]]
+
+
 def test_op3_masks(spark):
     data = [(1, "a password=hunter22 b", 21, "en"), (2, "plain", 5, "de"), (3, None, None, None)]
     out = {r["doc_id"]: r for r in secret_scans.mask_secrets(spark.createDataFrame(data, "doc_id long, text string, n_chars long, spans string")).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from .common import documents, stored
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-#: What the models read: long tokens of these characters. A hyphen or equals sign parts them.
-TOKEN = r"[A-Za-z0-9+/_]{16,}"
+#: What the models read and judge: tokens of these characters. Hyphens and equals signs join the parts of one.
+TOKEN = r"[A-Za-z0-9+/_][A-Za-z0-9+/_=-]{3,}(?<!-)"
+PART = r"[A-Za-z0-9+/_]{4,}"
 #: Symbols of the models: a-z, A-Z, 0-9 and one for the others; state * SYMBOLS + symbol.
 SYMBOLS = 63
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -22,11 +24,13 @@ SAMPLE_DOCUMENTS = 2000
 #: Odds of a secret before looking, as a log; the ratio must exceed it.
 LOG_ODDS = 18.0
 SMOOTHING = 0.5
+#: So many frequent tokens are scored once and for all.
+CLEARED = 10000
 MASK = "[secret]"
 
 
-def _matches(text: Column, pattern: str, group: int | None) -> Column:
-    """array<struct<start, end, value>> of leftmost non-overlapping matches, in code points.
+def _matches(text: Column, pattern: str, group: int | None, keep=lambda m: F.lit(True)) -> Column:
+    """array<struct<start, end, value>> of leftmost non-overlapping matches for which keep holds, in code points.
 
     The pieces between matches and the matches themselves alternate, so their lengths give the places.
     """
@@ -39,7 +43,12 @@ def _matches(text: Column, pattern: str, group: int | None) -> Column:
         start0,
         lambda a, x: F.struct(
             (a["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["v"].alias("value")))).alias("out"),
+            F.when(
+                keep(x["m"]),
+                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["v"].alias("value")))),
+            )
+            .otherwise(a["out"])
+            .alias("out"),
         ),
         lambda a: a["out"],
     )
@@ -53,10 +62,9 @@ _ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the arrays __assign, __access and __hex of the fixed patterns' spans, and __tokens of what the models may judge.
+    """df with the arrays __assign, __access and __hex of the fixed patterns' spans.
 
-    A plain search for what each pattern cannot do without spares most texts the patterns: random
-    tokens, for one, have a digit among their characters.
+    A plain search for what each pattern cannot do without spares most texts the patterns.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
@@ -67,7 +75,6 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
         "assign": F.when(named, F.filter(_matches(t, ASSIGN, 2), lambda x: F.length(x["value"]) >= 6)),
         "access": F.when(t.contains("AKIA"), F.filter(_matches(t, ACCESS, None), lambda x: x["end"] - x["start"] >= 20)),
         "hex": F.when(t.rlike(HEX), _matches(t, HEX, None)),
-        "tokens": F.when(t.rlike("[0-9]"), F.filter(_matches(t, TOKEN, None), lambda x: x["value"].rlike("[0-9]"))),
     }
     return df.withColumns({f"__{k}": F.coalesce(v, _none()) for k, v in parts.items()})
 
@@ -105,8 +112,8 @@ def _drawn(doc_id: str, of: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(3), doc_id), F.lit(1 << 24)) < int(min(1.0, SAMPLE_DOCUMENTS / max(of, 1)) * (1 << 24))
 
 
-def fit_models(docs: DataFrame, found: DataFrame) -> list[float] | None:
-    """The ratio table from labelled samples: values that the fixed patterns matched are random strings, words of documents without a match ordinary identifiers.
+def fit_models(docs: DataFrame, found: DataFrame) -> tuple[list[float], list[str]] | None:
+    """The ratio table, and frequent tokens that it clears, from labelled samples: values that the fixed patterns matched are random strings, words of documents without a match ordinary identifiers.
 
     found: docs after base_spans, without texts. None without either label. The fit reads at most about
     SAMPLE_DOCUMENTS documents of each label, those of the least hashes; what reaches the driver is two
@@ -118,30 +125,49 @@ def fit_models(docs: DataFrame, found: DataFrame) -> list[float] | None:
         return None
     random = found.where((F.size(spans) > 0) & _drawn("doc_id", n["hit"])).select(F.explode(spans).alias("s")).select(F.col("s.value").alias("token"))
     rest = base_spans(docs.select("doc_id", "text").where(_drawn("doc_id", n["all"]))).where(F.size(spans) == 0)
-    ordinary = rest.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_]{4,}"), F.lit(0))).alias("token"))
-    # what the models are to judge is no label of its own
-    ordinary = ordinary.where(~(F.col("token").rlike("[0-9]") & (F.length("token") >= 16)))
-    return log_ratio(pair_counts(random), pair_counts(ordinary))
+    ordinary = rest.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
+    # long tokens are too often random strings themselves to be labels of ordinary ones
+    ordinary = ordinary.where(F.length("token") < 16)
+    ratio = [round(x, 6) for x in log_ratio(pair_counts(random), pair_counts(ordinary))]
+    frequent = ordinary.groupBy("token").count().orderBy(F.desc("count"), "token").limit(CLEARED).collect()
+    return ratio, [r["token"] for r in frequent if not _random(r["token"], ratio) and not any(_random(x, ratio) for x in re.split("[=-]+", r["token"]))]
 
 
-def judged(found: DataFrame, ratio: list[float] | None) -> DataFrame:
-    """found (after base_spans) with base, spans, n_assign, n_access and n_hex in place of the arrays."""
+def _random(token: str, ratio: list[float]) -> bool:
+    s = [_ALPHABET.find(c) % SYMBOLS for c in token]
+    return sum(ratio[a * SYMBOLS + b] for a, b in zip(s, s[1:])) > LOG_ODDS
+
+
+def judged(found: DataFrame, fitted: tuple[list[float], list[str]] | None) -> DataFrame:
+    """found (after base_spans, with its texts) with base, spans, n_assign, n_access and n_hex in place of the arrays."""
     kind = lambda name, k: F.transform(f"__{name}", lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     found = found.withColumn("base", F.sort_array(F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2))))
-    if ratio is None:
+    if fitted is None:
         more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
-        table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratio])), "array<double>")
+        ratio, cleared = fitted
+        table = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
+        t = F.coalesce(F.col("text"), F.lit(""))
 
-        def score(token: Column) -> Column:
+        def random(token: Column) -> Column:
             s = symbols(token)
             pairs = F.arrays_zip(F.slice(s, 1, F.length(token) - 1).alias("a"), F.slice(s, 2, F.length(token) - 1).alias("b"))
-            return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p["a"] * SYMBOLS + p["b"]))
+            return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p["a"] * SYMBOLS + p["b"])) > LOG_ODDS
 
+        # a random part among ordinary ones counts alone
+        some = lambda m: random(m) | (m.rlike("[=-]") & F.exists(F.regexp_extract_all(m, F.lit(PART), F.lit(0)), random))
+        rest = F.filter(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda m: ~m.isin(cleared))
+        any_ = F.exists(F.array_distinct(rest), some)
+        found = found.withColumn("__tokens", F.coalesce(F.when(any_, _matches(t, TOKEN, None, some)), _none()))
         free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        more = F.transform(
-            F.filter("__tokens", lambda x: free(x) & (score(x["value"]) > LOG_ODDS)),
-            lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
+        span = lambda x, at=0: F.struct((x["start"] + at).alias("start"), F.lit(3).alias("kind"), (x["end"] + at).alias("end"))
+        more = F.flatten(
+            F.transform(
+                "__tokens",
+                lambda x: F.when(free(x) & random(x["value"]), F.array(span(x))).otherwise(
+                    F.filter(F.transform(_matches(x["value"], PART, None, random), lambda y: span(y, x["start"])), free)
+                ),
+            )
         )
     found = found.withColumn("spans", F.sort_array(F.concat("base", more)))
     found = found.withColumns({f"n_{name}": F.size(f"__{name}").cast("long") for name in ("assign", "access", "hex")})
@@ -151,15 +177,15 @@ def judged(found: DataFrame, ratio: list[float] | None) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and `spans`: array<struct<start, kind, end>> of all secrets of each text, by start, then kind.
 
-    Kinds 0 assign, 1 access, 2 hex (fixed patterns), 3 markov: a long token with a digit whose
-    log-likelihood ratio exceeds LOG_ODDS and which no fixed span overlaps. n_assign, n_access, n_hex
-    and `base` (the fixed spans) come with it. Every text is read once; what was found in it is kept
-    while the models are fitted. Null text counts as empty; equal texts get equal spans; an empty
+    Kinds 0 assign, 1 access, 2 hex (fixed patterns), 3 markov: a token whose log-likelihood ratio
+    exceeds LOG_ODDS and which no fixed span overlaps, or else such parts of it. n_assign, n_access, n_hex
+    and `base` (the fixed spans) come with it. Every text is read twice: for what the models are fitted
+    to, and to be judged by them. Null text counts as empty; equal texts get equal spans; an empty
     table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     found = stored(base_spans(docs).drop("text"))
-    return judged(found, fit_models(docs, found))
+    return judged(base_spans(docs), fit_models(docs, found)).drop("text")
 
 
 def spans_text(spans: str) -> Column:
