@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
-import time
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; whole texts travel in it, so it bounds a worker's memory.
 BATCH_ROWS = 512
 
+#: A key of more rows than one in so many is heavy, see at_keys.
+HEAVY = 1024
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,42 +32,57 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is named, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only where none is named and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing before it."""
-    shared_folder(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    del df
-    _tidy(kept.sparkSession)
-    return kept
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Shuffle files that nothing needs any more go with the driver's garbage, so it is asked to collect it.
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder, so that a lost executor costs nothing before it.
 
-    Twice, as what Python lets go of is garbage to the JVM only a little later.
+    Shuffle files of the work go when it is written. Lineage ends here; free() deletes the table again.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder: for tables too wide or long for cut()."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    _tidy(spark)
-    return spark.read.schema(schema).parquet(path)
+cut = stored
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes stored() tables of which no plan is left that will still read them."""
+    spark = tables[0].sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = folder(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def at_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each of some keys and in `weight` the number of rows of that key.
+
+    A key of more than a HEAVY-th of all rows is heavy. There are fewer than HEAVY of these, whatever the
+    size of the tables, so they are broadcast and their rows stay where they are; the rest is shuffled.
+    """
+    least = total // HEAVY
+    heavy = F.broadcast(keyed.where(F.col(weight) > least))
+    light = rows.join(F.broadcast(keyed.where(F.col(weight) > least).select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(light.join(keyed.where(F.col(weight) <= least), keys))
 
 
 def utf8_bytes(text: Column) -> Column:
@@ -82,11 +100,6 @@ def fold_of(doc_id: Column) -> Column:
 
 # -- hashing of symbol sequences with numpy ---------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE_BYTES = (32, 9, 10, 11, 12, 13)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits."""
     h = h ^ (h >> np.uint64(32))
@@ -97,32 +110,71 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def byte_table(seed: int) -> np.ndarray:
-    """256 values of 64 bits, one for each byte."""
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed * 2654435761 + 1))
+_ONE, _TWO, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
 
 
-class Rolling:
-    """Hashes of ranges of a symbol array: sum of symbol * base**position, moved back to position 0."""
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair, not linear in either."""
+    h = a * _ONE
+    h ^= h >> _HALF
+    h += b
+    h *= _TWO
+    h ^= h >> _HALF
+    return h
+
 
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        power = np.full(n + 1, _BASE, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * power[:n], out=self.sums[1:])
-        self.back = np.full(n + 1, _INVERSE, np.uint64)
-        self.back[0] = 1
-        np.cumprod(self.back, out=self.back)
+class Hashes:
+    """64-bit hashes of ranges of a symbol array.
+
+    A block of 2k symbols is the pair of its halves, so blocks of 1, 2, 4, ... symbols take one pass
+    each. Any other range is that of up to three overlapping blocks. Bytes start with blocks of 8,
+    which are their own value.
+    """
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+    def __init__(self, symbols: np.ndarray, longest: int):
+        self.blocks: dict[int, np.ndarray] = {}
+        size, h = 1, symbols
+        if symbols.dtype == np.uint8:
+            n = max(len(symbols) - 7, 0)
+            size, h = 8, np.ndarray((n,), "<u8", symbols.tobytes() if n else b"", strides=(1,)).copy() if n else np.zeros(0, np.uint64)
+        self.blocks[size] = h
+        while 2 * size <= longest:
+            h = paired(h[:-size], h[size:]) if len(h) > size else h[:0]
+            size *= 2
+            self.blocks[size] = h
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of every k consecutive symbols."""
-        m = len(self.sums) - k
-        return mixed((self.sums[k:] - self.sums[:m]) * self.back[:m]) if m > 0 else np.zeros(0, np.uint64)
+        size = max(x for x in self.blocks if x <= k)
+        h = self.blocks[size]
+        if size == k:
+            return mixed(h)
+        rest = k - size
+        return mixed(paired(h[: max(len(h) - rest, 0)], h[rest:]))
+
+    def ranges(self, start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+        """Hashes of the ranges start:end, all of `least` symbols or more and of at most three times its block."""
+        size = max(x for x in self.blocks if x <= least)
+        h, n = self.blocks[size], end - start
+        mid = start + np.minimum(size, n - size)
+        return mixed(paired(paired(h[start], h[mid]), h[end - size]) + n.astype(np.uint64))
+
+
+def word_symbols(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each word of a byte array, by a cryptographic hash of each distinct one."""
+    ids, words = word_ids(data, first, last)
+    table = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.to_pylist()), np.uint64)
+    return table[ids] if len(ids) else np.zeros(0, np.uint64)
+
+
+def word_ids(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word of a byte array, equal for equal words, and the distinct words."""
+    space = data == 32
+    space |= (data >= 9) & (data <= 13)
+    ends = np.r_[0, np.cumsum(last - first)]
+    kind, of = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    words = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(ends.astype(of)), pa.py_buffer(data[~space])]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary
 
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,15 +202,14 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(symbols: np.ndarray, bounds: np.ndarray, win: int, k: int) -> tuple[np.ndarray, ...]:
-    """Content-chosen anchors of all windows of `win` symbols.
+def anchors(grams: np.ndarray, bounds: np.ndarray, win: int, k: int) -> tuple[np.ndarray, ...]:
+    """Content-chosen anchors of all windows of `win` symbols, by the hashes of all k-grams.
 
-    symbols holds several documents, document i in bounds[i]:bounds[i + 1]. A window's anchor is its
+    The symbols hold several documents, document i in bounds[i]:bounds[i + 1]. A window's anchor is its
     leftmost k-gram of least hash, so equal windows have equal anchors at equal offsets. Returned for
     each anchor: hash, document, position in the buffer, and the farthest and nearest window start
     that it serves, as distances to its left. At most 2**24 symbols at a time.
     """
-    grams = Rolling(symbols).grams(k)
     w = win - k + 1
     pos_bits = np.uint64(0xFFFFFF)
     key = (grams & ~pos_bits) | np.arange(len(grams), dtype=np.uint64)

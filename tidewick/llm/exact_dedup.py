@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import documents, stored
 
 #: Digests that the frequent-items sketch follows, and how many of them may be broadcast.
 SKETCH_ITEMS = 8192
@@ -33,13 +33,13 @@ def duplicate_groups(digests: DataFrame, id_col: str, digest_col: str) -> DataFr
     them is below a known share of the rows. Null ids lose to others; rows that repeat an id within a
     group are alike and are all marked as kept if that id is; an empty table gives no rows.
     """
-    digests = cut(digests)
+    digests = stored(digests)
     found = digests.agg(F.expr(f"approx_top_k({digest_col}, {HEAVY_ITEMS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n"))
     # a digest of more than n / HEAVY_ITEMS rows is surely in the summary
     heavy = found.select(F.explode("top").alias("t"), "n").where(
         F.col("t.count") > F.greatest(F.lit(8), F.expr(f"n div {HEAVY_ITEMS}"))
     ).select(F.col("t.item").alias(digest_col))
-    winners = cut(
+    winners = stored(
         digests.join(F.broadcast(heavy), digest_col)
         .groupBy(digest_col)
         .agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -60,7 +60,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and text count as one.
     """
     marked = docs.withColumn("__digest", digest(F.col("text")))
-    groups = cut(duplicate_groups(marked.select("doc_id", "__digest"), "doc_id", "__digest").where("kept"))
+    groups = stored(duplicate_groups(marked.select("doc_id", "__digest"), "doc_id", "__digest").where("kept"))
     again = groups.groupBy("doc_id", "__digest").count().where("count > 1").limit(1).count()
     if again:
         marked = marked.dropDuplicates(["doc_id", "__digest"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, small_batches
+from .common import documents, small_batches, stored
 
 #: Context-size tiers; a document's whole blocks go to the largest tier that they fill.
 TIERS = (2048, 1024, 512, 256)
@@ -147,7 +147,7 @@ def pack(piece_rows: DataFrame) -> DataFrame:
     pieces, so padding is at most one sequence in some thousands. sequence_id and step_id are unique
     over all groups. Null ids and repeated rows are pieces like others; an empty table gives no rows.
     """
-    kept = cut(piece_rows)
+    kept = stored(piece_rows)
     groups = max(1, -(-kept.count() // GROUP_PIECES))
     dealt = kept.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)

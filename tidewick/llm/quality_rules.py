@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, documents
+from .common import SPACE, documents, stored
 
 NGRAM = 8
 EM_ROUNDS = 30
@@ -179,5 +179,5 @@ def judge(stats: DataFrame) -> DataFrame:
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    stats = cut(text_stats(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    stats = stored(text_stats(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
     return judge(stats).select("doc_id", "n_words", *_STATS, "base_failed", "kept", "p_good")

@@ -1,13 +1,18 @@
 """Search for repeated windows of a corpus, which the two substring operators share.
 
-A window is `win` consecutive symbols (words or bytes) of one document. Equal windows have equal
-content-chosen anchors (see common.anchors) at equal offsets, so it is enough to compare, anchor by
-anchor, the runs of windows around them. A run is a range of window starts; its key is what all of
-its windows have in common, its union all that they cover. Runs of one key are *alike* if their
-unions are equal: then all their windows are repeated and nothing more is to be compared. Otherwise
-the runs are split into narrower slices, whose keys are longer, down to single windows. Groups are
-settled by map-side combined aggregates only (count, least and greatest union, first occurrence):
-whatever a third of all rows have in common never meets in one task.
+A window is `win` consecutive symbols (words or bytes) of one document. Suffixes are followed from
+content-chosen anchors (see common.anchors) only: equal windows have equal anchors at equal offsets,
+so it is enough to compare, anchor by anchor, the runs of windows around them. A run is a range of
+window starts; its key, a prefix that all its windows share, deals runs to groups; its class is the
+runs that are equal as a whole.
+
+Members of a class are settled by counts, whatever their number. Then one run of each class is left,
+and only where a group has several classes. A group that fits into memory is opened there: its
+windows are sorted and equal ones found (subtree). A larger one is dealt again by longer prefixes:
+its runs are cut into narrower slices, whose windows share more symbols, down to single windows.
+
+Two runs count as equal when the 64-bit hashes both of their key and of the whole run are equal, two
+windows when those of key and window are. No hash is linear in its symbols.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, anchors, byte_table, mixed, small_batches, stored, words_of
+from .common import HEAVY, Hashes, anchors, at_keys, free, mixed, small_batches, stored, word_ids, word_symbols, words_of
 
-#: Symbols of a buffer that is worked on at once; longer documents are cut into overlapping parts.
-BUFFER = 1 << 21
+#: Bytes of text that are worked on at once; longer documents are cut into overlapping parts.
+BUFFER = 1 << 19
+#: Runs of a group that is opened in memory, and of all groups that one task opens together, about.
+GROUP_RUNS = 4096
+TASK_RUNS = 20_000
 
 
 @dataclass(frozen=True)
@@ -34,18 +42,30 @@ class Kind:
     words: bool
     win: int
     gram: int  # symbols of an anchor, the first prefix
-    widths: tuple[int, ...]  # of the slices by which runs are split, ending with 1
+    widths: tuple[int, ...]  # of the slices by which runs are cut, ending with 1
 
     def symbols(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed symbols of some texts and the bounds of each text."""
+        """Symbols of some texts and the bounds of each text."""
         if not self.words:
             sizes = np.array([len(r) for r in raws], np.int64)
-            return byte_table(9)[np.frombuffer(b"".join(raws), np.uint8)], np.r_[0, np.cumsum(sizes)]
-        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-        first, last = words_of(data)
-        starts = np.r_[0, np.cumsum([len(r) + 1 for r in raws])]
-        table = Rolling(byte_table(9)[data])
-        return table.ranges(first, last), np.searchsorted(first, starts)
+            return np.frombuffer(b"".join(raws), np.uint8), np.r_[0, np.cumsum(sizes)]
+        data, first, last, bounds = split(raws)
+        return word_symbols(data, first, last), bounds
+
+    def body(self, text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """What the windows that start in lo:hi cover, of each range."""
+        first, end = lo, hi + (self.win - 1)
+        if self.words:
+            a, b = words_of(np.frombuffer(text, np.uint8))
+            first, end = a[lo], b[end - 1]
+        return [text[x:y] for x, y in zip(first.tolist(), end.tolist(), strict=True)]
+
+
+def split(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined texts, first and last-plus-one byte of their words, and the words of each text."""
+    data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    first, last = words_of(data)
+    return data, first, last, np.searchsorted(first, np.r_[0, np.cumsum([len(r) + 1 for r in raws])])
 
 
 def raw(text: pa.Scalar) -> bytes:
@@ -53,7 +73,7 @@ def raw(text: pa.Scalar) -> bytes:
 
 
 def batched(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that make buffers of about BUFFER bytes."""
+    """Ranges of texts of about BUFFER bytes together, a longer one alone."""
     a = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > BUFFER:
@@ -64,130 +84,249 @@ def batched(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, unknown = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        texts = [raw(t) for t in batch.column(1)]
-        for i, j in batched(texts):
-            symbols, bounds = kind.symbols(texts[i:j])
-            parts = [(symbols, bounds, 0)]
-            if len(symbols) > 4 * BUFFER:  # documents longer than a buffer: parts that share all but one window
-                parts = [
-                    (symbols[c : min(c + BUFFER + kind.win - 1, b)], np.array([0, min(c + BUFFER + kind.win - 1, b) - c]), (d, c))
-                    for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-                    for c in range(a, b, BUFFER)
-                ]
-            for own, edges, base in parts:
-                if len(own) < kind.win:
-                    continue
-                g, doc, at, far, near = anchors(own, edges, kind.win, kind.gram)
-                if not len(g):
-                    continue
-                lo, hi = at - far, at - near + 1
-                union = mixed(Rolling(own).ranges(lo, hi - 1 + kind.win) + (far * 65536 + near).astype(np.uint64))
-                move = bounds[base[0]] - base[1] if base else edges[doc]
-                doc = doc + base[0] if base else doc
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g.view(np.int64)),
-                        pa.array(union.view(np.int64)),
-                        pa.array(ids[i + doc], pa.int64(), mask=unknown[i + doc]),
-                        *(pa.array((x - move).astype(np.int32)) for x in (at, lo, hi)),
-                    ],
-                    ["key", "u", "doc_id", "at", "lo", "hi"],
-                )
+def _parts(texts: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Symbols, bounds, the text of each bound and where in it a part starts: parts share all but one symbol of a window."""
+    for i, j in batched(texts):
+        if j - i > 1 or len(texts[i]) <= 2 * BUFFER:
+            yield *kind.symbols(texts[i:j]), np.arange(i, j), 0
+            continue
+        text, step = texts[i], BUFFER
+        if kind.words:
+            first, last = words_of(np.frombuffer(text, np.uint8))
+            step = max(BUFFER // 8, kind.win)
+        n = len(first) if kind.words else len(text)
+        for a in range(0, n - kind.win + 1, step):
+            b = min(a + step + kind.win - 1, n)
+            part = text[first[a] : last[b - 1]] if kind.words else text[a:b]
+            yield *kind.symbols([part]), np.array([i]), a
 
 
-_ROWS = "key long, u long, doc_id long, at int, lo int, hi int"
+_ROWS = "key long, u long, doc_id long, h long, at int, lo int, hi int"
 
 
-def _slices(batches: Iterator[pa.RecordBatch], kind: Kind, width: int) -> Iterator[pa.RecordBatch]:
-    """Runs of documents cut into slices of `width` window starts, at equal offsets from the anchor."""
+def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """The runs around the anchors of each document (doc_id, h, text)."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        texts = [raw(t) for t in batch.column(1)]
-        held = batch.column(2)
+        for symbols, bounds, own, base in _parts([raw(t) for t in batch.column(2)], kind):
+            if len(symbols) < kind.win:
+                continue
+            hashes = Hashes(symbols, kind.win)
+            g, doc, at, far, near = anchors(hashes.grams(kind.gram), bounds, kind.win, kind.gram)
+            if not len(g):
+                continue
+            lo, hi = at - far, at - near + 1
+            u = mixed(hashes.ranges(lo, hi - 1 + kind.win, kind.win) + (far * 65536 + near).astype(np.uint64))
+            move = bounds[doc] - base
+            row = pa.array(own[doc])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g.view(np.int64)), pa.array(u.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), *(pa.array((x - move).astype(np.int32)) for x in (at, lo, hi))],
+                ["key", "u", "doc_id", "h", "at", "lo", "hi"],
+            )
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """What runs of documents (doc_id, h, text, runs) cover."""
+    for batch in batches:
+        held = batch.column(3)
         flat = held.flatten()
-        at, lo, hi = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+        at, lo, hi = (flat.field(k).to_numpy() for k in ("at", "lo", "hi"))
         sizes = held.value_lengths().to_numpy()
         ends = np.r_[0, np.cumsum(sizes)]
-        for i, j in batched(texts):
-            symbols, bounds = kind.symbols(texts[i:j])
-            own = slice(ends[i], ends[j])
-            doc = np.repeat(np.arange(j - i), sizes[i:j])
-            move = bounds[doc]
-            a, x, y = at[own] + move, lo[own] + move, hi[own] + move
-            q0, q1 = (a - y + 1) // width, (a - x) // width
+        body = [b for i, t in enumerate(batch.column(2)) for b in kind.body(raw(t), lo[ends[i] : ends[i + 1]], hi[ends[i] : ends[i + 1]])]
+        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("key"), flat.field("n"), batch.column(0).take(row), batch.column(1).take(row), pa.array(at), pa.array(lo), pa.array(hi), pa.array(body, pa.binary())],
+            ["key", "n", "doc_id", "h", "at", "lo", "hi", "body"],
+        )
+
+
+def _slices(batches: Iterator[pa.RecordBatch], kind: Kind, width: int) -> Iterator[pa.RecordBatch]:
+    """Runs with their bodies, cut into slices of `width` window starts, at equal offsets from the anchor."""
+    for batch in batches:
+        bodies = batch.column(7).to_pylist()
+        for i, j in batched(bodies):
+            symbols, bounds = kind.symbols(bodies[i:j])
+            at, lo, hi = (batch.column(k).to_numpy()[i:j].astype(np.int64) for k in (4, 5, 6))
+            q0, q1 = (at - hi + 1) // width, (at - lo) // width
             n = q1 - q0 + 1
-            pick = np.repeat(np.arange(len(a)), n)
+            pick = np.repeat(np.arange(j - i), n)
             q = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n) + q0[pick]
-            a, x, y, doc, move = a[pick], x[pick], y[pick], doc[pick], move[pick]
-            x, y = np.maximum(x, a - (q + 1) * width + 1), np.minimum(y, a - q * width + 1)
-            roll = Rolling(symbols)
-            key = mixed(roll.ranges(a - q * width, a - (q + 1) * width + 1 + kind.win) + q.astype(np.uint64) + np.uint64(1))
-            if width == 1:
-                key, u = roll.ranges(x, x + kind.win), np.zeros(len(x), np.uint64)
-            else:
-                u = mixed(roll.ranges(x, y - 1 + kind.win) + ((a - x) * 65536 + (a - y)).astype(np.uint64))
-            for s in range(0, len(key), 1 << 18):
-                e = slice(s, s + (1 << 18))
+            a = at[pick]
+            x, y = np.maximum(lo[pick], a - (q + 1) * width + 1), np.minimum(hi[pick], a - q * width + 1)
+            move = bounds[:-1][pick] - lo[pick]  # of a place in the document, to its place in the buffer
+            hashes = Hashes(symbols, kind.win)
+            # what all windows of a whole slice have in common is the new key
+            core = a - q * width + move
+            key = mixed(hashes.ranges(core, core + kind.win - width + 1, kind.win - width + 1) + mixed(q.astype(np.uint64)))
+            u = mixed(hashes.ranges(x + move, y - 1 + kind.win + move, kind.win) + ((a - x) * 65536 + (a - y)).astype(np.uint64))
+            row = pa.array(i + pick)
+            for s in range(0, len(pick), 1 << 14):
+                e = slice(s, s + (1 << 14))
+                body = [b for r, v, w in zip(pick[e].tolist(), (x - lo[pick])[e], (y - lo[pick])[e], strict=True) for b in kind.body(bodies[i + r], np.array([v]), np.array([w]))]
+                own = row.slice(s, 1 << 14)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[e].view(np.int64)), pa.array(u[e].view(np.int64)), pa.array(ids[i + doc[e]]), *(pa.array((v[e] - move[e]).astype(np.int32)) for v in (a, x, y))],
-                    ["key", "u", "doc_id", "at", "lo", "hi"],
+                    [pa.array(key[e].view(np.int64)), pa.array(u[e].view(np.int64)), batch.column(2).take(own), batch.column(3).take(own), *(pa.array(v[e].astype(np.int32)) for v in (a, x, y)), pa.array(body, pa.binary())],
+                    ["key", "u", "doc_id", "h", "at", "lo", "hi", "body"],
                 )
 
 
-def by_document(ranges: DataFrame, *columns: str) -> DataFrame:
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("ranges"))
+def _ranks(ids: np.ndarray, win: int) -> np.ndarray:
+    """The rank of every suffix to the depth of `win` symbols, by those of its halves: equal for equal windows."""
+    rank, size, at = {1: ids.astype(np.int64)}, 1, 1
+    while 2 * size <= win:
+        rank[2 * size] = _joined(rank[size], rank[size], size)
+        size *= 2
+    out, at = rank[size], size
+    for part in sorted(rank, reverse=True):
+        while at + part <= win:
+            out, at = _joined(out, rank[part], at), at + part
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    n = max(len(b) - by, 0)
+    return np.unique(a[:n] * (int(b.max(initial=0)) + 1) + b[by:][:n], return_inverse=True)[1]
+
+
+def _subtrees(table: pa.Table, kind: Kind, first_stays: bool) -> pa.Table:
+    """Ranges of the windows to remove, of some whole groups of runs: nodes of the depth of a window with several leaves."""
+    key, at, lo, hi = (table.column(c).to_numpy() for c in ("key", "at", "lo", "hi"))
+    at, lo, hi = (x.astype(np.int64) for x in (at, lo, hi))
+    bodies = table.column("body").to_pylist()
+    n = hi - lo
+    run = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    if kind.words:
+        data, first, last, bounds = split(bodies)
+        window = _ranks(word_ids(data, first, last)[0], kind.win)[bounds[:-1][run] + step].astype(np.uint64)
+    else:
+        symbols, bounds = kind.symbols(bodies)
+        window = Hashes(symbols, kind.win).grams(kind.win)[bounds[:-1][run] + step]
+    # equal windows lie equally far from the anchor of one group
+    node = mixed(window + mixed(key[run].view(np.uint64) + (at - lo)[run].astype(np.uint64) - step.astype(np.uint64)))
+    order = np.argsort(node, kind="stable")
+    node, group = node[order], key[run][order]
+    start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (group[1:] != group[:-1])]) if len(node) else np.zeros(0, np.int64)
+    leaves = np.diff(np.r_[start, len(node)])
+    gone = np.zeros(len(node), bool)
+    if first_stays and len(start):
+        place = _places(table)[run][order]
+        gone[order] = place > np.repeat(np.minimum.reduceat(place, start), leaves)
+    elif len(start):
+        gone[order] = np.repeat(leaves > 1, leaves)
+    edge = np.r_[True, (gone[1:] != gone[:-1]) | (run[1:] != run[:-1])] if len(gone) else np.zeros(0, bool)
+    a = np.flatnonzero(edge)
+    b = np.r_[a[1:], len(gone)]
+    a, b = a[gone[a]] if len(a) else a, b[gone[a]] if len(a) else b
+    own = pa.array(run[a])
+    x = lo[run[a]] + step[a]
+    return pa.table({"doc_id": table.column("doc_id").take(own), "h": table.column("h").take(own), "lo": pa.array(x.astype(np.int32)), "hi": pa.array((x + b - a).astype(np.int32))})
+
+
+def _places(table: pa.Table) -> np.ndarray:
+    """The rank of each run by doc_id (none last), hash of the text and place, equal for equal ones."""
+    doc = table.column("doc_id")
+    parts = [doc.is_null().to_numpy().astype(np.int64), doc.fill_null(0).to_numpy(), table.column("h").to_numpy(), table.column("at").to_numpy().astype(np.int64)]
+    order = np.lexsort(parts[::-1])
+    new = np.zeros(len(order), bool)
+    for p in parts:
+        new[1:] |= p[order][1:] != p[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _place() -> Column:
+    """Where a run is, in the order of occurrence."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "lo")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows of which another has the key, with n (rows of the key), several (its classes are), copies and first (place) of the class."""
+    total = rows.count()
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("u") != F.max("u")).alias("several")).where("n > 1")
+    keys = stored(keys)
+    # light keys: shuffled once by key, classes lie within
+    least = total // HEAVY
+    rows = rows.withColumn("place", _place())
+    heavy = keys.where(F.col("n") > least)
+    same = Window.partitionBy("key", "u")
+    light = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(keys.where(F.col("n") <= least), "key")
+    light = light.withColumns({"copies": F.count(F.lit(1)).over(same), "first": F.min("place").over(same)})
+    # heavy ones, fewer than HEAVY: classes by map-side combined counts, of which heavy ones are broadcast in turn
+    hot = rows.join(F.broadcast(heavy), "key")
+    classes = hot.groupBy("key", "u").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"))
+    classes = stored(classes)
+    out = light.unionByName(at_keys(hot, classes, ["key", "u"], "copies", total))
+    out = stored(out.withColumn("stays", F.col("place") == F.col("first")).drop("place", "first"))
+    free(keys, classes)
+    return out
 
 
 def repeated(docs: DataFrame, kind: Kind, first_stays: bool) -> DataFrame:
-    """doc_id, lo, hi: ranges of starts of the windows to remove.
+    """doc_id, h, lo, hi: ranges of starts of the windows to remove.
 
-    docs has doc_id and text. With first_stays the earliest occurrence (by doc_id, then start) of a
-    window stays; otherwise every window that starts at two places goes.
+    docs has doc_id, h (a hash of the text) and text; rows alike in both are one document where it is
+    asked which window comes first. With first_stays that is the one of the smallest doc_id (none: after
+    all others), then h, then start; otherwise every window that starts at two places goes.
     """
     small_batches(docs.sparkSession)
-    out, split = None, None
-    for width in (0, *kind.widths):
-        met = stored(_met(docs, kind, width, split))
-        alike = met.where("alike")
-        if first_stays:
-            place: Column = F.struct("doc_id", "lo")
-            first = alike.groupBy("key").agg(F.min(place).alias("first")).withColumnRenamed("key", "k")
-            alike = alike.join(first, F.col("key") == F.col("k")).where(place != F.col("first"))
-        found = alike.select("doc_id", "lo", "hi")
-        out = found if out is None else out.unionByName(found)
-        split = met.where(~F.col("alike")).select("doc_id", "at", "lo", "hi")
+    rows, found = stored(docs.mapInArrow(partial(_runs, kind=kind), _ROWS)), []
+    for width in (*kind.widths, 0):
+        met = _settled(rows)
+        free(rows)
+        copies = met.where("copies > 1 AND NOT stays" if first_stays else "copies > 1")
+        found.append(stored(copies.select("doc_id", "h", "lo", "hi")))
+        left = met.where("several AND stays")
+        if "body" not in met.columns:
+            left = left.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "n", "at", "lo", "hi")).alias("runs"))
+            left = with_lists(docs, left, "runs", "inner").mapInArrow(partial(_bodies, kind=kind), _ROWS.replace("u long", "n long") + ", body binary")
+        else:
+            left = left.select("key", "n", "doc_id", "h", "at", "lo", "hi", "body")
+        left = stored(left)
+        free(met)
+        tasks = max(1, left.count() // TASK_RUNS)
+        small = left.where(F.col("n") <= GROUP_RUNS).groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"))
+        small = small.applyInArrow(lambda groups: _subtrees(groups, kind, first_stays), "doc_id long, h long, lo int, hi int")
+        found.append(stored(small))
+        deep = left.where(F.col("n") > GROUP_RUNS)
+        if not width or deep.isEmpty():
+            break
+        rows = stored(deep.mapInArrow(partial(_slices, kind=kind, width=width), _ROWS + ", body binary"))
+        free(left)
+    free(left)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def _met(docs: DataFrame, kind: Kind, width: int, split: DataFrame | None) -> DataFrame:
-    """Runs whose key another run has too, and whether all runs of the key are alike. width 0: the runs around anchors."""
-    if split is None:
-        rows = docs.mapInArrow(partial(_runs, kind=kind), _ROWS)
-    else:
-        held = by_document(split, "at", "lo", "hi").withColumnRenamed("doc_id", "__d")
-        rows = docs.join(held, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "ranges")
-        rows = stored(rows.mapInArrow(partial(_slices, kind=kind, width=width), _ROWS))
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
-    groups = groups.select(F.col("key").alias("k"), (F.col("u0") == F.col("u1")).alias("alike"))
-    return rows.join(groups, F.col("key") == F.col("k")).drop("k", "u")
-
-
-def covered(ranges: list[tuple[int, int]], win: int) -> list[tuple[int, int]]:
-    """Maximal runs of symbols that windows starting in the ranges cover."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(ranges):
-        end = hi - 1 + win
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((lo, end))
-    return out
+def with_lists(docs: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+    """docs (doc_id, h, text) with the list of each document."""
+    lists = lists.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), name)
+    return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")), how).select("doc_id", "h", "text", name)
 
 
 def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the ranges of each document, null where there are none."""
-    held = by_document(found, "lo", "hi").withColumnRenamed("doc_id", "__d")
-    return docs.join(held, F.col("doc_id") == F.col("__d"), "left").select("doc_id", "text", "ranges")
+    """docs (doc_id, h, text) with the ranges of each document, null where there are none."""
+    lists = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return with_lists(docs, lists, "ranges", "left")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+
+
+def covered(ranges: pa.ListArray, bounds: np.ndarray, win: int) -> np.ndarray:
+    """Which symbols of some texts are covered by windows that start in the ranges of each text."""
+    flat, sizes = ranges.flatten(), ranges.value_lengths().fill_null(0).to_numpy()
+    move = np.repeat(bounds[:-1], sizes)
+    n = int(bounds[-1])
+    change = np.bincount(flat.field("lo").to_numpy() + move, minlength=n + 1) - np.bincount(flat.field("hi").to_numpy() - 1 + win + move, minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each text's symbols are marked."""
+    total = np.r_[0, np.cumsum(mask)]
+    return total[bounds[1:]] - total[bounds[:-1]]

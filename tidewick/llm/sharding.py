@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, utf8_bytes
+from .common import documents, stored, utf8_bytes
 
 SHARDS = 8
 
@@ -22,7 +22,7 @@ def byte_shards(rows: DataFrame, order: list[str], size: str, shards: int) -> Da
     function's own.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     totals = (

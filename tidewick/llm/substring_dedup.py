@@ -4,45 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
-from .repeats import Kind, covered, raw, repeated, with_ranges
-
-import numpy as np
+from .common import documents
+from .repeats import Kind, batched, covered, identified, raw, repeated, split, sums, with_ranges
 
-#: Windows of 20 words; suffixes are dealt by prefixes of 5 words, then by the 20 of a whole window.
-WORDS = Kind(words=True, win=20, gram=5, widths=(1,))
+#: Windows of 20 words; suffixes are dealt by prefixes of 5 words, those of larger groups by 17, then by 20.
+WORDS = Kind(words=True, win=20, gram=5, widths=(4, 1))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, h, text, ranges -> the words that stay."""
     for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = raw(text)
-            first, last = words_of(np.frombuffer(data, np.uint8))
-            stays = np.ones(len(first), bool)
-            for a, b in covered([(r["lo"], r["hi"]) for r in ranges or ()], WORDS.win):
-                stays[a:b] = False
-            n_words.append(len(first))
-            n_removed.append(int(len(first) - stays.sum()))
-            kept.append(b" ".join([data[a:b] for a, b in zip(first[stays].tolist(), last[stays].tolist(), strict=True)]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept"],
-        )
+        texts = [raw(t) for t in batch.column(2)]
+        for i, j in batched(texts):
+            data, first, last, bounds = split(texts[i:j])
+            stays = ~covered(batch.column(3).slice(i, j - i), bounds, WORDS.win)
+            n_words, n_kept = np.diff(bounds), sums(stays, bounds)
+            # every word is followed by a white space, which becomes the space that joins, but after the last one
+            doc = np.repeat(np.arange(j - i), n_words)[stays]
+            a, b = first[stays], last[stays] + 1
+            b[np.r_[doc[1:] != doc[:-1], np.ones(min(len(doc), 1), bool)]] -= 1
+            kept = np.cumsum(np.bincount(a, minlength=len(data) + 1) - np.bincount(b, minlength=len(data) + 1))[:-1] > 0
+            joined = data.copy()
+            joined[last[stays]] = 32
+            ends = np.r_[0, np.cumsum(np.bincount(doc, b - a, minlength=j - i).astype(np.int64))].astype(np.int32)
+            out = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(joined[kept])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), out],
+                ["doc_id", "n_words", "n_removed", "kept"],
+            )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words of each text without those of repeated windows, joined by one space.
 
     Of equal windows the first one stays: that of the smallest doc_id and, within it, of the earliest
-    start. Null and empty texts have no words. A row of a null doc_id keeps all its words; rows that
-    repeat a doc_id count as one document; an empty table gives no rows.
+    start. Null and empty texts have no words. Rows of a null doc_id come after all others; rows that
+    repeat a doc_id come in the order of a hash of their texts, and those that repeat the text too
+    count as one document; an empty table gives no rows. Texts are searched in overlapping parts,
+    whatever their length; other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = identified(docs)
     found = repeated(docs, WORDS, first_stays=True)
     return with_ranges(docs, found).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
