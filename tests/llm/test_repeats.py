@@ -65,9 +65,10 @@ def test_repeated_and_missing_ids(spark):
     assert {r[2] for r in bytes_result(frame(spark, twice))} == {len(shared)}
 
 
-@pytest.mark.parametrize("runs", [1, 3, 4096])
-def test_groups_of_any_size(spark, monkeypatch, runs):
+@pytest.mark.parametrize(("runs", "heavy"), [(1, 1024), (3, 2), (4096, 8)])
+def test_groups_of_any_size(spark, monkeypatch, runs, heavy):
     monkeypatch.setattr(repeats, "GROUP_RUNS", runs)
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
     rnd = random.Random(runs)
     words = [f"w{i}" for i in range(500)]
     prose = lambda n: [rnd.choice(words) for _ in range(n)]

@@ -19,7 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; whole texts travel in it, so it bounds a worker's memory.
 BATCH_ROWS = 512
 
-#: A key of more rows than one in so many is heavy, see at_keys.
+#: A key of more rows than one in so many is heavy; there are fewer than so many, whatever the size of a table.
 HEAVY = 1024
 
 
@@ -73,18 +73,6 @@ def free(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def at_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """rows joined with keyed, which has one row for each of some keys and in `weight` the number of rows of that key.
-
-    A key of more than a HEAVY-th of all rows is heavy. There are fewer than HEAVY of these, whatever the
-    size of the tables, so they are broadcast and their rows stay where they are; the rest is shuffled.
-    """
-    least = total // HEAVY
-    heavy = F.broadcast(keyed.where(F.col(weight) > least))
-    light = rows.join(F.broadcast(keyed.where(F.col(weight) > least).select(*keys)), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(light.join(keyed.where(F.col(weight) <= least), keys))
-
-
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

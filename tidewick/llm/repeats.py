@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, Hashes, anchors, at_keys, free, mixed, small_batches, stored, word_ids, word_symbols, words_of
+from .common import HEAVY, Hashes, anchors, free, mixed, small_batches, stored, word_ids, word_symbols, words_of
 
 #: Bytes of text that are worked on at once; longer documents are cut into overlapping parts.
 BUFFER = 1 << 19
@@ -242,25 +242,34 @@ def _place() -> Column:
 
 
 def _settled(rows: DataFrame) -> DataFrame:
-    """Rows of which another has the key, with n (rows of the key), several (its classes are), copies and first (place) of the class."""
+    """Rows of which another has the key, with n (rows of the key), several (its classes are), copies of the class and whether the row stays.
+
+    Rows are shuffled once, by key, and classes lie within. A key of more than a HEAVY-th of all rows,
+    of which there are fewer than HEAVY, is dealt by class instead and counts as having several; a class
+    as large as that is settled by map-side combined counts, which are broadcast, and its rows stay apart.
+    """
     total = rows.count()
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("u") != F.max("u")).alias("several")).where("n > 1")
-    keys = stored(keys)
-    # light keys: shuffled once by key, classes lie within
-    least = total // HEAVY
+    found = rows.agg(F.expr(f"approx_top_k(key, {HEAVY}, {8 * HEAVY})").alias("top")).first()["top"]
+    heavy = [x["item"] for x in found if x["count"] > max(1, total // HEAVY)]  # a frequent-items summary of fixed size has them all
+    is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
     rows = rows.withColumn("place", _place())
-    heavy = keys.where(F.col("n") > least)
-    same = Window.partitionBy("key", "u")
-    light = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(keys.where(F.col("n") <= least), "key")
-    light = light.withColumns({"copies": F.count(F.lit(1)).over(same), "first": F.min("place").over(same)})
-    # heavy ones, fewer than HEAVY: classes by map-side combined counts, of which heavy ones are broadcast in turn
-    hot = rows.join(F.broadcast(heavy), "key")
-    classes = hot.groupBy("key", "u").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"))
-    classes = stored(classes)
-    out = light.unionByName(at_keys(hot, classes, ["key", "u"], "copies", total))
-    out = stored(out.withColumn("stays", F.col("place") == F.col("first")).drop("place", "first"))
-    free(keys, classes)
-    return out
+    classes = rows.where(is_heavy).groupBy(F.col("key").alias("k"), F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("f"))
+    large = F.broadcast(classes.where(F.col("c") > max(1, total // HEAVY)))
+    apart = F.xxhash64("key", "u", F.when(F.col("c").isNotNull(), F.xxhash64("place")))
+    dealt = rows.join(large, (F.col("key") == F.col("k")) & (F.col("u") == F.col("v")), "left").withColumn("deal", F.when(is_heavy, apart).otherwise(F.col("key")))
+    same = Window.partitionBy("deal", "key", "u")
+    dealt = dealt.withColumns({"copies": F.count(F.lit(1)).over(same), "first": F.min("place").over(same)})
+    group = Window.partitionBy("deal", "key")
+    dealt = dealt.withColumns({"n": F.count(F.lit(1)).over(group), "several": F.min("u").over(group) != F.max("u").over(group)})
+    dealt = dealt.withColumns(
+        {
+            "n": F.when(is_heavy, F.lit(total)).otherwise(F.col("n")),
+            "several": is_heavy | F.col("several"),
+            "copies": F.coalesce("c", "copies"),
+            "stays": F.col("place") == F.coalesce("f", "first"),
+        }
+    )
+    return stored(dealt.where("n > 1").drop("place", "first", "deal", "k", "v", "c", "f"))
 
 
 def repeated(docs: DataFrame, kind: Kind, first_stays: bool) -> DataFrame:
