@@ -204,7 +204,7 @@ def test_op6(spark, sf_dir, rows):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    odd = ["  Hello  world\n\tfoo bar  é̀ ﬁ ", "aaaa aaa aaaaaaaaaaaaaaaaa", "x\x00y 日本語 テスト 😀😀", "the_the==>!!!!!?????-----", None, ""]
+    odd = [" " * 9000, "a" * 9000, "日本" * 3000, "x" * 4095 + " " + "y" * 4097, "  Hello  world\n\tfoo bar  é̀ ﬁ ", "aaaa aaa aaaaaaaaaaaaaaaaa", "x\x00y 日本語 テスト 😀😀", "the_the==>!!!!!?????-----", None, ""]
     docs = spark.createDataFrame([*rows.items(), *((-1 - i, t) for i, t in enumerate(odd))], "doc_id long, text string")
     for r in sentencepieces.decode(sentencepieces.encode(docs)).join(docs.withColumnRenamed("text", "was"), "doc_id").collect():
         assert r["ids"] == model.encode(r["was"] or "") and r["text"] == (r["was"] or "")
@@ -272,18 +272,51 @@ def test_op9(spark, sf_dir, rows):
         for offset, length in sorted(own):
             assert offset == at
             at += length
-        assert at <= 2048
-    assert len(by) <= sum(r["length"] for r in pieces) // 2048 + 2
+        assert at <= 2048 and at & (at - 1) == 0  # no sequence is padded
 
 
-def test_op9_fill_leaves_little():
+def test_op9_fill_leaves_no_padding():
     import numpy as np
 
     rnd = np.random.default_rng(1)
-    lengths = np.concatenate([rnd.choice(packing.TIERS, 300), rnd.integers(1, 256, 900)])
-    seqs = packing.fill(lengths)
-    assert sorted(i for s in seqs for i in s) == list(range(len(lengths)))
-    assert all(lengths[s].sum() <= 2048 for s in seqs) and len(seqs) <= lengths.sum() // 2048 + 2
+    sizes = [int(n) for n in (*rnd.choice(packing.TIERS, 300), *rnd.integers(1, 256, 900), *rnd.integers(257, 9000, 200))]
+    found = packing.fill([p for d, n in enumerate(sizes) for p in packing.routed(d, n)])
+    assert {t for t, _ in found.windows} == set(packing.TIERS) and all(sum(p.length for p in w) == t for t, w in found.windows)
+    windows = found.windows + packing.close(found.left)
+    assert all(n & (n - 1) == 0 and sum(p.length for p in w) == n for n, w in windows)
+    by: dict[int, list] = {}
+    for _, w in windows:
+        for p in w:
+            by.setdefault(p.doc, []).append((p.start, p.length))
+    for d, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(by[d]):
+            assert start == at
+            at += length
+        assert at == n
+    # each tier is packed on its own: most windows begin with a document of that tier, and few documents are cut
+    assert sum(map(len, (w for _, w in windows))) < 1.6 * sum(len(packing.routed(0, n)) for n in sizes)
+    steps = packing.dealt(windows)
+    cost = np.bincount(steps, [sum(p.length**2 for p in w) for _, w in windows])
+    assert cost.max() < 2 * cost.min()
+
+
+def test_op9_awkward_texts(spark):
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    texts = [" " * 1_200_000, "a" * 300_000, "\n" * 300_000, "x <|endoftext|> y", "one <|endoftext|>", "\ud7ff é 😀", None, ""]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "no id")], "doc_id long, text string").withColumn("start", F.lit("s"))
+    rows = packing.pack(docs.repartition(3)).collect()
+    for d, t in enumerate(texts):
+        ids = [*encode(t or "", add_special_tokens=False).ids, 1]
+        own = {(r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows if r["doc_id"] == d}
+        assert all(zlib.crc32(struct.pack(f"<{n}I", *ids[a : a + n])) == crc and total == len(ids) for a, n, crc, total in own)
+        assert sum(r["length"] for r in rows if r["doc_id"] == d) == len(ids) * (2 if d == 3 else 1)
+    assert sum(r["length"] for r in rows if r["doc_id"] is None) == len(encode("no id").ids) + 1
 
 
 def test_op10(spark, sf_dir, rows):

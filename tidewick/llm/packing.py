@@ -5,154 +5,214 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored
+from .common import documents, small_batches
 
-#: Context-size tiers; a document's whole blocks go to the largest tier that they fill.
+#: Context sizes. A document goes to the least one that it fits; whole blocks of the largest one are cut off longer documents first.
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
-#: Pieces packed together by one task; every such group ends in at most one padded sequence.
-GROUP_PIECES = 20_000
-#: Sequences of one step.
-STEP = 8
+#: Tokens that a task packs together; what fills no window stays for the next ones.
+GROUP_TOKENS = 1 << 22
+#: Tokens of a step: as many as in eight of the largest windows.
+STEP_TOKENS = 8 * TIERS[0]
 
 
+@cache
 def byte_bpe(path: str | None = None):
-    """The byte-level BPE of byte_bpe_50k, by its ranks: the same ids as its tokenizers file gives, in less time."""
+    """text -> ids of the byte-level BPE of byte_bpe_50k.json, the end-of-text mark in a text included.
+
+    tiktoken gives the same ids by the same ranks in less time, but its pattern search gives up on very
+    long runs of white space; such texts go to the tokenizers library.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-
-
-def cut_points(n: int) -> list[int]:
-    """Lengths of the pieces of n tokens: blocks of the tiers, largest first, then what is left."""
-    out = [TIERS[0]] * (n // TIERS[0])
-    n %= TIERS[0]
-    for tier in TIERS[1:]:
-        if n >= tier:
-            out.append(tier)
-            n -= tier
-    return out + [n] * (n > 0)
-
-
-def _pieces(path: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode
-        for batch in batches:
-            ids, starts, lengths, crcs, totals = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = encode(text.as_py() or "", allowed_special="all")
-                tokens.append(END_ID)
-                raw = np.array(tokens, "<u4")
-                at = 0
-                for n in cut_points(len(tokens)):
-                    ids.append(doc_id)
-                    starts.append(at)
-                    lengths.append(n)
-                    crcs.append(zlib.crc32(raw[at : at + n]))
-                    totals.append(len(tokens))
-                    at += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
-
-    return run
-
-
-def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per piece of each document: tokenised once, cut at tier sizes, with the checksum of its ids."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(
-        _pieces(path), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return plain.encode(text, add_special_tokens=False).ids
 
-def fill(lengths: np.ndarray) -> list[list[int]]:
-    """Sequences, as lists of piece indices, of at most TIERS[0] tokens.
+    return encode
 
-    Pieces of a tier's size are joined within their tier as far as they fill whole sequences; what is
-    left of each tier goes, largest first, into long windows, and their gaps are filled from shorter
-    tiers and from the remainders, each time with the longest piece that fits.
-    """
+
+@dataclass
+class Piece:
+    """Some consecutive ids of a document."""
+
+    doc: int  # its number among the documents at hand
+    start: int
+    length: int
+
+
+@dataclass
+class Packed:
+    """Windows of piece lists, each full or the last ones, and pieces that are left."""
+
+    windows: list[tuple[int, list[Piece]]] = field(default_factory=list)  # tier, pieces
+    left: list[Piece] = field(default_factory=list)
+
+
+class Shelves:
+    """Pieces by length, of the tiers up to one."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.by: dict[int, list[Piece]] = {}
+        self.count = np.zeros(TIERS[0] + 1, np.int64)
+        for p in pieces:
+            self.put(p)
+
+    def put(self, piece: Piece) -> None:
+        self.by.setdefault(piece.length, []).append(piece)
+        self.count[piece.length] += 1
+
+    def take(self, least: int, most: int) -> Piece | None:
+        """The longest piece of least to most tokens."""
+        fits = np.flatnonzero(self.count[least : most + 1])
+        if not len(fits):
+            return None
+        n = least + int(fits[-1])
+        self.count[n] -= 1
+        return self.by[n].pop()
+
+
+def routed(doc: int, n: int) -> list[Piece]:
+    """A document of n tokens as whole blocks of the largest tier and what is left."""
     long = TIERS[0]
-    order = np.argsort(-lengths, kind="stable")
-    by: dict[int, list[int]] = {}
-    for i in order:
-        by.setdefault(int(lengths[i]), []).append(int(i))
-    out = [[i] for i in by.pop(long, [])]
-    for tier in TIERS[1:]:
-        own = by.get(tier, [])
-        each = long // tier
-        whole = len(own) // each * each
-        out += [own[i : i + each] for i in range(0, whole, each)]
-        if tier in by:
-            by[tier] = own[whole:]
-    count = np.zeros(long + 1, np.int64)
-    for n, own in by.items():
-        count[n] = len(own)
-    left = int(count.sum())
-    while left:
-        gap, seq = long, []
-        while gap and left:
-            fits = np.flatnonzero(count[1 : gap + 1])
-            if not len(fits):
-                break
-            n = int(fits[-1]) + 1
-            seq.append(by[n].pop())
-            count[n] -= 1
-            left -= 1
-            gap -= n
-        out.append(seq)
+    return [Piece(doc, at, min(long, n - at)) for at in range(0, n, long)]
+
+
+def fill(pieces: list[Piece]) -> Packed:
+    """Packs each tier, the longest first, in windows of its own length.
+
+    A window starts with the longest piece of its tier; its gap takes the longest pieces of shorter
+    tiers that fit and then the first part of one that does not, so a full window has no padding. A
+    window that shorter pieces cannot fill is not closed: its pieces are left.
+    """
+    shelves, out = Shelves(pieces), Packed()
+    for tier, below in zip(TIERS, (*TIERS[1:], 0), strict=True):
+        while (piece := shelves.take(below + 1, tier)) is not None:
+            window, gap = [piece], tier - piece.length
+            while gap and (piece := shelves.take(1, min(gap, below or tier))) is not None:
+                window.append(piece)
+                gap -= piece.length
+            if gap and (piece := shelves.take(gap + 1, below or tier)) is not None:
+                window.append(Piece(piece.doc, piece.start, gap))
+                shelves.put(Piece(piece.doc, piece.start + gap, piece.length - gap))
+                gap = 0
+            if gap:
+                out.left += window
+            else:
+                out.windows.append((tier, window))
     return out
 
 
-def _pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "start"], kind="stable").reset_index(drop=True)
-    length = frame["length"].to_numpy()
-    seqs = fill(length)
-    # steps: sequences by their attention cost, dealt to and fro, so that the steps of a group cost alike
-    cost = np.array([float((length[s].astype(float) ** 2).sum()) for s in seqs])
-    steps = max(1, -(-len(seqs) // STEP))
-    rank = np.empty(len(seqs), np.int64)
-    rank[np.argsort(-cost, kind="stable")] = np.arange(len(seqs))
+def close(pieces: list[Piece]) -> list[tuple[int, list[Piece]]]:
+    """Pieces in a row, cut into windows of the tiers, then of ever smaller powers of two: none is padded."""
+    windows, todo, size = [], list(reversed(pieces)), TIERS[0]
+    total = sum(p.length for p in pieces)
+    while total:
+        while size > total:
+            size //= 2
+        window, gap = [], size
+        while gap:
+            p = todo.pop()
+            if p.length > gap:
+                todo.append(Piece(p.doc, p.start + gap, p.length - gap))
+                p = Piece(p.doc, p.start, gap)
+            window.append(p)
+            gap -= p.length
+        windows.append((size, window))
+        total -= size
+    return windows
+
+
+def dealt(windows: list[tuple[int, list[Piece]]]) -> list[int]:
+    """The step of each window: by cost of attention, to and fro over as many steps as their tokens make, so that steps cost alike."""
+    steps = max(1, -(-sum(n for n, _ in windows) // STEP_TOKENS))
+    cost = np.array([sum(p.length**2 for p in own) for _, own in windows])
+    rank = np.empty(len(windows), np.int64)
+    rank[np.argsort(-cost, kind="stable")] = np.arange(len(windows))
     turn, place = rank // steps, rank % steps
-    step = np.where(turn % 2 == 0, place, steps - 1 - place)
-    n = len(frame)
-    seq_of, offset, tier = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for k, s in enumerate(seqs):
-        at = 0
-        for i in s:
-            seq_of[i], offset[i] = k, at
-            at += length[i]
-        tier[s] = min((t for t in TIERS if t >= length[s[0]]), default=TIERS[0])
-    base = int(key[0]) << 32
-    return frame.drop(columns="__group").assign(sequence_id=base + seq_of, offset=offset, tier=tier, step_id=base + step[seq_of])
-
-
-def pack(piece_rows: DataFrame) -> DataFrame:
-    """Pieces with sequence_id, offset, tier and step_id.
-
-    Pieces are dealt by hash to groups of about GROUP_PIECES, each packed by one task with bounded
-    memory, whatever document or source they come from. The number of groups follows the number of
-    pieces, so padding is at most one sequence in some thousands. sequence_id and step_id are unique
-    over all groups. Null ids and repeated rows are pieces like others; an empty table gives no rows.
+    return np.where(turn % 2 == 0, place, steps - 1 - place).tolist()
+
+
+_PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    encode, base = byte_bpe(path), TaskContext.get().partitionId() << 32
+    ids: list[np.ndarray] = []
+    names: list[int | None] = []
+    left: list[Piece] = []
+    size = sequence = step = 0
+
+    def rows(windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
+        nonlocal sequence, step
+        of = dealt(windows)
+        out = []
+        for k, (tier, window) in enumerate(windows):
+            at = 0
+            for p in window:
+                crc = zlib.crc32(ids[p.doc][p.start : p.start + p.length])
+                out.append((names[p.doc], p.start, p.length, crc, len(ids[p.doc]), base + sequence + k, at, tier, base + step + of[k]))
+                at += p.length
+        sequence, step = sequence + len(windows), step + max(of, default=-1) + 1
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
+            left += routed(len(ids), len(own))
+            ids.append(own)
+            names.append(doc_id)
+            size += len(own)
+            if size >= GROUP_TOKENS:
+                found = fill(left)
+                if found.windows:
+                    yield rows(found.windows)
+                # only documents with pieces left are kept
+                kept = sorted({p.doc for p in found.left})
+                move = {d: i for i, d in enumerate(kept)}
+                ids, names = [ids[d] for d in kept], [names[d] for d in kept]
+                left = [Piece(move[p.doc], p.start, p.length) for p in found.left]
+                size = 0
+    found = fill(left)
+    windows = found.windows + close(found.left)
+    if windows:
+        yield rows(windows)
+
+
+def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Pieces of the token ids of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id.
+
+    Every document is encoded whole, whatever its length, and followed by END_ID; it is routed to a tier,
+    and every task packs its documents tier by tier, GROUP_TOKENS at a time, with nothing shuffled. Only
+    windows that are full are sequences; what is left at the end of a task is cut into powers of two,
+    so that no sequence is padded. sequence_id and step_id are unique over all tasks. Null and empty
+    texts are END_ID alone; null ids and repeated rows are documents like others; an empty table gives
+    no rows; other columns are not read.
     """
-    kept = stored(piece_rows)
-    groups = max(1, -(-kept.count() // GROUP_PIECES))
-    dealt = kept.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return dealt.groupBy("__group").applyInPandas(_pack, f"{schema}, sequence_id long, offset long, tier long, step_id long")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(partial(_pack, path=path), _PACKED)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(pieces(documents(spark, sf_dir)))
+    return pack(documents(spark, sf_dir))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text")
