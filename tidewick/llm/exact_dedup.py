@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, fresh, stored
 
 #: Digests that the frequent-items sketch follows, and how many of them may be broadcast.
 SKETCH_ITEMS = 8192
@@ -55,17 +55,20 @@ def duplicate_groups(digests: DataFrame, id_col: str, digest_col: str) -> DataFr
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without rows whose text equals (A-Z lower-cased) the text of a row with a larger doc_id.
+    """Pipeline stage: docs without rows whose text equals (A-Z lower-cased) the text of a row with a larger doc_id; columns stay.
 
-    Rows that repeat both doc_id and text count as one.
+    Null texts count as empty and equal each other. Null ids lose to others. Rows that repeat both doc_id
+    and text count as one. An empty table stays empty.
     """
-    marked = docs.withColumn("__digest", digest(F.col("text")))
-    groups = stored(duplicate_groups(marked.select("doc_id", "__digest"), "doc_id", "__digest").where("kept"))
+    own, same, id_ = fresh(docs, "digest", "same", "id")
+    marked = docs.withColumn(own, digest(F.col("text")))
+    groups = stored(duplicate_groups(marked.select("doc_id", F.col(own).alias("__digest")), "doc_id", "__digest").where("kept").select("doc_id", "__digest"))
     again = groups.groupBy("doc_id", "__digest").count().where("count > 1").limit(1).count()
     if again:
-        marked = marked.dropDuplicates(["doc_id", "__digest"])
-    keep = groups.select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__d"))
-    return marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")), "left_semi").drop("__digest")
+        marked = marked.dropDuplicates(["doc_id", own])
+    keep = groups.select(F.col("doc_id").alias(id_), F.col("__digest").alias(same))
+    out = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(same)), "left_semi")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

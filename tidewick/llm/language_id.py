@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, small_batches
+from .common import documents, fold_of, fresh, small_batches
 
 #: Hashed features: character n-grams of 1 to 3 code points.
 BITS = 14
@@ -23,7 +22,6 @@ SAMPLE_PER_LANGUAGE = 400
 REJECT_BELOW = 0.3
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +58,7 @@ class Model:
         return self.weights[:, at] @ self.vector(at, count)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not _LETTER.search(text):
+        if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         p = softmax(self.logits(*features(text)) / self.temperature)
         best = int(p.argmax())  # ties: the first label in order
@@ -170,8 +168,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     predictions.
     """
     small_batches(docs.sparkSession)
-    found = docs.withColumn("__found", predicted(model, F.col("text")))
-    return found.withColumn("lang_pred", F.col("__found.lang_pred")).withColumn("score", F.col("__found.score")).drop("__found")
+    (name,) = fresh(docs, "found")
+    found = docs.withColumn(name, predicted(model, F.col("text")))
+    return found.withColumn("lang_pred", F.col(f"{name}.lang_pred")).withColumn("score", F.col(f"{name}.score")).drop(name)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -179,10 +178,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: rows in a language that can be told; the columns stay."""
-    names = docs.columns
-    found = docs.withColumn("__found", predicted(fit(training_rows(docs)), F.col("text")))
-    return found.where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= REJECT_BELOW)).select(*[F.col(f"`{c}`") for c in names])
+    """Pipeline stage: rows in a language that can be told, of a calibrated probability of REJECT_BELOW at least; columns stay.
+
+    Rows of null, empty or letterless texts go. Equal texts stay or go together, repeated rows included.
+    An empty table stays empty.
+    """
+    (name,) = fresh(docs, "found")
+    found = docs.withColumn(name, predicted(fit(training_rows(docs)), F.col("text")))
+    return found.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= REJECT_BELOW)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
