@@ -75,3 +75,14 @@ def event_log(bars: DataFrame, events: DataFrame, last: int = 250) -> DataFrame:
         }
     ).where(F.col("age") < last)
     return rows.join(events, ["symbol", "d"]).select("symbol", "d", "code", "age", "ret10", "ret_now")
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """code, n, n_done, ret10, n_up, ret_now: what came after the events of a log, of those that are 10 sessions old."""
+    return log.groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("ret10").alias("n_done"),
+        F.avg("ret10").alias("ret10"),
+        F.count_if(F.col("ret10") > 0).alias("n_up"),
+        F.avg("ret_now").alias("ret_now"),
+    )

@@ -75,11 +75,12 @@ def measured(rows: DataFrame) -> DataFrame:
         F.sum("good").alias("good"),
         F.sum("missed").cast("long").alias("missed"),
         F.count("gap").alias("gaps"),
+        F.collect_list("price").alias("prices"),
     )
 
 
 def chains(orders: DataFrame, min_size: int = MIN_SIZE, steady=STEADY, even=EVEN) -> DataFrame:
-    """symbol, d, side, size, rule, n, first, last, cv, missed, avg_price: orders of one exact size at a steady beat.
+    """symbol, d, side, size, rule, n, first, last, cv, missed, avg_price, prices: orders of one exact size at a steady beat.
 
     Three passes over the orders of a size: segments of the long gap, then of the short one, then even
     ones. A later segment with any order that an earlier pass used is out.
@@ -99,7 +100,7 @@ def chains(orders: DataFrame, min_size: int = MIN_SIZE, steady=STEADY, even=EVEN
         used = now if used is None else used.unionByName(now)
         hits = hits.withColumn("rule", F.lit(k))
         found = hits if found is None else found.unionByName(hits)
-    return found.select("symbol", "d", "side", F.col("vol").alias("size"), "rule", "n", "first", "last", "cv", "missed", "avg_price")
+    return found.select("symbol", "d", "side", F.col("vol").alias("size"), "rule", "n", "first", "last", "cv", "missed", "avg_price", "prices")
 
 
 def shuffled(orders: DataFrame, seed: int) -> DataFrame:
@@ -157,3 +158,40 @@ def day_view(found: DataFrame, days: DataFrame) -> DataFrame:
     order = days.select("symbol", "d").withColumn("next", F.lead("d").over(Window.partitionBy("symbol").orderBy("d")))
     seen = found.select("symbol", "d", "side", "size").distinct().join(order, ["symbol", "d"]).select("symbol", F.col("next").alias("d"), "side", "size", F.lit(True).alias("carry"))
     return rows.join(seen, ["symbol", "d", "side", "size"], "left").withColumn("carry", F.coalesce("carry", F.lit(False)))
+
+
+def basket_members(orders: DataFrame, least_value: float, symbols: int = BASKET_SYMBOLS) -> DataFrame:
+    """Large orders with val and in_basket: whether a basket of their second and side has them."""
+    value = F.col("vol") * F.col("price")
+    keys = baskets(orders, least_value, symbols).select("d", "sec", "side", F.lit(True).alias("in_basket"))
+    rows = orders.withColumn("val", value).where(F.col("val") >= least_value)
+    return rows.join(keys, ["d", "sec", "side"], "left").withColumn("in_basket", F.coalesce("in_basket", F.lit(False)))
+
+
+def combined(days: DataFrame, found: DataFrame, members: DataFrame, whale: float) -> DataFrame:
+    """symbol, d, algo, bk, whale, comb: net value of a day's chains, of its large orders in baskets, of its large orders, and all that together.
+
+    What chains and large orders both have counts once, and large orders that belong to baskets do not count.
+    """
+    sign = F.when(F.col("side") == "B", 1).otherwise(-1)
+    value = F.aggregate("prices", F.lit(0.0), lambda a, p: a + p * F.col("size"))
+    large = F.aggregate("prices", F.lit(0.0), lambda a, p: a + F.when(p * F.col("size") >= whale, p * F.col("size")).otherwise(0.0))
+    by_chain = found.groupBy("symbol", "d").agg(F.sum(sign * value).alias("algo"), F.sum(sign * large).alias("overlap"))
+    by_basket = members.where("in_basket").groupBy("symbol", "d").agg(F.sum(sign * F.col("val")).alias("bk"), F.sum(F.when(F.col("val") >= whale, sign * F.col("val")).otherwise(0.0)).alias("bk_whale"))
+    rows = days.select("symbol", "d", (F.col("whale_buy") - F.col("whale_sell")).alias("whale"))
+    rows = rows.join(by_chain, ["symbol", "d"], "left").join(by_basket, ["symbol", "d"], "left").fillna(0.0, ["algo", "overlap", "bk", "bk_whale"])
+    return rows.withColumn("comb", F.col("whale") + F.col("algo") - F.col("overlap") - F.col("bk_whale"))
+
+
+def site_index(days: DataFrame, found: DataFrame, keep: int = 20) -> DataFrame:
+    """d, symbols, chains, net and whale of the last `keep` sessions."""
+    last = days.select("d").distinct().orderBy(F.desc("d")).limit(keep)
+    sign = F.when(F.col("side") == "B", 1).otherwise(-1)
+    by_chain = found.groupBy("symbol", "d").agg(F.count(F.lit(1)).alias("chains"), F.sum(sign * F.col("n") * F.col("size") * F.col("avg_price")).alias("net"))
+    rows = days.join(F.broadcast(last), "d", "left_semi").join(by_chain, ["symbol", "d"], "left")  # `keep` rows
+    return rows.groupBy("d").agg(
+        F.count(F.lit(1)).alias("symbols"),
+        F.coalesce(F.sum("chains"), F.lit(0)).alias("chains"),
+        F.coalesce(F.sum("net"), F.lit(0.0)).alias("net"),
+        F.sum(F.col("whale_buy") - F.col("whale_sell")).alias("whale"),
+    )

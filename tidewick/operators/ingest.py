@@ -148,3 +148,34 @@ def payloads(alerts: DataFrame, most: int = 6) -> DataFrame:
     rows = alerts.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(line)).alias("lines"), F.count_if(F.col("direction") == "up").alias("ups"))
     digest = F.format_string("%d alerts: %d up, %d down", F.col("n"), F.col("ups"), F.col("n") - F.col("ups"))
     return rows.select("d", "n", F.when(F.col("n") > most, digest).otherwise(F.array_join("lines", "; ")).alias("body"))
+
+
+def drop_unsettled(bars: DataFrame, now: Column, settled: str = "15:30") -> DataFrame:
+    """bars without one dated today, before the time of day at which a session's bar is settled."""
+    today = (F.col("d") == F.to_date(now)) & (F.date_format(now, "HH:mm") < settled)
+    return bars.where(~F.coalesce(today, F.lit(False)))
+
+
+def replace_history(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """stored, with every bar of the symbols that new has replaced by those of new."""
+    return stored.join(new.select("symbol").distinct(), "symbol", "left_anti").unionByName(new)
+
+
+def stale(bars: DataFrame, trade_date: DataFrame) -> DataFrame:
+    """symbol, last_date: symbols whose last bar is not of the trade date (one row, d)."""
+    last = bars.groupBy("symbol").agg(F.max("d").alias("last_date"))
+    return last.join(F.broadcast(trade_date), F.col("last_date") != F.col("d"), "left_semi")  # one row
+
+
+def settled_days(minutes: DataFrame, closing: int = 53_040) -> DataFrame:
+    """symbol, d, settled: days of minute bars that may be built from; older days without the closing auction are left out."""
+    days = minutes.groupBy("symbol", "d").agg((F.max("sec") >= closing).alias("settled"))
+    newest = Window.partitionBy("symbol")
+    return days.withColumn("__last", F.max("d").over(newest)).where(F.col("settled") | (F.col("d") == F.col("__last"))).drop("__last")
+
+
+def put_records(stored: DataFrame, new: DataFrame, keep: int = 60) -> DataFrame:
+    """Records (symbol, d, ...) of both, new ones in place of stored ones; the last `keep` dates of all stay."""
+    both = stored.join(new.select("symbol", "d"), ["symbol", "d"], "left_anti").unionByName(new)
+    last = both.select("d").distinct().orderBy(F.desc("d")).limit(keep)
+    return both.join(F.broadcast(last), "d", "left_semi")  # `keep` rows

@@ -192,3 +192,38 @@ def reversals(bars: DataFrame, least: int = 2, look: int = 10, life: int = 20) -
         met = later.join(numbered(bars).select("symbol", F.col("t").alias("at"), "c"), ["symbol", "at"]).where(F.col("c") > F.col("p") if up else F.col("c") < F.col("p"))
         out.append(met.groupBy("symbol", "s", "p").agg(F.min("at").alias("t")).select("symbol", "s", "t", "p", F.lit(up).alias("up")))
     return out[0].unionByName(out[1])
+
+
+def calculated(bars: DataFrame, n: int = 400, least: int = 60) -> DataFrame:
+    """The last n bars of symbols that have at least `least`."""
+    late = Window.partitionBy("symbol").orderBy(F.desc("d"))
+    rows = bars.withColumns({"__late": F.row_number().over(late), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    return rows.where((F.col("__late") <= n) & (F.col("__n") >= least)).drop("__late", "__n")
+
+
+def _start(rows: DataFrame, span: int) -> DataFrame:
+    return rows.groupBy("symbol").agg(F.greatest(F.max("t") + 1 - span, F.lit(0)).alias("s0"))
+
+
+def chart(bars: DataFrame, span: int = 120) -> DataFrame:
+    """symbol, i, d, o, h, l, c, high, low: the last bars, numbered from 0, with the swings of the calculated ones."""
+    own = calculated(bars)
+    rows = numbered(own)
+    marks = swings(own).groupBy("symbol", "t").agg(F.max(F.when(F.col("up"), F.col("p"))).alias("high"), F.max(F.when(~F.col("up"), F.col("p"))).alias("low"))
+    rows = rows.join(_start(rows, span), "symbol").where("t >= s0").join(marks, ["symbol", "t"], "left")
+    return rows.withColumn("i", (F.col("t") - F.col("s0")).cast("int"))
+
+
+def chart_breaks(bars: DataFrame, span: int = 120) -> DataFrame:
+    """Breaks of the calculated bars whose swing is on the chart, by the chart's numbers."""
+    own = calculated(bars)
+    rows = breaks(own).join(_start(numbered(own), span), "symbol").where("s >= s0")
+    return rows.withColumns({x: (F.col(x) - F.col("s0")).cast("int") for x in ("s", "t")})
+
+
+def relative_strength(bars: DataFrame, index: DataFrame, n: int = 20) -> DataFrame:
+    """symbol, d, rs{n}: the change over n bars against the index's between the same two dates; only where it has both."""
+    rows = bars.select("symbol", "d", "c", back("c", n).alias("c0"), back("d", n).alias("d0"))
+    now, then = index.select("d", F.col("c").alias("i")), index.select(F.col("d").alias("d0"), F.col("c").alias("i0"))
+    rows = rows.join(F.broadcast(now), "d").join(F.broadcast(then), "d0")  # sessions of one symbol
+    return rows.select("symbol", "d", (F.col("c") / F.col("c0") / (F.col("i") / F.col("i0")) - 1).alias(f"rs{n}"))

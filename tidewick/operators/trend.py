@@ -95,3 +95,16 @@ def trend_state(bars: DataFrame, mean: int = 10) -> DataFrame:
     rows = st.withColumns({"since": F.first("d").over(run), "days": F.row_number().over(run).cast("long")})
     means = ema(bars, mean).select("symbol", "d", F.col("value").alias("mean"))
     return rows.join(means, ["symbol", "d"]).select("symbol", "d", "up", "line", "since", "days", (F.col("c") > F.col("mean")).alias("above_mean"))
+
+
+def cards(bars: DataFrame, n: int = 22) -> DataFrame:
+    """The last n bars of each symbol with st (trend line), up, ema (of 10) and sig (st_buy, st_exit or null)."""
+    late = Window.partitionBy("symbol").orderBy(F.desc("d"))
+    own = bars.withColumn("__late", F.row_number().over(late))
+    line = supertrend(bars).select("symbol", "d", F.col("line").alias("st"), "up")
+    mean = ema(bars, 10).select("symbol", "d", F.col("value").alias("ema"))
+    signals = trend_signals(bars).select("symbol", "d", F.col("signal").alias("sig"))
+    rows = own.where(F.col("__late") <= n).drop("__late")
+    for side in (line, mean, signals):
+        rows = rows.join(side, ["symbol", "d"], "left")
+    return rows

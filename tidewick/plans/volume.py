@@ -282,7 +282,7 @@ def _segment_sql(name: str, gap: int) -> str:
 {name}4 AS (SELECT *, coalesce(k BETWEEN 1 AND 3 AND abs(gap - k * beat) <= 0.15::double * beat, false) AS good FROM {name}3),
 {name} AS (
   SELECT symbol, d, side, vol, seg, count(*) AS n, min(sec) AS first, max(sec) AS last, avg(price) AS avg_price, CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 9.0 END AS cv,
-         any_value(beat) AS beat, count(*) FILTER (good) AS good, CAST(sum(CASE WHEN good THEN k - 1 ELSE 0 END) AS bigint) AS missed, count(gap) AS gaps
+         any_value(beat) AS beat, count(*) FILTER (good) AS good, CAST(sum(CASE WHEN good THEN k - 1 ELSE 0 END) AS bigint) AS missed, count(gap) AS gaps, list(price) AS prices
   FROM {name}4 GROUP BY symbol, d, side, vol, seg
 )"""
 
@@ -308,7 +308,7 @@ _CHAIN = "symbol, d, side, vol AS size, rule, n, first, last, round(cv, 6) AS cv
 
 @query(f"SELECT {_CHAIN} FROM chains", CHAINS_SQL)
 def order_chains(spark, sf_dir):
-    out = A.chains(orders(spark, sf_dir), SIZE, STEADY, EVEN)
+    out = A.chains(orders(spark, sf_dir), SIZE, STEADY, EVEN).drop("prices")
     return out.withColumns({"cv": r6("cv"), "avg_price": r6("avg_price")})
 
 
