@@ -60,8 +60,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-cut = stored
-
 
 def free(*tables: DataFrame) -> None:
     """Deletes stored() tables of which no plan is left that will still read them."""

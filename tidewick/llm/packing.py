@@ -212,7 +212,3 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
-
-
-def pieces(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text")
