@@ -63,7 +63,7 @@ def test_near_dedup_of_repeated_and_missing_ids(spark):
 
 def test_links_across_groups_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
-    monkeypatch.setattr(ngram_jaccard, "COUNTED", 50)
+    monkeypatch.setattr(ngram_jaccard, "HELD", 50)
     rnd = random.Random(11)
     words = [f"w{i}" for i in range(200)]
     data = []

@@ -19,7 +19,7 @@ from .common import documents, small_batches
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens that a task packs together; what fills no window stays for the next ones.
-GROUP_TOKENS = 1 << 22
+GROUP_TOKENS = 1 << 20
 #: Tokens of a step: as many as in eight of the largest windows.
 STEP_TOKENS = 8 * TIERS[0]
 
@@ -38,13 +38,16 @@ def byte_bpe(path: str | None = None):
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    @cache
+    def plain() -> Tokenizer:  # loaded where it is needed only, as each holds the vocabulary once more
+        return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
     def encode(text: str) -> list[int]:
         try:
             return fast.encode(text, allowed_special="all")
         except ValueError:
-            return plain.encode(text, add_special_tokens=False).ids
+            return plain().encode(text, add_special_tokens=False).ids
 
     return encode
 
