@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Axes, cuts, horizons, quantiles, levels and limits are part of what is computed.
 AXES = ("vol", "upvol", "st", "spike", "climax", "gap")
 #: A pool needs so many rows; with fewer, axes are dropped from the last one on.
 MIN_POOL = 200
@@ -191,9 +192,139 @@ def verdicts(state: DataFrame, level: int = 80, last: int = 60, least: int = 20)
     return rows.select("h", F.size("hits").cast("long").alias("n"), mean.alias("recent"), word.alias("verdict"))
 
 
-def next_row(rows: DataFrame) -> DataFrame:
-    """pool, row, steps: every pool of every prefix with its rows numbered from 0 in the order of (symbol, d)."""
-    every = rows.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(len(AXES)))))
-    every = every.withColumn("pool", prefix(F.col("__l")))
-    order = Window.partitionBy("pool", "__l").orderBy("symbol", "d")
-    return every.select("pool", "__l", (F.row_number().over(order) - 1).cast("long").alias("row"), "steps")
+def next_row(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """pool, level, row, steps: the pools of all prefixes with their rows numbered from 0 in the order of (symbol, d).
+
+    wanted (pool, level) names the pools that are asked for. Rows are numbered within a symbol, then by
+    the counts of the symbols before it, so a window sees one symbol's rows, or one row a symbol.
+    """
+    every = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(AXES))))).withColumn("pool", prefix(F.col("level")))
+    keys = [c for c in ("asof", "pool", "level") if c in every.columns]
+    if wanted is not None:
+        every = every.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    order = Window.partitionBy(*keys).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).drop("__n")
+    own = Window.partitionBy(*keys, "symbol").orderBy("d")
+    every = every.withColumn("__row", F.row_number().over(own) - 1).join(before, [*keys, "symbol"])
+    return every.select(*keys, (F.col("__before") + F.col("__row")).cast("long").alias("row"), "steps")
+
+
+def yearly(rows: DataFrame, years: list[int], purge: int = 35) -> DataFrame:
+    """rows with `asof`: once for each of the years that may learn from them, which begin at least `purge` days later."""
+    first = F.array(*[F.lit(y) for y in years])
+    return rows.withColumn("asof", F.explode(first)).where(F.col("d") < F.date_sub(F.make_date("asof", F.lit(1), F.lit(1)), purge))
+
+
+def yearly_counts(rows: DataFrame) -> DataFrame:
+    """pool_counts of the pools as of each time, by map-side combined counts of the seven prefixes of every row."""
+    ups = [F.avg((F.col("path")[h - 1] > 0).cast("double")).alias(f"up{h}") for h in HORIZONS]
+    every = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(AXES))))).withColumn("pool", prefix(F.col("level")))
+    return every.groupBy("asof", "pool", "level").agg(F.count(F.lit(1)).alias("n"), *ups)
+
+
+def yearly_pool(keys: DataFrame, counts: DataFrame, least: int = MIN_POOL) -> DataFrame:
+    """keys (with asof and axes) with the longest prefix whose pool as of then holds `least` rows; the global one at any size.
+
+    One lookup for each level in a table of times by values of the axes, so keys are neither copied nor shuffled.
+    """
+    out = keys
+    ups = [f"up{h}" for h in HORIZONS]
+    for level in range(len(AXES) + 1):
+        enough = (F.col("level") == level) & ((F.col("n") >= least) | F.lit(level == len(AXES)))
+        own = counts.where(enough).select(F.col("asof").alias("__y"), F.col("pool").alias("__p"), F.struct("level", "n", "pool", *ups).alias(f"__{level}"))
+        out = out.join(F.broadcast(own), (F.col("asof") == F.col("__y")) & (prefix(F.lit(level)) == F.col("__p")), "left").drop("__y", "__p")
+    return out.select(*keys.columns, F.coalesce(*[F.col(f"__{level}") for level in range(len(AXES) + 1)]).alias("__b")).select(*keys.columns, "__b.*")
+
+
+def ends(targets: DataFrame, pool: DataFrame, paths: int) -> DataFrame:
+    """id, path and x5, x10, x20: what bootstrap() has at the horizons, without the course in between."""
+    blocks = STEPS // BLOCK
+    keys = [c for c in ("asof", "pool", "level") if c in pool.columns]
+    drawn = targets.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    drawn = drawn.withColumns(
+        {
+            "row": draw(F.col("seed"), F.col("path"), F.col("block"), F.col("n"), 1),
+            "start": draw(F.col("seed"), F.col("path"), F.col("block"), F.lit(STEPS - BLOCK + 1), 2).cast("int"),
+        }
+    )
+    met = drawn.join(pool, [*keys, "row"])
+    step = lambda j: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.get("steps", F.col("start") + j) * F.col("vol20")))
+    move = step(0) + step(1) + step(2) + step(3) + step(4)
+    met = met.select("id", "path", "block", move.alias("x"))
+    return met.groupBy("id", "path").agg(*[F.sum(F.when(F.col("block") < h // BLOCK, F.col("x"))).alias(f"x{h}") for h in HORIZONS])
+
+
+def end_quantiles(simulated: DataFrame) -> DataFrame:
+    """id, h and q5 .. q95: exact percentiles of x5, x10 and x20."""
+    share = F.array(*[F.lit(q / 100) for q in QUANTILES])
+    rows = simulated.groupBy("id").agg(*[F.percentile(f"x{h}", share).alias(f"p{h}") for h in HORIZONS])
+    rows = rows.select("id", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"p{h}").alias("q")) for h in HORIZONS])).alias("z"))
+    return rows.select("id", "z.h", *[F.col("z.q")[i].alias(f"q{q}") for i, q in enumerate(QUANTILES)])
+
+
+def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:
+    """d, h, level, s, hit: the scale in force when each day's cones were issued, and the share that they then caught.
+
+    A day's share is known h sessions after it and moves the scale only then, before that day's cones are
+    issued. Whether a cone catches its return depends on the scale by one number, the least scale that
+    does, so a day is a short table of counts by that number in steps of 0.0001, to which scales are
+    rounded; the fold over days of one (h, level) sees those tables. calendar: d, session.
+    """
+    import pandas as pd
+
+    rows = cone.join(real, ["symbol", "d", "h"])
+    needed = [F.struct(F.lit(v).alias("level"), F.when(F.col("ret") >= F.col("q50"), (F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{b}") - F.col("q50"), F.lit(0.0))).otherwise((F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{a}") - F.col("q50"), F.lit(0.0))).alias("r")) for v, (a, b) in LEVELS.items()]
+    rows = rows.select("d", "h", F.explode(F.array(*needed)).alias("t")).select("d", "h", "t.level", F.ceil(F.least(F.coalesce("t.r", F.lit(9.0)), F.lit(9.0)) * 10000).alias("cell"))
+    cells = rows.groupBy("d", "h", "level", "cell").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(calendar), "d")  # sessions
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        h, level = int(frame["h"].iloc[0]), int(frame["level"].iloc[0])
+        s, due, out = 1.0, {}, []
+        for session, day in frame.sort_values("session").groupby("session"):
+            for at in sorted(k for k in due if k <= session):
+                s = float(round(min(SCALE_HIGH, max(SCALE_LOW, s * math.exp(GAMMA * (level / 100 - due.pop(at))))), 4))
+            hit = float(day["n"][day["cell"] <= round(s * 10000)].sum() / day["n"].sum())
+            due[session + h] = hit
+            out.append((day["d"].iloc[0], h, level, s, hit))
+        return pd.DataFrame(out, columns=["d", "h", "level", "s", "hit"])
+
+    return cells.groupBy("h", "level").applyInPandas(fold, "d date, h int, level int, s double, hit double")
+
+
+def fit_scale(cone: DataFrame, real: DataFrame, low: float = 0.8, high: float = 3.0, step: float = 0.05) -> DataFrame:
+    """h, level, scale: the least width of a grid that covers a level's share of returns, the greatest one where none does."""
+    n = round((high - low) / step)
+    rows = cone.join(real, ["symbol", "d", "h"])
+    rows = rows.select("h", "ret", "q50", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"q{a}").alias("a"), F.col(f"q{b}").alias("b")) for v, (a, b) in LEVELS.items()])).alias("t"))
+    rows = rows.select("h", "ret", "q50", "t.*").withColumn("s", F.explode(F.expr(f"transform(sequence(0, {n}), k -> round({low}D + k * {step}D, 2))")))
+    inside = F.col("ret").between(F.col("q50") + F.col("s") * (F.col("a") - F.col("q50")), F.col("q50") + F.col("s") * (F.col("b") - F.col("q50")))
+    cover = rows.groupBy("h", "level", "s").agg(F.avg(inside.cast("int")).alias("cov"))
+    return cover.groupBy("h", "level").agg(F.coalesce(F.min(F.when(F.col("cov") >= F.col("level") / 100, F.col("s"))), F.lit(high)).alias("scale"))
+
+
+def forecast_items(rows: DataFrame, p_min: float, n_min: int) -> DataFrame:
+    """Items of symbols and sessions: price, change, pool, shares of rises, cone at 10 sessions, and both kinds of alert.
+
+    rows: symbol, d, price, before, level, n, up5, up10, base10, q10, q25, q50, q90 (log returns) and event; all
+    from level on are null for a symbol without a regime, whose item is not ok.
+    """
+    at = lambda q: F.round(F.col("price") * F.exp(f"q{q}"), 4).alias(f"q{q}")
+    by_share = (F.col("up10") >= p_min) & (F.col("n") >= n_min) & (F.col("q25") > 0)
+    return rows.select(
+        "symbol",
+        "d",
+        F.round("price", 4).alias("price"),
+        F.round(100 * (F.col("price") / F.nullif(F.col("before"), F.lit(0.0)) - 1), 2).alias("change_pct"),
+        F.col("n").isNotNull().alias("ok"),
+        "level",
+        "n",
+        F.round("up5", 3).alias("p5"),
+        F.round("up10", 3).alias("p10"),
+        F.round("base10", 3).alias("base10"),
+        at(10),
+        at(25),
+        at(50),
+        at(90),
+        F.coalesce(by_share, F.lit(False)).alias("alert_p10"),
+        F.col("event").isNotNull().alias("alert_event"),
+    )

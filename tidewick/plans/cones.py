@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
+from ..operators import events as E
 from ..operators import features as X
 from ..operators import regime as R
 from ..sources.market import bars
 from .features import FRAME_SQL
 from .registry import query
+from .signals import KEPT_SQL
 
 #: Shares of 60 predecessors stand for the rank of 250, so that short histories have regimes too; the trend is the sign of r20.
 RANK = 60
@@ -106,18 +108,20 @@ def cone_seed(spark, sf_dir):
     return bars(spark, sf_dir).select("symbol", "d", R.seed_of(F.col("symbol"), F.col("d")).alias("seed"))
 
 
-def _simulated(spark, sf_dir, paths: int = 400):
+#: Paths of a cone that is issued, and of one of the many that are scored.
+PATHS, SCORED_PATHS = 2000, 300
+
+
+def _simulated(spark, sf_dir, paths: int = PATHS):
     """Paths of each symbol's last day with a regime."""
     rows = keyed(spark, sf_dir)
     own = R.pool_rows(rows)
     last = Window.partitionBy("symbol").orderBy(F.desc("d"))
     keys = rows.where("vol IS NOT NULL AND vol20 > 0").withColumn("__r", F.row_number().over(last)).where("__r = 1")
     targets = R.pool_for(keys.select("symbol", "d", "vol20", *R.AXES), R.pool_counts(own))
-    targets = targets.select(F.col("symbol").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "pool", F.col("level").alias("__l"), "n")
-    pool = R.next_row(own)
-    wanted = targets.select("pool", "__l").distinct()
-    pool = pool.join(wanted, ["pool", "__l"], "left_semi").drop("__l")
-    return R.bootstrap(targets.drop("__l"), pool, paths)
+    targets = targets.select(F.col("symbol").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "pool", "level", "n")
+    pool = R.next_row(own, targets)
+    return R.bootstrap(targets, pool, paths)
 
 
 _SIM = KEYED_SQL + ",\n" + _POOLS + """,
@@ -131,12 +135,15 @@ dr AS (
   SELECT t.symbol, t.pool, t.level, t.vol20, p.path, b.block,
     (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 15485863) % 2147483647) * 48271) % 2147483647) % t.n) AS row,
     (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 2 * 15485863) % 2147483647) * 48271) % 2147483647) % 16) AS start
-  FROM target t, range(0, 400) AS p(path), range(0, 4) AS b(block)
+  FROM target t, range(0, 2000) AS p(path), range(0, 4) AS b(block)
 ),
 st AS (
   SELECT d.symbol, d.path, d.block, j, greatest(-ln(1.07), least(ln(1.07), n.steps[d.start + j] * d.vol20)) AS x
   FROM dr d JOIN numbered n ON n.pool = d.pool AND n.l = d.level AND n.row = d.row, range(1, 6) AS q(j)
 ),
+step AS (
+  SELECT symbol, path, block * 5 + j AS i, sum(x) OVER (PARTITION BY symbol, path ORDER BY block, j) AS cum FROM (SELECT *, x FROM st)
+),
 sim AS (
   SELECT symbol, path, sum(x) FILTER (block < 1) AS c5, sum(x) FILTER (block < 2) AS c10, sum(x) AS c20 FROM st GROUP BY symbol, path
 ),
@@ -152,37 +159,97 @@ def probability_cone(spark, sf_dir):
     return out.select(F.col("id").alias("symbol"), "h", *[r6(f"q{q}").alias(f"q{q}") for q in R.QUANTILES])
 
 
-@query()
+@query(
+    """SELECT symbol AS id, round(avg((coalesce(gained, 11) < coalesce(lost, 11))::int), 6) AS touch_up FROM (
+      SELECT symbol, path, min(i) FILTER (cum >= ln(1.05)) AS gained, min(i) FILTER (cum <= ln(0.95)) AS lost FROM step WHERE i <= 10 GROUP BY symbol, path) GROUP BY symbol""",
+    _SIM,
+)
 def touch_probability(spark, sf_dir):
-    return R.touch_first(_simulated(spark, sf_dir, 200))
+    return R.touch_first(_simulated(spark, sf_dir)).withColumn("touch_up", r6("touch_up"))
 
 
-@query()
+@query(
+    """WITH shape AS (SELECT symbol, path, list(cum ORDER BY i) AS x FROM step GROUP BY symbol, path),
+    c0 AS (SELECT symbol, arg_min(x, (x[20], path)) AS a, arg_max(x, (x[20], -path)) AS b FROM shape GROUP BY symbol),
+    m AS (WITH RECURSIVE m AS (
+      SELECT symbol, a, b, 0 AS k FROM c0
+      UNION ALL
+      SELECT symbol, coalesce(list(va ORDER BY i) FILTER (va IS NOT NULL), any_value(a)), coalesce(list(vb ORDER BY i) FILTER (vb IS NOT NULL), any_value(b)), any_value(k) + 1 FROM (
+        SELECT m.symbol, any_value(m.a) AS a, any_value(m.b) AS b, any_value(m.k) AS k, g.i, avg(s.x[g.i]) FILTER (near) AS va, avg(s.x[g.i]) FILTER (NOT near) AS vb
+        FROM m JOIN (SELECT s.symbol, s.x, list_distance(s.x, m2.a) <= list_distance(s.x, m2.b) AS near FROM shape s JOIN m m2 ON m2.symbol = s.symbol) s ON s.symbol = m.symbol, range(1, 21) AS g(i)
+        WHERE m.k < 15 GROUP BY m.symbol, g.i) GROUP BY symbol
+    ) SELECT * FROM m),
+    fin AS (SELECT symbol, a, b FROM m WHERE k = 15),
+    prev AS (SELECT symbol, a, b FROM m WHERE k = 14),
+    w AS (SELECT p.symbol, avg((list_distance(s.x, p.a) <= list_distance(s.x, p.b))::int) AS wa FROM prev p JOIN shape s ON s.symbol = p.symbol GROUP BY p.symbol),
+    u AS (SELECT f.symbol AS id, wa AS weight, f.a[20] AS last, 0 AS o FROM fin f JOIN w ON w.symbol = f.symbol UNION ALL SELECT f.symbol, 1 - wa, f.b[20], 1 FROM fin f JOIN w ON w.symbol = f.symbol)
+    SELECT id, CASE row_number() OVER (PARTITION BY id ORDER BY -weight, o) WHEN 1 THEN 'A' ELSE 'B' END AS name, round(weight, 6) AS weight, round(last, 6) AS last FROM u""",
+    _SIM,
+)
 def cone_scenarios(spark, sf_dir):
-    return R.scenarios(_simulated(spark, sf_dir, 200)).select("id", "name", "weight", F.element_at("path", -1).alias("last"))
+    out = R.scenarios(_simulated(spark, sf_dir))
+    return out.select("id", "name", r6("weight").alias("weight"), r6(F.element_at("path", -1)).alias("last"))
 
 
-def _issued(spark, sf_dir):
-    """A plain cone to score: normal quantiles of vol20 over h sessions, and what came."""
-    z = {5: -1.645, 10: -1.2816, 25: -0.6745, 50: 0.0, 75: 0.6745, 90: 1.2816, 95: 1.645}
-    frame = X.with_labels(X.with_volatility(X.with_returns(bars(spark, sf_dir)))).where("vol20 IS NOT NULL")
-    rows = frame.select("symbol", "d", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fr{h}").alias("ret"), (F.col("vol20") * F.sqrt(F.lit(float(h)))).alias("w")) for h in R.HORIZONS])).alias("x"))
-    rows = rows.select("symbol", "d", "x.*").where("ret IS NOT NULL")
-    return rows.select("symbol", "d", "h", *[(F.lit(v) * F.col("w")).alias(f"q{q}") for q, v in z.items()]), rows.select("symbol", "d", "h", "ret")
+#: Years whose days are scored, the last of the bars.
+SCORED_YEARS = 3
+
+
+def _scored(spark, sf_dir):
+    """Targets of the last years, each with its pool as of that year, the rows of those pools and the frame."""
+    rows = X.with_labels(keyed(spark, sf_dir))
+    last = rows.agg(F.max(F.year("d")).alias("y")).first()["y"]  # one number
+    years = list(range(last - SCORED_YEARS + 1, last + 1))
+    learn = R.yearly(R.pool_rows(rows), years)
+    keys = rows.where(F.col("vol").isNotNull() & (F.col("vol20") > 0)).withColumn("asof", F.year("d")).where(F.col("asof").isin(years))
+    targets = R.yearly_pool(keys.select("symbol", "d", "vol20", "asof", *R.AXES), R.yearly_counts(learn)).where("level IS NOT NULL")
+    return targets, learn, rows
 
 
-_HITS = FRAME_SQL + """,
+def _issued(spark, sf_dir):
+    """Bootstrap cones of every day of the scored years, from pools of what was known before the year, and what came."""
+    targets, learn, rows = _scored(spark, sf_dir)
+    drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
+    cone = R.end_quantiles(R.ends(drawn, R.next_row(learn, drawn), SCORED_PATHS)).select("id.symbol", "id.d", "h", *[f"q{q}" for q in R.QUANTILES])
+    real = rows.select("symbol", "d", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fr{h}").alias("ret")) for h in R.HORIZONS])).alias("x")).select("symbol", "d", "x.*").where("ret IS NOT NULL")
+    return cone, real
+
+
+_YEARS = KEYED_SQL + f""",
+yrs AS (SELECT unnest(range(max(year(d)) - {SCORED_YEARS - 1}, max(year(d)) + 1)) AS y FROM bars),
+learn AS MATERIALIZED (SELECT yrs.y, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, k.s5, k.s10, k.s20 FROM rows_ k, yrs, range(0, 7) AS r(lv) WHERE k.d < make_date(yrs.y, 1, 1) - 35),
+ycnt AS MATERIALIZED (SELECT y, l, pool, count(*) AS n, avg((s5 > 0)::int) AS up5, avg((s10 > 0)::int) AS up10, avg((s20 > 0)::int) AS up20 FROM learn GROUP BY ALL),
+ytried AS (SELECT k.symbol, k.d, k.vol20, yrs.y, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS p FROM keyed k, yrs, range(0, 7) AS r(lv) WHERE known AND vol20 > 0 AND year(k.d) = yrs.y),
+ytarget AS MATERIALIZED (SELECT t.symbol, t.d, t.vol20, t.y, c.l, c.pool, c.n, c.up5, c.up10, c.up20 FROM ytried t JOIN ycnt c ON c.y = t.y AND c.l = t.l AND c.pool = t.p WHERE c.n >= 200 OR c.l = 6
+  QUALIFY row_number() OVER (PARTITION BY t.symbol, t.d ORDER BY c.l) = 1)"""
+
+_HITS = _YEARS + f""",
+ystep AS (SELECT symbol, d, list_transform(range(1, 21), lambda j: (ln(nxt[j] / c) - CASE WHEN j = 1 THEN 0 ELSE ln(nxt[j - 1] / c) END) / vol20) AS steps FROM rows_),
+yrow AS (SELECT l.y, l.l, l.pool, l.symbol, l.d, row_number() OVER (PARTITION BY l.y, l.l, l.pool ORDER BY l.symbol, l.d) - 1 AS row FROM learn l SEMI JOIN ytarget t ON t.y = l.y AND t.l = l.l AND t.pool = l.pool),
+ypool AS MATERIALIZED (SELECT r.y, r.l, r.pool, r.row, s.steps FROM yrow r JOIN ystep s ON s.symbol = r.symbol AND s.d = r.d),
+yseed AS (SELECT *, CAST(('0x' || left(sha1(concat_ws('|', symbol, CAST(d AS varchar))), 8)) AS bigint) AS seed FROM ytarget),
+ydr AS (
+  SELECT t.symbol, t.d, t.vol20, t.y, t.l, t.pool, p.path, b.block,
+    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 15485863) % 2147483647) * 48271) % 2147483647) % t.n) AS row,
+    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 2 * 15485863) % 2147483647) * 48271) % 2147483647) % 16) AS start
+  FROM yseed t, range(0, {SCORED_PATHS}) AS p(path), range(0, 4) AS b(block)
+),
+yx AS (
+  SELECT e.symbol, e.d, e.path, e.block, """ + " + ".join(f"greatest(-ln(1.07), least(ln(1.07), p.steps[e.start + {j}] * e.vol20))" for j in range(1, 6)) + """ AS x
+  FROM ydr e JOIN ypool p ON p.y = e.y AND p.l = e.l AND p.pool = e.pool AND p.row = e.row
+),
+yend AS (SELECT symbol, d, path, sum(x) FILTER (block < 1) AS x5, sum(x) FILTER (block < 2) AS x10, sum(x) AS x20 FROM yx GROUP BY symbol, d, path),
+yq AS MATERIALIZED (SELECT symbol, d, quantile_cont(x5, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q5, quantile_cont(x10, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q10, quantile_cont(x20, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q20 FROM yend GROUP BY symbol, d),
 lab AS (
-  SELECT symbol, d, vol20, ln(lead(c, 5) OVER w / c) AS f5, ln(lead(c, 10) OVER w / c) AS f10, ln(lead(c, 20) OVER w / c) AS f20 FROM vola WINDOW w AS (PARTITION BY symbol ORDER BY d)
+  SELECT symbol, d, ln(lead(c, 5) OVER w / c) AS f5, ln(lead(c, 10) OVER w / c) AS f10, ln(lead(c, 20) OVER w / c) AS f20 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)
 ),
-iss AS (
-  SELECT symbol, d, h, ret, vol20 * sqrt(h::double) AS w FROM (SELECT symbol, d, vol20, 5 AS h, f5 AS ret FROM lab UNION ALL SELECT symbol, d, vol20, 10, f10 FROM lab UNION ALL SELECT symbol, d, vol20, 20, f20 FROM lab)
-  WHERE ret IS NOT NULL AND vol20 IS NOT NULL
+iss AS MATERIALIZED (
+  SELECT symbol, d, h, q, ret FROM (
+    SELECT y.symbol, y.d, unnest([{'h': 5, 'q': q5, 'ret': f5}, {'h': 10, 'q': q10, 'ret': f10}, {'h': 20, 'q': q20, 'ret': f20}], recursive := true) FROM yq y JOIN lab b ON b.symbol = y.symbol AND b.d = y.d)
+  WHERE ret IS NOT NULL
 ),
-hits AS (
-  SELECT d, h, level, avg((ret BETWEEN -z * w AND z * w)::int) AS hit
-  FROM iss, (VALUES (50, 0.6745::double), (80, 1.2816::double), (90, 1.645::double)) AS t(level, z) GROUP BY d, h, level
-)"""
+lev AS (SELECT * FROM (VALUES (50, 3, 5), (80, 2, 6), (90, 1, 7)) AS t(level, a, b)),
+hits AS MATERIALIZED (SELECT d, h, level, avg((ret BETWEEN q[a] AND q[b])::int) AS hit FROM iss, lev GROUP BY d, h, level)"""
 
 
 @query("SELECT d, h, level, round(hit, 6) AS hit FROM hits", _HITS)
@@ -213,21 +280,23 @@ def conformal_verdict(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT h, level, list_reduce(list(hit ORDER BY d), lambda a, y: round(greatest(0.5::double, least(3.0::double, a * exp(0.05::double * (level / 100 - y)))), 4), 1.0::double) AS s FROM hits GROUP BY h, level)
-    SELECT i.symbol, i.d, i.h, round(-1.645::double * i.w * c.s, 6) AS q5, round(-1.2816::double * i.w * b.s, 6) AS q10, round(-0.6745::double * i.w * a.s, 6) AS q25,
-           round(0.6745::double * i.w * a.s, 6) AS q75, round(1.2816::double * i.w * b.s, 6) AS q90, round(1.645::double * i.w * c.s, 6) AS q95
-    FROM iss i JOIN s a ON a.h = i.h AND a.level = 50 JOIN s b ON b.h = i.h AND b.level = 80 JOIN s c ON c.h = i.h AND c.level = 90""",
+    """WITH s0 AS (SELECT h, level, list_reduce(list(hit ORDER BY d), lambda a, y: round(greatest(0.5::double, least(3.0::double, a * exp(0.05::double * (level / 100 - y)))), 4), 1.0::double) AS s FROM hits GROUP BY h, level),
+    s AS MATERIALIZED (SELECT h, max(s) FILTER (level = 50) AS a, max(s) FILTER (level = 80) AS b, max(s) FILTER (level = 90) AS c FROM s0 GROUP BY h)
+    SELECT i.symbol, i.d, i.h, round(q[4] + c * (q[1] - q[4]), 6) AS q5, round(q[4] + b * (q[2] - q[4]), 6) AS q10, round(q[4] + a * (q[3] - q[4]), 6) AS q25,
+           round(q[4] + a * (q[5] - q[4]), 6) AS q75, round(q[4] + b * (q[6] - q[4]), 6) AS q90, round(q[4] + c * (q[7] - q[4]), 6) AS q95
+    FROM iss i JOIN s ON s.h = i.h""",
     _HITS,
 )
 def conformal_widen(spark, sf_dir):
     cone, real = _issued(spark, sf_dir)
     state = R.calibrate(R.hits(cone, real)).select("h", "level", "s")
+    cone = cone.join(real.select("symbol", "d", "h"), ["symbol", "d", "h"], "left_semi")
     return R.widen(cone, state).select("symbol", "d", "h", *[r6(f"q{q}").alias(f"q{q}") for q in R.QUANTILES if q != 50])
 
 
 @query(
-    """SELECT h, round(avg((greatest(tau * (ret - q), (tau - 1) * (ret - q)))), 8) AS pinball, count(*) AS n
-    FROM (SELECT h, ret, tau, z * w AS q FROM iss, (VALUES (0.05::double, -1.645::double), (0.1::double, -1.2816::double), (0.25::double, -0.6745::double), (0.5::double, 0.0::double), (0.75::double, 0.6745::double), (0.9::double, 1.2816::double), (0.95::double, 1.645::double)) AS t(tau, z)) GROUP BY h""",
+    """SELECT h, round(avg(greatest(tau * (ret - q[k]), (tau - 1) * (ret - q[k]))), 8) AS pinball, count(*) AS n
+    FROM iss, (VALUES (0.05::double, 1), (0.1::double, 2), (0.25::double, 3), (0.5::double, 4), (0.75::double, 5), (0.9::double, 6), (0.95::double, 7)) AS t(tau, k) GROUP BY h""",
     _HITS,
 )
 def pinball_loss(spark, sf_dir):
@@ -238,8 +307,8 @@ def pinball_loss(spark, sf_dir):
 
 
 @query(
-    """SELECT year(d) AS year, h, round(avg((ret BETWEEN -0.6745::double * w AND 0.6745::double * w)::int), 6) AS cov50, round(avg((ret BETWEEN -1.2816::double * w AND 1.2816::double * w)::int), 6) AS cov80,
-    round(avg((ret BETWEEN -1.645::double * w AND 1.645::double * w)::int), 6) AS cov90, round(avg(2 * 1.2816::double * w), 6) AS width80 FROM iss GROUP BY year(d), h""",
+    """SELECT year(d) AS year, h, round(avg((ret BETWEEN q[3] AND q[5])::int), 6) AS cov50, round(avg((ret BETWEEN q[2] AND q[6])::int), 6) AS cov80,
+    round(avg((ret BETWEEN q[1] AND q[7])::int), 6) AS cov90, round(avg(q[6] - q[2]), 6) AS width80 FROM iss GROUP BY year(d), h""",
     _HITS,
 )
 def coverage_by_year(spark, sf_dir):
@@ -250,14 +319,133 @@ def coverage_by_year(spark, sf_dir):
 
 
 @query(
-    """SELECT h, min(s) AS scale FROM (
-      SELECT h, s, avg((ret BETWEEN -1.2816::double * w * s AND 1.2816::double * w * s)::int) AS cov FROM iss, (SELECT round(0.8::double + k * 0.05::double, 2) AS s FROM range(0, 45) AS r(k)) GROUP BY h, s) WHERE cov >= 0.8::double GROUP BY h""",
+    """SELECT h, level, coalesce(min(s) FILTER (cov >= level / 100), 3.0) AS scale FROM (
+      SELECT h, level, s, avg((ret BETWEEN q[4] + s * (q[a] - q[4]) AND q[4] + s * (q[b] - q[4]))::int) AS cov FROM iss, lev, (SELECT round(0.8::double + k * 0.05::double, 2) AS s FROM range(0, 45) AS r(k)) GROUP BY h, level, s) GROUP BY h, level""",
     _HITS,
 )
 def scale_fit(spark, sf_dir):
-    """The least width of a grid of 45 that covers 80 %."""
+    return R.fit_scale(*_issued(spark, sf_dir))
+
+
+@query(
+    """SELECT t.l AS level, h, count(*) AS n, round(avg((ret BETWEEN q[2] AND q[6])::int), 6) AS cov80, round(avg(q[6] - q[2]), 6) AS width80
+    FROM iss i JOIN ytarget t ON t.symbol = i.symbol AND t.d = i.d GROUP BY t.l, h HAVING count(*) >= 100""",
+    _HITS,
+)
+def coverage_by_level(spark, sf_dir):
+    """By how many axes the pool of a cone had to drop."""
+    cone, real = _issued(spark, sf_dir)
+    levels = _scored(spark, sf_dir)[0].select("symbol", "d", "level")
+    rows = cone.join(real, ["symbol", "d", "h"]).join(levels, ["symbol", "d"])
+    out = rows.groupBy("level", "h").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("ret").between(F.col("q10"), F.col("q90")).cast("int"))).alias("cov80"), r6(F.avg(F.col("q90") - F.col("q10"))).alias("width80"))
+    return out.where("n >= 100")
+
+
+@query("SELECT symbol, d, h, " + ", ".join(f"round(q[{i + 1}], 6) AS q{q}" for i, q in enumerate(R.QUANTILES)) + ", round(ret, 6) AS ret FROM iss", _HITS)
+def scored_cones(spark, sf_dir):
+    """Bootstrap cones of the scored years beside what came."""
+    cone, real = _issued(spark, sf_dir)
+    return cone.join(real, ["symbol", "d", "h"]).select("symbol", "d", "h", *[r6(f"q{q}").alias(f"q{q}") for q in R.QUANTILES], r6("ret").alias("ret"))
+
+
+@query("SELECT symbol, d, l AS level, n, pool, round(up5, 6) AS p5, round(up10, 6) AS p10 FROM ytarget", _YEARS)
+def anchored_pools(spark, sf_dir):
+    """Each day's pool and its share of rises, of what was known five weeks before the year began."""
+    out = _scored(spark, sf_dir)[0]
+    return out.select("symbol", "d", "level", "n", "pool", r6("up5").alias("p5"), r6("up10").alias("p10"))
+
+
+@query(
+    """WITH cal AS MATERIALIZED (SELECT d, row_number() OVER (ORDER BY d) AS z FROM (SELECT DISTINCT d FROM bars)),
+    need AS MATERIALIZED (SELECT cal.z, i.d, h, level, ceil(least(coalesce(CASE WHEN ret >= q[4] THEN (ret - q[4]) / nullif(q[b] - q[4], 0) ELSE (ret - q[4]) / nullif(q[a] - q[4], 0) END, 9.0), 9.0) * 10000) AS cell
+      FROM iss i JOIN cal ON cal.d = i.d, lev),
+    days AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY h, level ORDER BY z) AS k FROM (SELECT h, level, z, any_value(d) AS d, list(cell) AS cells FROM need GROUP BY h, level, z)),
+    run AS (WITH RECURSIVE run AS (
+      SELECT h, level, 0::bigint AS k, 1.0::double AS s, NULL::date AS d, NULL::double AS hit, []::double[] AS due, []::bigint[] AS due_at FROM (SELECT DISTINCT h, level FROM days)
+      UNION ALL
+      SELECT h, level, k, s, d, hit, list_append(due[m + 1:], hit), list_append(due_at[m + 1:], z + h) FROM (
+        SELECT *, len(list_filter(cells, lambda x: x <= round(s * 10000))) / len(cells) AS hit FROM (
+          SELECT n.h, n.level, n.k, n.z, n.d, n.cells, r.due, r.due_at, len(list_filter(r.due_at, lambda x: x <= n.z)) AS m,
+                 list_reduce(list_filter(r.due, lambda x, i: r.due_at[i] <= n.z), lambda a, y: round(greatest(0.5::double, least(3.0::double, a * exp(0.05::double * (n.level / 100 - y)))), 4), r.s) AS s
+          FROM run r JOIN days n ON n.h = r.h AND n.level = r.level AND n.k = r.k + 1))
+    ) SELECT * FROM run)
+    SELECT d, h, level, round(s, 4) AS s, round(hit, 6) AS hit FROM run WHERE k > 0""",
+    _HITS,
+)
+def sequential_calibration(spark, sf_dir):
+    """The scale in force on each day, as it learns what a day's cones caught h sessions later."""
     cone, real = _issued(spark, sf_dir)
-    rows = cone.join(real, ["symbol", "d", "h"]).select("h", "ret", "q10", "q90")
-    rows = rows.withColumn("s", F.explode(F.expr("transform(sequence(0, 44), k -> round(0.8D + k * 0.05D, 2))")))
-    cover = rows.groupBy("h", "s").agg(F.avg(F.col("ret").between(F.col("q10") * F.col("s"), F.col("q90") * F.col("s")).cast("int")).alias("cov"))
-    return cover.where("cov >= 0.8D").groupBy("h").agg(F.min("s").alias("scale"))
+    days = bars(spark, sf_dir).select("d").distinct()
+    calendar = days.withColumn("session", F.row_number().over(Window.orderBy("d")))  # a row a session
+    return R.sequential(cone, real, calendar).select("d", "h", "level", F.round("s", 4).alias("s"), r6("hit").alias("hit"))
+
+
+# -- the forecast of the last sessions ---------------------------------------------------------------
+
+#: Sessions that are replayed, and the settings of the alert by probability.
+REPLAYED, P_MIN, N_MIN = 20, 0.58, 200
+
+
+def _forecasts(spark, sf_dir, sessions: int):
+    """One row for each symbol with a bar on each of the last sessions: pool, probabilities, cone, alerts; pools hold what was known that day."""
+    frame = keyed(spark, sf_dir).withColumns({"known_on": F.lead("d", 20).over(_own()), "before": F.lag("c").over(_own())})
+    last = frame.select("d").distinct().orderBy(F.desc("d")).limit(sessions)
+    number = F.date_format("d", "yyyyMMdd").cast("int")
+    days = [r["d"] for r in last.orderBy("d").collect()]  # `sessions` dates
+    learn = R.pool_rows(frame).withColumn("on", F.explode(F.array(*[F.lit(d) for d in days]))).where("known_on <= on").withColumn("asof", F.date_format("on", "yyyyMMdd").cast("int"))
+    own = frame.where(F.col("d").isin(days)).withColumn("asof", number)
+    ready = own.where(F.col("vol").isNotNull() & (F.col("vol20") > 0)).select("symbol", "d", "vol20", "asof", *R.AXES)
+    counts = R.yearly_counts(learn)
+    targets = R.yearly_pool(ready, counts).where("level IS NOT NULL")
+    drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
+    cone = R.end_quantiles(R.ends(drawn, R.next_row(learn, drawn), PATHS)).where("h = 10").select("id.symbol", "id.d", "q10", "q25", "q50", "q90")
+    base = counts.where(F.col("level") == len(R.AXES)).select("asof", F.col("up10").alias("base10"))
+    hit = E.keep_first(frame.withColumn("hit", E.red_volume_demand()), "hit").select("symbol", "d", F.lit("red_vol_demand").alias("event"))
+    rows = own.select("symbol", "d", "asof", F.col("c").alias("price"), "before", "v").join(targets.select("symbol", "d", "level", "n", "up5", "up10"), ["symbol", "d"], "left")
+    rows = rows.join(cone, ["symbol", "d"], "left").join(F.broadcast(base), "asof", "left").join(hit, ["symbol", "d"], "left")  # a row a session
+    return R.forecast_items(rows, P_MIN, N_MIN)
+
+
+def _own():
+    return Window.partitionBy("symbol").orderBy("d")
+
+
+def _forecast_sql(sessions: int) -> str:
+    return KEPT_SQL + "," + KEYED_SQL[len(FRAME_SQL) + 1 :] + f""",
+fs AS MATERIALIZED (SELECT DISTINCT d AS s FROM bars ORDER BY d DESC LIMIT {sessions}),
+kn AS (SELECT symbol, d, lead(d, 20) OVER (PARTITION BY symbol ORDER BY d) AS known_on FROM bars),
+flearn AS MATERIALIZED (SELECT fs.s, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, k.s5, k.s10 FROM rows_ k JOIN kn ON kn.symbol = k.symbol AND kn.d = k.d, fs, range(0, 7) AS r(lv) WHERE kn.known_on <= fs.s),
+fcnt AS MATERIALIZED (SELECT s, l, pool, count(*) AS n, avg((s5 > 0)::int) AS up5, avg((s10 > 0)::int) AS up10 FROM flearn GROUP BY ALL),
+ftried AS (SELECT k.symbol, k.d, k.vol20, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS p FROM keyed k SEMI JOIN fs ON fs.s = k.d, range(0, 7) AS r(lv) WHERE known AND vol20 > 0),
+ftarget AS MATERIALIZED (SELECT t.symbol, t.d, t.vol20, c.l, c.pool, c.n, c.up5, c.up10, CAST(('0x' || left(sha1(concat_ws('|', t.symbol, CAST(t.d AS varchar))), 8)) AS bigint) AS seed
+  FROM ftried t JOIN fcnt c ON c.s = t.d AND c.l = t.l AND c.pool = t.p WHERE c.n >= 200 OR c.l = 6 QUALIFY row_number() OVER (PARTITION BY t.symbol, t.d ORDER BY c.l) = 1),
+fstep AS (SELECT symbol, d, list_transform(range(1, 21), lambda j: (ln(nxt[j] / c) - CASE WHEN j = 1 THEN 0 ELSE ln(nxt[j - 1] / c) END) / vol20) AS steps FROM rows_),
+frow AS (SELECT l.s, l.l, l.pool, l.symbol, l.d, row_number() OVER (PARTITION BY l.s, l.l, l.pool ORDER BY l.symbol, l.d) - 1 AS row FROM flearn l SEMI JOIN ftarget t ON t.d = l.s AND t.l = l.l AND t.pool = l.pool),
+fpool AS MATERIALIZED (SELECT r.s, r.l, r.pool, r.row, s.steps FROM frow r JOIN fstep s ON s.symbol = r.symbol AND s.d = r.d),
+fdr AS (
+  SELECT t.symbol, t.d, t.vol20, t.l, t.pool, p.path, b.block,
+    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 15485863) % 2147483647) * 48271) % 2147483647) % t.n) AS row,
+    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 2 * 15485863) % 2147483647) * 48271) % 2147483647) % 16) AS start
+  FROM ftarget t, range(0, 2000) AS p(path), range(0, 2) AS b(block)
+),
+fx AS (SELECT e.symbol, e.d, e.path, """ + " + ".join(f"greatest(-ln(1.07), least(ln(1.07), p.steps[e.start + {j}] * e.vol20))" for j in range(1, 6)) + """ AS x
+  FROM fdr e JOIN fpool p ON p.s = e.d AND p.l = e.l AND p.pool = e.pool AND p.row = e.row),
+fq AS (SELECT symbol, d, quantile_cont(x, [0.1, 0.25, 0.5, 0.9]) AS q FROM (SELECT symbol, d, path, sum(x) AS x FROM fx GROUP BY symbol, d, path) GROUP BY symbol, d),
+item AS (
+  SELECT b.symbol, b.d, round(b.c, 4) AS price, round(100 * (b.c / nullif(b.c1, 0) - 1), 2) AS change_pct, t.n IS NOT NULL AS ok, CAST(t.l AS int) AS level, t.n, round(t.up5, 3) AS p5, round(t.up10, 3) AS p10, round(g.up10, 3) AS base10,
+    round(b.c * exp(q[1]), 4) AS q10, round(b.c * exp(q[2]), 4) AS q25, round(b.c * exp(q[3]), 4) AS q50, round(b.c * exp(q[4]), 4) AS q90,
+    coalesce(t.up10 >= 0.58::double AND t.n >= 200 AND q[2] > 0, false) AS alert_p10, k.d IS NOT NULL AS alert_event
+  FROM ret b SEMI JOIN fs ON fs.s = b.d LEFT JOIN ftarget t ON t.symbol = b.symbol AND t.d = b.d LEFT JOIN fq ON fq.symbol = b.symbol AND fq.d = b.d
+  LEFT JOIN (SELECT * FROM fcnt WHERE l = 6) g ON g.s = b.d LEFT JOIN kept k ON k.symbol = b.symbol AND k.d = b.d
+)"""
+
+
+@query("SELECT * FROM item", _forecast_sql(1))
+def forecast_item(spark, sf_dir):
+    return _forecasts(spark, sf_dir, 1)
+
+
+@query("SELECT * FROM item", _forecast_sql(REPLAYED))
+def forecast_replay(spark, sf_dir):
+    """The forecasts of the last 20 sessions, each by what was known on that day."""
+    return _forecasts(spark, sf_dir, REPLAYED)
