@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cones, features, pages, reports, signals, structures, studies, volume  # noqa: F401
+from .plans import cones, features, occasions, pages, reports, signals, structures, studies, volume  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "volume_spike"

@@ -44,9 +44,14 @@ def regime_columns() -> dict[str, Column]:
 
 def pool_rows(frame: DataFrame) -> DataFrame:
     """Rows that a pool may hold: regime and all forward steps known. steps: log returns of each session by vol20."""
+    return with_steps(frame.where(F.col("vol").isNotNull()))
+
+
+def with_steps(frame: DataFrame) -> DataFrame:
+    """Rows of frame whose forward path is known, with its steps."""
     before = F.concat(F.array(F.lit(0.0)), F.slice("path", 1, STEPS - 1))
     steps = F.zip_with("path", before, lambda x, y: (x - y) / F.col("vol20"))
-    return frame.where((F.col("vol").isNotNull()) & F.col("path").isNotNull() & (F.col("vol20") > 0)).withColumn("steps", steps)
+    return frame.where(F.col("path").isNotNull() & (F.col("vol20") > 0)).withColumn("steps", steps)
 
 
 def pool_counts(rows: DataFrame) -> DataFrame:
@@ -193,15 +198,20 @@ def verdicts(state: DataFrame, level: int = 80, last: int = 60, least: int = 20)
 
 
 def next_row(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """pool, level, row, steps: the pools of all prefixes with their rows numbered from 0 in the order of (symbol, d).
+    """pool, level, row, steps: the pools of all prefixes with their rows numbered; wanted (pool, level) names those that are asked for.
 
-    wanted (pool, level) names the pools that are asked for. Rows are numbered within a symbol, then by
-    the counts of the symbols before it, so a window sees one symbol's rows, or one row a symbol.
+    Rows are numbered within a symbol, then by the counts of the symbols before it, so a window sees one
+    symbol's rows, or one row a symbol.
     """
     every = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(AXES))))).withColumn("pool", prefix(F.col("level")))
     keys = [c for c in ("asof", "pool", "level") if c in every.columns]
     if wanted is not None:
         every = every.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return numbered_pools(every, keys)
+
+
+def numbered_pools(every: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, steps: rows of each key numbered from 0 in the order of (symbol, d)."""
     order = Window.partitionBy(*keys).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
     before = every.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).drop("__n")
     own = Window.partitionBy(*keys, "symbol").orderBy("d")
@@ -239,7 +249,7 @@ def yearly_pool(keys: DataFrame, counts: DataFrame, least: int = MIN_POOL) -> Da
 def ends(targets: DataFrame, pool: DataFrame, paths: int) -> DataFrame:
     """id, path and x5, x10, x20: what bootstrap() has at the horizons, without the course in between."""
     blocks = STEPS // BLOCK
-    keys = [c for c in ("asof", "pool", "level") if c in pool.columns]
+    keys = [c for c in pool.columns if c not in ("row", "steps")]
     drawn = targets.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     drawn = drawn.withColumns(
         {

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
 from ..operators import evaluate as V
-from ..operators import events as E
 from ..operators import features as X
 from ..operators import ingest as G
 from ..operators import zones as Z
 from ..sources.market import BARS_SQL, TICKS_SQL, bars, ticks
 from .features import FRAME_SQL
 from .registry import query
-from .signals import KEPT_SQL
 from .volume import LEVELS_SQL, MINUTES_SQL
 
 # -- ingestion ---------------------------------------------------------------------------------------
@@ -215,35 +213,6 @@ def deviation_pivot(spark, sf_dir):
     return _buckets(spark, sf_dir).groupBy("year").pivot("bucket", ["down", "flat", "up"]).agg(F.round(F.stddev_samp("ret"), 6))
 
 
-_STATS = KEPT_SQL + "," + _NET[len(FRAME_SQL) + 1 :] + """,
-bn AS (SELECT year, avg(net10) AS base FROM net WHERE net10 IS NOT NULL GROUP BY year),
-tr_ AS (SELECT 'red_vol_demand' AS code, n.year, n.net10 AS net, bn.base FROM kept k JOIN net n ON n.symbol = k.symbol AND n.d = k.d JOIN bn ON bn.year = n.year WHERE n.net10 IS NOT NULL),
-ty AS (SELECT code, year, count(*) AS n, avg(net - base) AS excess FROM tr_ GROUP BY code, year),
-es AS (
-  SELECT t.code, count(*) AS n, avg(net) AS net, avg((net > 0)::int) AS win, avg(net - base) AS excess, avg(CASE WHEN year <> 1994 THEN net END) AS net_outside,
-         (SELECT count(*) FILTER (excess > 0) FROM ty WHERE ty.n >= 5 AND ty.code = t.code) AS years_won, (SELECT count(*) FROM ty WHERE ty.n >= 5 AND ty.code = t.code) AS years
-  FROM tr_ t GROUP BY t.code
-)"""
-
-
-def _event_stats(spark, sf_dir):
-    own = bars(spark, sf_dir).withColumns({"net": V.net_return(10), "hit": E.red_volume_demand(), "year": F.year("d")})
-    base = own.where("net IS NOT NULL").groupBy("year").agg(F.avg("net").alias("base"))
-    kept = E.keep_first(own.select("symbol", "d", "hit"), "hit")
-    trades = own.join(kept, ["symbol", "d"]).where("net IS NOT NULL").join(F.broadcast(base), "year").select(F.lit("red_vol_demand").alias("code"), "year", "net", "base")
-    return V.event_stats(trades)
-
-
-@query("SELECT code, n, round(net, 6) AS net, round(win, 6) AS win, round(excess, 6) AS excess, round(net_outside, 6) AS net_outside, years_won, years FROM es", _STATS)
-def event_trade_stats(spark, sf_dir):
-    return _event_stats(spark, sf_dir).withColumns({c: r6(c) for c in ("net", "win", "excess", "net_outside")})
-
-
-@query("SELECT code, coalesce(n >= 100 AND years_won / nullif(years, 0) >= 0.70 AND net_outside > 0 AND excess >= 0.01, false) AS passed FROM es", _STATS)
-def event_gate(spark, sf_dir):
-    return V.gate(_event_stats(spark, sf_dir)).select("code", "passed")
-
-
 @query(
     """SELECT year, count(*) FILTER (coalesce(r20 > 0, false)) AS trades, round(avg(CASE WHEN r20 > 0 THEN net11 END), 6) AS net, round(avg(CASE WHEN r20 > 0 THEN (net11 > 0)::int END), 6) AS win,
     round(avg(net11), 6) AS all_net, round(avg((net11 > 0)::int), 6) AS all_win FROM net WHERE net11 IS NOT NULL GROUP BY year""",
