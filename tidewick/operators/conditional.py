@@ -52,3 +52,25 @@ def active(found: DataFrame, frame: DataFrame, within: int = ACTIVE) -> DataFram
     late = Window.partitionBy("symbol").orderBy(F.desc("d"))
     rows = frame.withColumn("age", (F.row_number().over(late) - 1).cast("long")).where(F.col("age") <= within)
     return rows.join(found, ["symbol", "d"]).where("vol20 > 0")
+
+
+def scored_log(found: DataFrame, frame: DataFrame, cones: DataFrame, last: int = 250) -> DataFrame:
+    """Events of each symbol's last bars with ret10, live (a cone was issued that day), its low80 and high80, and in80 once ten sessions are over."""
+    rows = active(found, frame, last - 1).join(cones.select("symbol", "d", "code", "q10", "q90"), ["symbol", "d", "code"], "left")
+    inside = F.when(F.col("fr10").isNotNull(), F.col("fr10").between(F.col("q10"), F.col("q90")))
+    return rows.withColumns(
+        {
+            "ret10": F.exp("fr10") - 1,
+            "live": F.col("q10").isNotNull(),
+            "low80": F.col("c") * F.exp("q10"),
+            "high80": F.col("c") * F.exp("q90"),
+            "in80": inside,
+        }
+    )
+
+
+def history(days: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
+    """days with n_alerts, cov5 and cov10: events of the day, and the share that its cones of 80 % caught after 5 and 10 sessions."""
+    alerts = found.groupBy("d").agg(F.count(F.lit(1)).alias("n_alerts"))
+    caught = hits.where("level = 80").groupBy("d").agg(*[F.max(F.when(F.col("h") == h, F.col("hit"))).alias(f"cov{h}") for h in (5, 10)])
+    return days.join(alerts, "d", "left").join(caught, "d", "left").fillna(0, ["n_alerts"])

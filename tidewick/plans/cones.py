@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
+from ..operators import evaluate as V
 from ..operators import events as E
 from ..operators import features as X
 from ..operators import regime as R
@@ -348,6 +349,24 @@ def scored_cones(spark, sf_dir):
     return cone.join(real, ["symbol", "d", "h"]).select("symbol", "d", "h", *[r6(f"q{q}").alias(f"q{q}") for q in R.QUANTILES], r6("ret").alias("ret"))
 
 
+_TRADES = _HITS + """,
+net AS (SELECT symbol, d, lead(c, 11) OVER w * (1 - 0.0015::double - 0.001::double) / (lead(o) OVER w * (1 + 0.0015::double)) - 1 AS net11 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+sg AS (SELECT year(y.d) AS year, n.net11, t.up10 >= 0.6::double AND y.q10[3] > 0 AS s FROM yq y JOIN ytarget t ON t.symbol = y.symbol AND t.d = y.d JOIN net n ON n.symbol = y.symbol AND n.d = y.d WHERE net11 IS NOT NULL)"""
+
+
+@query(
+    """SELECT year, count(*) FILTER (s) AS trades, round(avg(net11) FILTER (s), 6) AS net, round(avg((net11 > 0)::int) FILTER (s), 6) AS win, round(avg(net11), 6) AS all_net, round(avg((net11 > 0)::int), 6) AS all_win FROM sg GROUP BY year""",
+    _TRADES,
+)
+def backtest_by_year(spark, sf_dir):
+    """Bought where the pool rose in six of ten cases and three quarters of the cone lie above today's price."""
+    cone, _ = _issued(spark, sf_dir)
+    pools = _scored(spark, sf_dir)[0].select("symbol", "d", "up10")
+    net = bars(spark, sf_dir).select("symbol", "d", V.net_return(11).alias("net"))
+    rows = cone.where("h = 10").join(pools, ["symbol", "d"]).join(net, ["symbol", "d"]).withColumn("year", F.year("d"))
+    return V.backtest(rows, (F.col("up10") >= 0.6) & (F.col("q25") > 0)).withColumns({c: r6(c) for c in ("net", "win", "all_net", "all_win")})
+
+
 @query("SELECT symbol, d, l AS level, n, pool, round(up5, 6) AS p5, round(up10, 6) AS p10 FROM ytarget", _YEARS)
 def anchored_pools(spark, sf_dir):
     """Each day's pool and its share of rises, of what was known five weeks before the year began."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
+from ..operators import direction as D
 from ..operators import evaluate as V
 from ..operators import features as X
 from ..operators import ingest as G
 from ..operators import zones as Z
-from ..sources.market import BARS_SQL, TICKS_SQL, bars, ticks
+from ..sources.market import BARS_SQL, INDEX, TICKS_SQL, bars, ticks
 from .features import FRAME_SQL
 from .registry import query
 from .volume import LEVELS_SQL, MINUTES_SQL
@@ -82,18 +83,22 @@ def merge_today(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    """A store without each 7th day of the month, and a newer delivery in which S1 is adjusted and each 5th day's volume is revised."""
+    """A store that ends 30 days before the bars do, and a delivery that begins 30 days after they do, in which S1's first half is adjusted and the volume of S2 revised."""
     own = bars(spark, sf_dir)
-    old = own.where(F.day("d") % 7 != 0)
-    factor = F.when((F.col("symbol") == "S1") & (F.year("d") < 1995), 0.79).otherwise(1.0)
-    new = own.where(F.day("d") % 3 != 0).withColumns({x: F.col(x) * factor for x in "ohlc"} | {"v": F.when(F.day("d") % 5 == 0, F.col("v") + 100).otherwise(F.col("v"))})
-    return old, new
+    span = own.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    rows = own.join(F.broadcast(span))  # one row
+    half = F.date_add("first", F.floor(F.datediff("last", "first") / 2).cast("int"))
+    factor = F.when((F.col("symbol") == "S1") & (F.col("d") < half), 0.79).otherwise(1.0)
+    old = rows.where(F.col("d") <= F.date_sub("last", 30)).select(*own.columns)
+    new = rows.where(F.col("d") >= F.date_add("first", 30)).withColumns({x: F.col(x) * factor for x in "ohlc"} | {"v": F.when(F.col("symbol") == "S2", F.col("v") + 100).otherwise(F.col("v"))})
+    return old, new.select(*own.columns)
 
 
 _VERSIONS = BARS_SQL + """,
-old AS (SELECT * FROM bars WHERE day(d) % 7 <> 0),
-f AS (SELECT *, CASE WHEN symbol = 'S1' AND year(d) < 1995 THEN 0.79::double ELSE 1.0::double END AS k FROM bars WHERE day(d) % 3 <> 0),
-new AS (SELECT symbol, d, o * k AS o, h * k AS h, l * k AS l, c * k AS c, CASE WHEN day(d) % 5 = 0 THEN v + 100 ELSE v END AS v FROM f)"""
+sp AS (SELECT min(d) AS first, max(d) AS last, min(d) + CAST(floor((max(d) - min(d)) / 2) AS int) AS half FROM bars),
+old AS (SELECT bars.* FROM bars, sp WHERE d <= last - 30),
+f AS (SELECT bars.*, CASE WHEN symbol = 'S1' AND d < half THEN 0.79::double ELSE 1.0::double END AS k FROM bars, sp WHERE d >= first + 30),
+new AS (SELECT symbol, d, o * k AS o, h * k AS h, l * k AS l, c * k AS c, CASE WHEN symbol = 'S2' THEN v + 100 ELSE v END AS v FROM f)"""
 
 
 @query(
@@ -213,21 +218,18 @@ def deviation_pivot(spark, sf_dir):
     return _buckets(spark, sf_dir).groupBy("year").pivot("bucket", ["down", "flat", "up"]).agg(F.round(F.stddev_samp("ret"), 6))
 
 
-@query(
-    """SELECT year, count(*) FILTER (coalesce(r20 > 0, false)) AS trades, round(avg(CASE WHEN r20 > 0 THEN net11 END), 6) AS net, round(avg(CASE WHEN r20 > 0 THEN (net11 > 0)::int END), 6) AS win,
-    round(avg(net11), 6) AS all_net, round(avg((net11 > 0)::int), 6) AS all_win FROM net WHERE net11 IS NOT NULL GROUP BY year""",
-    _NET,
-)
-def backtest_by_year(spark, sf_dir):
-    rows = X.with_returns(bars(spark, sf_dir)).withColumns({"net": V.net_return(11), "year": F.year("d")})
-    return V.backtest(rows, F.col("r20") > 0).withColumns({c: r6(c) for c in ("net", "win", "all_net", "all_win")})
+@query()
+def walk_forward_direction(spark, sf_dir):
+    """Rows only: boosted trees have no SQL. Both horizons, every year that has a thousand rows to learn from."""
+    return V.walk_forward(D.matrix(bars(spark, sf_dir), INDEX), D.COLUMNS, (5, 10))
 
 
 @query()
-def walk_forward_direction(spark, sf_dir):
-    """Rows only: boosted trees have no SQL."""
-    frame = X.with_labels(X.with_volume(X.with_volatility(X.with_returns(bars(spark, sf_dir)))))
-    return V.walk_forward(frame, ["r1", "r5", "r20", "vol20", "vol_ratio", "upvol_share"], "y10", [1996, 1997], rounds=5)
+def direction_gate(spark, sf_dir):
+    """Rows only, as what it judges is. The last year is not full."""
+    results = V.walk_forward(D.matrix(bars(spark, sf_dir), INDEX), D.COLUMNS, (5, 10))
+    last = results.agg(F.max("year").alias("last"))
+    return V.direction_gate(results.join(F.broadcast(last), F.col("year") < F.col("last")))  # one row
 
 
 @query(

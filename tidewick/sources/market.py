@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def symbols(spark: SparkSession, sf_dir: str, least: int, each: int) -> int:
+    """How many symbols the tables stand for: one for every so many suppliers, so that they grow with the data and their histories do not."""
+    return max(least, table(spark, sf_dir, "supplier").count() // each)
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, d, seq, price, vol: one row per line item, walked in the order of its shipping date."""
-    items = table(spark, sf_dir, "lineitem").withColumn("symbol", F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string")))
+    items = table(spark, sf_dir, "lineitem").withColumn("symbol", F.concat(F.lit("S"), (F.col("l_suppkey") % symbols(spark, sf_dir, 10, 10)).cast("string")))
     order = Window.partitionBy("symbol").orderBy(
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
@@ -54,7 +59,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of the event stream: the side from the event's type, price and size from its payload."""
     events = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("T"), (F.col("user_id") % 5).cast("string")).alias("symbol"),
+        F.concat(F.lit("T"), (F.col("user_id") % symbols(spark, sf_dir, 5, 20)).cast("string")).alias("symbol"),
         F.col("ts").cast("date").alias("d"),
         (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int").alias("sec"),
         "event_id",
@@ -79,12 +84,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same derivations as SQL.
 TRADES_SQL = """
 tr0 AS (
-  SELECT 'S' || (l_suppkey % 10) AS symbol, CAST(l_shipdate AS date) AS d,
+  SELECT 'S' || (l_suppkey % (SELECT greatest(10, count(*) // 10) FROM supplier)) AS symbol, CAST(l_shipdate AS date) AS d,
          row_number() OVER w AS seq,
          CAST(sum(CAST(round(l_discount * 100) AS bigint) - 5) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS cum,
          CAST(l_quantity * 100 AS bigint) AS vol
   FROM lineitem
-  WINDOW w AS (PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)
+  WINDOW w AS (PARTITION BY l_suppkey % (SELECT greatest(10, count(*) // 10) FROM supplier) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)
 ),
 tr AS (SELECT symbol, d, seq, round(20 * exp(CAST(cum AS double) * CAST(0.004 AS double)), 4) AS price, vol FROM tr0)"""
 
@@ -96,7 +101,7 @@ bars AS (
 
 TICKS_SQL = """
 ev AS (
-  SELECT 'T' || (user_id % 5) AS symbol, CAST(ts AS date) AS d,
+  SELECT 'T' || (user_id % (SELECT greatest(5, count(*) // 20) FROM supplier)) AS symbol, CAST(ts AS date) AS d,
          CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS integer) AS sec, event_id,
          CAST(json_extract_string(props, '$.k') AS bigint) AS k, event_type
   FROM events
