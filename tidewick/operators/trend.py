@@ -1,74 +1,92 @@
 """Averages that remember, and the trend that follows from them.
 
-Each is one ordered fold over the bars of a symbol, kept in the JVM: the sorted bars of a symbol are
-an array, the fold carries its state along and appends one value for each bar.
+Each value depends on the one before it, so each is one pass over the bars of a symbol in the order of
+their dates, linear in them, in the task that holds the symbol.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by_symbol
 
-_BARS = "array_sort(collect_list(struct(d, o, h, l, c, v)))"
+_BAR = ("symbol", "d", "o", "h", "l", "c", "v")
 
 
-def _folded(bars: DataFrame, start: str, step: str) -> DataFrame:
-    """bars with `value`: the fold's output for each bar. start makes state a (with array `out`), step (a, x) the next one."""
-    lists = bars.groupBy("symbol").agg(F.expr(_BARS).alias("bars"))
-    folded = lists.withColumn("out", F.expr(f"aggregate(bars, {start}, (a, x) -> {step}, a -> a.out)"))
-    rows = folded.select("symbol", F.explode(F.arrays_zip("bars", "out")).alias("z"))
-    return rows.select("symbol", "z.bars.*", F.col("z.out").alias("value"))
+def _along(bars: DataFrame, out: str, fold: Callable[[pd.DataFrame], dict[str, list]], *more: str) -> DataFrame:
+    """bars with the columns `out` that fold makes of the sorted bars of one symbol."""
+    own = bars.select(*_BAR, *more)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("d", kind="stable")
+        return frame.assign(**fold(frame))
 
-def ema(bars: DataFrame, n: int, column: str = "c") -> DataFrame:
-    """bars with `value`: exponential mean, seeded with the mean of the first n, null before."""
-    alpha = 2.0 / (n + 1)
-    value = f"CASE WHEN a.i + 1 < {n} THEN CAST(NULL AS DOUBLE) WHEN a.i + 1 = {n} THEN (a.s + x.{column}) / {n} ELSE {alpha}D * x.{column} + {1 - alpha}D * a.e END"
-    return _folded(
-        bars,
-        "named_struct('i', 0, 's', 0D, 'e', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<DOUBLE>))",
-        f"named_struct('i', a.i + 1, 's', IF(a.i < {n}, a.s + x.{column}, a.s), 'e', {value}, 'out', array_append(a.out, {value}))",
-    )
+    return own.groupBy("symbol").applyInPandas(run, f"{schema}, {out}")
 
 
-_TR = "IF(a.p IS NULL, x.h - x.l, greatest(x.h - x.l, abs(x.h - a.p), abs(x.l - a.p)))"
+def _smoothed(values: list[float], n: int, step: Callable[[float, float], float]) -> list[float | None]:
+    """The mean of the first n values, then what step makes of the last result and a value; None before."""
+    out: list[float | None] = []
+    total, last = 0.0, None
+    for i, x in enumerate(values):
+        if i < n:
+            total += x
+            last = total / n if i == n - 1 else None
+        else:
+            last = step(last, x)
+        out.append(last)
+    return out
+
+
+def _true_ranges(frame: pd.DataFrame) -> list[float]:
+    h, l, c = (frame[x].tolist() for x in "hlc")
+    return [h[i] - l[i] if not i else max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) for i in range(len(h))]
+
+
+def ema(bars: DataFrame, n: int, column: str = "c") -> DataFrame:
+    """bars with `value`: exponential mean, seeded with the mean of the first n, null before."""
+    a = 2.0 / (n + 1)
+    b = 1 - 2.0 / (n + 1)
+    return _along(bars, "value double", lambda frame: {"value": _smoothed(frame[column].tolist(), n, lambda e, x: a * x + b * e)})
 
 
 def atr(bars: DataFrame, n: int) -> DataFrame:
     """bars with `value`: mean true range after Wilder, seeded with the mean of the first n, null before."""
-    value = f"CASE WHEN a.i + 1 < {n} THEN CAST(NULL AS DOUBLE) WHEN a.i + 1 = {n} THEN (a.s + {_TR}) / {n} ELSE (a.e * {n - 1} + {_TR}) / {n} END"
-    return _folded(
-        bars,
-        "named_struct('i', 0, 's', 0D, 'e', CAST(NULL AS DOUBLE), 'p', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<DOUBLE>))",
-        f"named_struct('i', a.i + 1, 's', IF(a.i < {n}, a.s + {_TR}, a.s), 'e', {value}, 'p', x.c, 'out', array_append(a.out, {value}))",
-    )
+    return _along(bars, "value double", lambda frame: {"value": _smoothed(_true_ranges(frame), n, lambda e, x: (e * (n - 1) + x) / n)})
 
 
 def atr_running(bars: DataFrame, n: int = 14) -> DataFrame:
     """bars with `value`: true range smoothed by 1/n from the first bar on."""
-    value = f"IF(a.e IS NULL, {_TR}, a.e + ({_TR} - a.e) / {n})"
-    return _folded(
-        bars,
-        "named_struct('e', CAST(NULL AS DOUBLE), 'p', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<DOUBLE>))",
-        f"named_struct('e', {value}, 'p', x.c, 'out', array_append(a.out, {value}))",
-    )
+    return _along(bars, "value double", lambda frame: {"value": _smoothed(_true_ranges(frame), 1, lambda e, x: e + (x - e) / n)})
 
 
 def supertrend(bars: DataFrame, n: int = 10, width: float = 3.0) -> DataFrame:
     """bars with up and line: bands of `width` ATR that only tighten until the close is beyond them. It starts as down."""
+
+    def fold(frame: pd.DataFrame) -> dict[str, list]:
+        ups, lines = [], []
+        fu = fl = before = None
+        up = False
+        for h, l, c, a in zip(*(frame[x].tolist() for x in ("h", "l", "c", "atr")), strict=True):
+            bu, bl = (h + l) / 2 + width * a, (h + l) / 2 - width * a
+            if before is None:
+                fu, fl, up = bu, bl, False
+            else:
+                fu = bu if bu < fu or before > fu else fu
+                fl = bl if bl > fl or before < fl else fl
+                up = not c < fl if up else c > fu
+            ups.append(up)
+            lines.append(fl if up else fu)
+            before = c
+        return {"up": ups, "line": lines}
+
     ready = atr(bars, n).withColumnRenamed("value", "atr").where("atr IS NOT NULL")
-    lists = ready.groupBy("symbol").agg(F.expr("array_sort(collect_list(struct(d, o, h, l, c, v, atr)))").alias("bars"))
-    bu, bl = f"((x.h + x.l) / 2 + {width}D * x.atr)", f"((x.h + x.l) / 2 - {width}D * x.atr)"
-    fu = f"IF(a.p IS NULL OR {bu} < a.fu OR a.p > a.fu, {bu}, a.fu)"
-    fl = f"IF(a.p IS NULL OR {bl} > a.fl OR a.p < a.fl, {bl}, a.fl)"
-    up = f"CASE WHEN a.p IS NULL THEN false WHEN a.up THEN NOT (x.c < {fl}) ELSE x.c > {fu} END"
-    state = f"named_struct('fu', {fu}, 'fl', {fl}, 'up', {up}, 'p', x.c, 'out', array_append(a.out, named_struct('up', {up}, 'line', IF({up}, {fl}, {fu}))))"
-    start = "named_struct('fu', CAST(NULL AS DOUBLE), 'fl', CAST(NULL AS DOUBLE), 'up', false, 'p', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<STRUCT<up: BOOLEAN, line: DOUBLE>>))"
-    folded = lists.withColumn("out", F.expr(f"aggregate(bars, {start}, (a, x) -> {state}, a -> a.out)"))
-    rows = folded.select("symbol", F.explode(F.arrays_zip("bars", "out")).alias("z"))
-    return rows.select("symbol", "z.bars.d", "z.bars.o", "z.bars.h", "z.bars.l", "z.bars.c", "z.bars.v", "z.out.up", "z.out.line")
+    return _along(ready, "up boolean, line double", fold, "atr").drop("atr")
 
 
 def trend_signals(bars: DataFrame, mean: int = 10, warm_up: int = 40) -> DataFrame:
