@@ -142,6 +142,12 @@ def new_alerts(found: DataFrame, sent: DataFrame) -> DataFrame:
     return found.join(sent.select("symbol", "d").distinct(), ["symbol", "d"], "left_anti")
 
 
+def sent_after(sent: DataFrame, found: DataFrame, day: DataFrame, keep: int = 30) -> DataFrame:
+    """symbol, d, fresh: what counts as sent once the new ones of found are: nothing older than `keep` days before `day` (one row, day)."""
+    both = sent.select("symbol", "d").distinct().withColumn("fresh", F.lit(False)).unionByName(new_alerts(found, sent).select("symbol", "d").distinct().withColumn("fresh", F.lit(True)))
+    return both.join(F.broadcast(day), F.col("d") >= F.date_sub("day", keep), "left_semi")  # one row
+
+
 def payloads(alerts: DataFrame, most: int = 6) -> DataFrame:
     """d, n, body: one text for each date's alerts, a digest of counts if there are more than `most`."""
     line = F.format_string("%s %s %.2f", F.col("symbol"), F.col("direction"), F.col("level"))

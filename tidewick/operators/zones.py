@@ -124,7 +124,7 @@ def profile(by_level: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
     span = span.withColumn("n", (F.floor((F.col("__hi") - F.col("base")) / F.col("width") + EPS) + 1).cast("int")).drop("__lo", "__hi")
     at = F.least(F.col("n") - 1, F.floor((F.col("price") - F.col("base")) / F.col("width") + EPS)).cast("int")
     sums = [F.sum(c).alias(c) for c in ("buy", "sell", "x", "big_buy", "big_sell")]
-    filled = rows.join(F.broadcast(span), "symbol").withColumn("bin", at).groupBy("symbol", "bin").agg(*sums, F.countDistinct("d").alias("sessions"))
+    filled = rows.join(span, "symbol").withColumn("bin", at).groupBy("symbol", "bin").agg(*sums, F.countDistinct("d").alias("sessions"))
     dense = span.select("symbol", "base", "width", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
     out = dense.join(filled, ["symbol", "bin"], "left").na.fill(0)
     return out.select(

@@ -74,6 +74,19 @@ def whale_pairs(spark, sf_dir):
     return P.whale_pairs(Z.top_levels(Z.recent(volume.levels(spark, sf_dir), 20)), 1.0)
 
 
+@query(
+    """WITH lv AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY d DESC) AS bk FROM levels),
+    x AS (SELECT w, 0 AS k, lv.* FROM lv, (VALUES (10), (20), (40)) AS t(w) WHERE bk <= w UNION ALL SELECT w, 1, lv.* FROM lv, (VALUES (10), (20), (40)) AS t(w) WHERE bk BETWEEN 2 AND w + 1),
+    s AS (SELECT w, k, symbol, round(round_even(price / 0.05::double, 0) * 0.05::double, 4) AS price, sum(big_buy) AS b, sum(big_sell) AS s FROM x GROUP BY 1, 2, 3, 4),
+    p AS (SELECT w, k, symbol, first(price ORDER BY b DESC, price) FILTER (b > 0) AS buy_p, first(price ORDER BY s DESC, price) FILTER (s > 0) AS sell_p FROM s GROUP BY w, k, symbol),
+    near AS (SELECT * FROM p WHERE abs(buy_p - sell_p) <= 1.0 + 1e-9)
+    SELECT symbol, w, buy_p, sell_p FROM near n WHERE k = 0 AND NOT EXISTS (SELECT 1 FROM near o WHERE o.k = 1 AND o.w = n.w AND o.symbol = n.symbol)""",
+    volume.LEVELS_SQL,
+)
+def new_whale_pairs(spark, sf_dir):
+    return P.new_whale_pairs(volume.levels(spark, sf_dir), gap=1.0)
+
+
 @query(
     f"""SELECT z.symbol, z.side, z.lo, z.hi, round(100 * ((z.lo + z.hi) / 2 / s.close - 1), 6) AS dist FROM ({volume._zones_sql('buy', 'sell', 'total')}) z
     JOIN (SELECT symbol, max_by(close, d) AS close FROM sess GROUP BY symbol) s ON s.symbol = z.symbol""",
@@ -136,3 +149,14 @@ def unsent_sessions(spark, sf_dir):
     """Rows of (symbol, d) that were not sent yet; those of even days count as sent."""
     rows = Z.sessions(ticks(spark, sf_dir)).select("symbol", "d", "total")
     return G.new_alerts(rows, rows.where(F.day("d") % 2 == 0))
+
+
+@query(
+    """WITH day AS (SELECT max(d) AS day FROM sess)
+    SELECT symbol, d, day(d) % 2 = 1 AS fresh FROM sess, day WHERE d >= day - 30""",
+    volume.LEVELS_SQL,
+)
+def sent_sessions(spark, sf_dir):
+    """What counts as sent after today: sessions of odd days are new, those of even days were sent before."""
+    rows = Z.sessions(ticks(spark, sf_dir)).select("symbol", "d")
+    return G.sent_after(rows.where(F.day("d") % 2 == 0), rows, rows.agg(F.max("d").alias("day")))
