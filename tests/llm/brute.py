@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,3 +118,72 @@ def components(rows):
 
 def fold(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(n - 9 * (n > 9) for n in doubled) % 10 == 0
+
+
+def personal(text):
+    """(start, kind, end) of the base kinds, 0 to 3: email, ip, card, phone."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def usable(v):
+    return v is not None and all(x is not None and math.isfinite(x) for x in v)
+
+
+def negatives(rows):
+    """Rows of op11 for (vec_id, label, vector) with different ids."""
+    kept = [(i, (n + 1) % 10 if i % 7 == 0 else n, [math.floor(256 * x) for x in v]) for i, n, v in rows if n is not None and usable(v)]
+    out = []
+    for i, n, v in kept:
+        if i % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, m) for j, m, w in kept if j != i)
+        for s, j, _ in [x for x in scored if x[2] == n][:5]:
+            fit = [(x, k) for x, k, m in scored if m != n and 30 * -s <= 100 * -x <= 90 * -s][:10]
+            out += [(i, j, rank, k, -s, -x) for rank, (x, k) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6):
+    """Rows of op13 for (vec_id, label, vector)."""
+    kept = [(i, n, [math.floor(4096 * x) for x in v]) for i, n, v in rows if usable(v)]
+    width = max(len(v) for _, _, v in kept)
+    size = -(-width // parts)
+    kept = [(i, n, v + [0] * (size * parts - len(v))) for i, n, v in kept]
+    first = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[2]))[:entries]
+    book = [[r[2][m * size : (m + 1) * size] for r in first] for m in range(parts)]
+
+    def near(m, v):
+        p = v[m * size : (m + 1) * size]
+        return min((sum((a - b) ** 2 for a, b in zip(p, e)), k) for k, e in enumerate(book[m]))
+
+    for _ in range(rounds):
+        for m in range(parts):
+            own = defaultdict(list)
+            for _, _, v in kept:
+                own[near(m, v)[1]].append(v[m * size : (m + 1) * size])
+            for k, ps in own.items():
+                book[m][k] = [sum(c) // len(ps) for c in zip(*ps)]
+    out, by = [], Counter()
+    for i, n, v in kept:
+        best = [near(m, v) for m in range(parts)]
+        error = sum(d for d, _ in best)
+        by[n] += error
+        out.append((i, n, "".join(f"{k:02x}" for _, k in best), error))
+    digest = sha(",".join(str(x) for m in book for e in m for x in e).encode())
+    return sorted(((i, c, e, by[n], digest) for i, n, c, e in out), key=str)

@@ -66,6 +66,7 @@ def sf_dir(spark, tmp_path_factory):
     rows = [(i * 3 + 1, t, ("en", "de", None)[i % 3], f"s{i % 2}", None if t is None else len(t)) for i, t in enumerate(texts())]
     spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame([], SCHEMA).write.parquet(str(path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(path / "none" / "embeddings.parquet"))
     return str(path)
 
 
