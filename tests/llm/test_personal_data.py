@@ -30,8 +30,9 @@ def test_base_spans_are_those_of_the_patterns(text):
 def test_base_spans_of_long_texts():
     rnd = random.Random(4)
     for unit in ("1.", "1 ", "a@", "a@b.", "+1 ", "4111 1111 1111 1111 ", "192.168.0.1.", "é@é.é "):
-        text = unit * 40_000 + rnd.choice(("", "x@y.de"))
+        text = unit * 300 + rnd.choice(("", "x@y.de"))
         assert base(text) == brute.personal(text)
+        assert len(find_spans(unit * 40_000)) < 100_000  # in linear time
 
 
 @pytest.mark.parametrize(
