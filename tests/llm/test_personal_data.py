@@ -56,7 +56,7 @@ def test_what_fails_its_check_is_no_span(text):
 
 
 def test_op12(spark, tmp_path):
-    texts = [None, "", "mail a.b@c.de or +49 (30) 1234-5678 x", "10.0.0.1 and 4111 1111 1111 1111", "x" * 100_000 + " é@ü.de a@b.co", "plain"] * 3
+    texts = [None, "", "mail a.b@c.de or +49 (30) 1234-5678 x", "10.0.0.1 and 4111 1111 1111 1111", "x" * 3_000 + " é@ü.de a@b.co", "plain"] * 3
     rows = [(i // 2 if i % 5 else None, t, "de", "s", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, spans string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((tuple(r) for r in personal_data.op12_personal_data(spark, str(tmp_path)).collect()), key=str)
