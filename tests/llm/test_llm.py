@@ -116,8 +116,8 @@ def test_op2_finds_the_worse_rule(spark):
         good = rnd.random() < 0.7
         vote = lambda accuracy: (1 if good else -1) * (1 if rnd.random() < accuracy else -1)  # noqa: E731, B023
         votes.append(([vote(0.95), vote(0.9), vote(0.9), vote(0.6), 0],))
-    fitted = quality_rules.fit_rules(spark.createDataFrame(votes, "v array<int>"))
-    assert abs(fitted[0] - 0.7) < 0.06 and fitted[1] > 0.85 and fitted[4] < 0.75
+    fitted = quality_rules.fit_rules(spark.createDataFrame(votes, "v array<int>"), (0, 0, 0, 0, None))
+    assert abs(fitted.weight[0] - 0.7) < 0.06 and fitted.chance[0, 0, 2] > 0.85 and fitted.chance[0, 3, 2] < 0.75
 
 
 def test_op2_posterior_alone_drops_symbol_junk(spark):
@@ -134,6 +134,50 @@ def test_op2_posterior_alone_drops_symbol_junk(spark):
     assert all(out[d]["p_good"] < quality_rules.KEEP_FROM for d, _ in junk + lines)
 
 
+def _judged(spark, texts):
+    stats = quality_rules.text_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    votes = quality_rules.judge(stats).withColumn("v", F.array(*quality_rules.rules()))
+    return [r for _, r in sorted((r["doc_id"], r) for r in votes.collect())]
+
+
+def test_op2_good_votes_outweigh_a_bad_one_that_none_confirms(spark):
+    rnd = random.Random(16)
+    words = vocabulary(8, 400)
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    junk = [" ".join(w + rnd.choice(("###", "$$$")) for w in prose(120)) for _ in range(40)]
+    out = _judged(spark, [" ".join(prose(120)) for _ in range(300)] + [" ".join(prose(30)) for _ in range(20)] + junk)
+    short = out[300:320]
+    assert all(r["v"][0] == -1 and r["kept"] for r in short)
+    assert all(min(r["v"]) == -1 and not r["kept"] for r in out[320:])
+
+
+def test_op2_doubts_without_any_bad_vote_drop_a_row(spark):
+    rnd = random.Random(17)
+    words = vocabulary(8, 400)
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    junk = [" ".join(w + rnd.choice(("###", "$$$")) for w in prose(120)) for _ in range(40)]
+    tables = [" || ".join(" ".join(prose(2)) for _ in range(60)) for _ in range(40)]
+    out = _judged(spark, [" ".join(prose(120)) for _ in range(300)] + junk + tables)
+    assert all(r["kept"] for r in out[:300])
+    assert all(min(r["v"]) == 0 and not r["kept"] and not r["base_failed"] for r in out[340:])
+
+
+def test_op2_posterior_by_hand(spark):
+    """The posterior of every row is what Bayes' rule gives for the fitted chances."""
+    rnd = random.Random(18)
+    words = vocabulary(8, 300)
+    texts = [" ".join(rnd.choice(words) + rnd.choice(("", "", "##")) * rnd.randint(0, 1) for _ in range(rnd.randint(5, 150))) for _ in range(80)]
+    stats = quality_rules.text_stats(spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string"))
+    fitted = quality_rules.fit_rules(stats.select(F.array(*quality_rules.rules()).alias("v")))
+    for r in quality_rules.judge(stats).withColumn("v", F.array(*quality_rules.rules())).collect():
+        each = list(fitted.weight)
+        for k in range(len(each)):
+            for j, x in enumerate(r["v"]):
+                each[k] *= fitted.chance[k, j, x + 1]
+        assert abs(r["p_good"] - each[0] / sum(each)) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= quality_rules.KEEP_FROM)
+
+
 def test_op3(spark, sf_dir, rows):
     for d, r in result(spark, sf_dir, "op3_").items():
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == brute.secrets(rows[d])

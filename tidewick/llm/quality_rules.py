@@ -1,32 +1,34 @@
-"""Weak supervision for document quality: voting rules, EM accuracies, posterior probability (JVM only; EM reads counts)."""
+"""Weak supervision for document quality: rules vote or abstain, EM learns from their agreement, a posterior decides (JVM only; EM reads counts)."""
 
 from __future__ import annotations
 
-import itertools
-import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, documents, stored
 
 NGRAM = 8
-EM_ROUNDS = 30
-#: What the EM starts from and is pulled to: the share of good documents and a rule's accuracy, with these weights in rows.
-PRIOR_GOOD, PRIOR_ACCURACY, PRIOR_WEIGHT = 0.9, 0.8, 20.0
+EM_ROUNDS = 50
+#: What the EM starts from and is pulled to: the share of good documents, the chance that a rule of a family votes
+#: rightly or, on its own kind of junk, abstains, with this weight in rows.
+PRIOR_GOOD, PRIOR_RIGHT, PRIOR_DOUBT, PRIOR_WEIGHT = 0.9, 0.8, 0.2, 20.0
 KEEP_FROM = 0.5
-#: Of a rule's bad votes more are right than wrong; bad documents of a rule's own kind get its bad vote with this chance at least.
-LEAST_RIGHT, LEAST_HIT = 0.51, 0.55
-FLOOR, CEILING = 1e-6, 0.99
+#: The family of each rule: symbols, repeats, or none for rules whose votes no other rule can confirm.
+FAMILIES = (None, None, 0, 0, 0, 1, 1, 1)
+FLOOR = 1e-6
 _STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MORE = ("n_symbol_words", "n_letters", "n_trigrams")
 
 
 def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (longs) of the whole text.
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_symbol_words, n_letters and n_trigrams (longs) of the whole text.
 
     Everything happens within the row, in array functions: no shuffle. 8-word windows are compared by
-    the 64-bit hash of their words' 64-bit hashes. Null and empty texts give zeros. Columns __* are
-    this function's own.
+    the 64-bit hash of their words' 64-bit hashes, and so are the different 3-word windows counted. Null
+    and empty texts give zeros. Columns __* are this function's own.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__words", F.filter(F.split(t, SPACE), lambda w: w != ""))
@@ -35,6 +37,9 @@ def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
     df = df.withColumn("n_symbols", (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+    has_symbol = lambda w: w.rlike(r"[#*$%&|<>]")
+    df = df.withColumn("n_symbol_words", F.when(F.col("n_symbols") > 0, F.size(F.filter("__words", has_symbol))).otherwise(0).cast("long"))
+    df = df.withColumn("n_letters", F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")).cast("long"))
     df = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
     df = df.withColumn(
         "__grams",
@@ -43,6 +48,9 @@ def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
             F.transform(F.sequence(F.lit(1), F.size("__h") - (NGRAM - 1)), lambda i: F.xxhash64(F.slice("__h", i, NGRAM))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
+    three = lambda i: F.xxhash64(F.get("__h", i - 1), F.get("__h", i), F.get("__h", i + 1))
+    trigrams = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__h") - 2), three)))
+    df = df.withColumn("n_trigrams", F.when(F.size("__h") >= 3, trigrams).otherwise(0).cast("long"))
     repeats = F.size(F.array_distinct("__grams")) < F.size("__grams")
     # only for texts that repeat some window: sort windows with their places, keep places of equal neighbours, measure their union
     df = df.withColumn(
@@ -77,107 +85,108 @@ def base_failed() -> Column:
 
 
 def rules() -> list[Column]:
-    """Votes: 1 good, -1 bad, 0 abstains."""
+    """Votes: 1 good, -1 bad, 0 abstains. The first two stand alone, then three on symbols and three on repeats (FAMILIES)."""
     n = F.greatest(F.col("n_words"), F.lit(1))
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     mean = F.col("word_chars") / n
-    symbols, repeated = F.col("n_symbols") / n, F.col("n_repeat_words") / n
+    symbols, marked, letters = F.col("n_symbols") / n, F.col("n_symbol_words") / n, F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1))
+    repeated, fresh, long_enough = F.col("n_repeat_words") / n, F.col("n_trigrams") / F.greatest(n - 2, F.lit(1)), F.col("n_words") >= 3
     return [
-        vote(n < 20, n >= 50),
-        vote((mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
-        vote(symbols > 0.3, symbols <= 0.05),
+        vote(n < 50, n >= 100),
+        vote((mean < 3) | (mean > 10), (mean >= 4) & (mean <= 7)),
+        vote(symbols > 1, symbols <= 0.05),
+        vote(marked > 0.5, marked <= 0.05),
+        vote(letters < 0.7, letters >= 0.9),
         vote(repeated > 0.3, repeated <= 0.05),
+        vote(long_enough & (fresh < 0.5), long_enough & (fresh >= 0.8)),
         vote(20 * F.col("n_dup_lines") > n, F.col("n_dup_lines") == 0),
     ]
 
 
-def _patterns(n_rules: int) -> list[tuple[int, ...]]:
-    """All patterns of votes, in the order of their code: the first rule's vote counts most."""
-    return list(itertools.product((-1, 0, 1), repeat=n_rules))
+@dataclass(frozen=True)
+class Fitted:
+    """weight: the share of each class, the good one first, then one kind of junk for each family; chance[class, rule, vote + 1]."""
 
+    weight: np.ndarray
+    chance: np.ndarray
 
-def fit_rules(votes: DataFrame) -> list[float]:
-    """[share of good documents, P(good vote | good) of each rule, then of each kind of bad document its share and P(bad vote | kind) of each rule] by expectation-maximisation.
+    def shares(self, votes: np.ndarray) -> np.ndarray:
+        """P(class | votes) of each row of votes."""
+        z = np.log(self.weight) + sum(np.log(self.chance[:, j, votes[:, j] + 1]).T for j in range(votes.shape[1]))
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+
+def fit_rules(votes: DataFrame, families: tuple[int | None, ...] = FAMILIES) -> Fitted:
+    """Shares of classes and chances of votes by expectation-maximisation.
 
     votes has one array column `v`. Documents are first counted by their pattern of votes, of which
     there are at most 3**rules, so that EM itself runs on a table of fixed size, whatever the rows.
 
-    Every rule has its own chances of a bad vote among good and among bad documents. Bad documents
-    come in kinds, one for each rule: symbol junk seldom repeats itself, so that under one table for all
-    bad documents the votes of one kind would clear the others. An abstention tells nothing of either
-    class. A rule votes better than chance by definition: in its own kind a bad vote has a chance of LEAST_HIT,
-    in no kind a lower one than among good documents, and of a rule's bad votes at least LEAST_RIGHT are right.
+    Every rule has, in each class, its own chances of a bad vote, an abstention and a good vote, so a
+    doubt tells as much as the data say it does. Junk comes in one kind for each family of rules,
+    as symbol junk seldom repeats itself and one table for all junk would let the votes of one kind clear
+    the other. What tells a rule that is right from one that is not is whether the rules of its family
+    agree with it: a lone bad vote has no kind of its own to go to. Rules without a family start alike
+    in all classes. No chance is held above or below anything but FLOOR.
     """
-    counts = {tuple(r["v"]): float(r["n"]) for r in votes.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rules_ = range(len(next(iter(counts), rules())))
-    total = sum(counts.values())
-
-    def share_bad(j: int) -> float:
-        bad, good = (sum(n for v, n in counts.items() if v[j] == x) for x in (-1, 1))
-        return min(max(bad / max(bad + good, 1.0), FLOOR), CEILING)
-
-    marginal = [share_bad(j) for j in rules_]
-    # class 0 is the good one; a bad vote is right with PRIOR_ACCURACY
-    weight0 = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) * m / sum(marginal) for m in marginal]
-    hit0 = [[m * (1 - PRIOR_ACCURACY) / PRIOR_GOOD for m in marginal]] + [[PRIOR_ACCURACY if i == j else marginal[i] for i in rules_] for j in rules_]
-    weight, hit = weight0, hit0
-    for _ in range(EM_ROUNDS):
-        rows = [0.0] * len(weight)
-        bad = [[0.0] * len(rules_) for _ in weight]
-        voted = [[0.0] * len(rules_) for _ in weight]
-        for v, n in counts.items():
-            for k, q in enumerate(_responsibilities(v, weight, hit)):
-                rows[k] += n * q
-                for j in rules_:
-                    bad[k][j] += n * q * (v[j] == -1)
-                    voted[k][j] += n * q * (v[j] != 0)
-        prior = [PRIOR_WEIGHT * w for w in weight0]
-        bad = [[bad[k][j] + prior[k] * hit0[k][j] for j in rules_] for k in range(len(weight))]
-        weight = [(rows[k] + prior[k]) / (total + PRIOR_WEIGHT) for k in range(len(weight))]
-        hit = [[bad[k][j] / (voted[k][j] + prior[k]) for j in rules_] for k in range(len(weight))]
-        most = [sum(x[j] for x in bad[1:]) * (1 - LEAST_RIGHT) / LEAST_RIGHT / (rows[0] + prior[0]) for j in rules_]
-        good = [min(max(min(hit[0][j], most[j]), FLOOR), CEILING) for j in rules_]
-        hit = [good] + [[min(max(x, LEAST_HIT if i == j else FLOOR, good[i]), CEILING) for i, x in enumerate(hit[j + 1])] for j in rules_]
-    return [weight[0], *[1 - x for x in hit[0]], *[x for k in range(1, len(weight)) for x in (weight[k], *hit[k])]]
-
-
-def _responsibilities(v: tuple[int, ...], weight: list[float], hit: list[list[float]]) -> list[float]:
-    """P(class | votes) of each class."""
-    z = [math.log(w) + sum(math.log(h if x < 0 else 1 - h) for x, h in zip(v, hs, strict=True) if x) for w, hs in zip(weight, hit, strict=True)]
-    e = [math.exp(x - max(z)) for x in z]
-    return [x / sum(e) for x in e]
-
-
-def posterior(params: list[float]) -> Column:
-    """P(good | votes), looked up by the code of the pattern: 3**rules numbers, whatever the rows."""
-    n = len(rules())
-    kinds = [params[1 + n + k * (n + 1) : 1 + n + (k + 1) * (n + 1)] for k in range(n)]
-    weight, hit = [params[0], *[k[0] for k in kinds]], [[1 - x for x in params[1 : 1 + n]], *[k[1:] for k in kinds]]
-    table = F.array(*[F.lit(_responsibilities(v, weight, hit)[0]) for v in _patterns(n)])
-    code = F.lit(0)
-    for rule in rules():
-        code = code * 3 + rule + 1
-    return F.get(table, code)
+    counted = votes.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
+    v = np.array([r["v"] for r in counted], np.int64).reshape(-1, len(families))
+    n = np.array([r["n"] for r in counted], float)
+    kinds = 1 + max((f for f in families if f is not None), default=0)
+    start = np.empty((1 + kinds, len(families), 3))
+    for j, family in enumerate(families):
+        all_ = np.array([n[v[:, j] == x].sum() + 1 for x in (-1, 0, 1)])
+        start[:, j] = all_ / all_.sum()
+        if family is not None:
+            wrong = (1 - PRIOR_RIGHT) / 2
+            start[0, j] = wrong, wrong, PRIOR_RIGHT
+            start[1 + family, j] = 1 - wrong - PRIOR_DOUBT, PRIOR_DOUBT, wrong
+    weight0 = np.array([PRIOR_GOOD, *[(1 - PRIOR_GOOD) / kinds] * kinds])
+    fitted = Fitted(weight0, start)
+    prior = PRIOR_WEIGHT * weight0
+    for _ in range(EM_ROUNDS if len(n) else 0):
+        q = fitted.shares(v) * n[:, None]
+        chance = np.empty_like(start)
+        for j in range(len(families)):
+            for x in (-1, 0, 1):
+                chance[:, j, x + 1] = (q[v[:, j] == x].sum(axis=0) + prior * start[:, j, x + 1]) / (q.sum(axis=0) + prior)
+        fitted = Fitted((q.sum(axis=0) + prior) / (n.sum() + PRIOR_WEIGHT), np.maximum(chance, FLOOR))
+    return fitted
+
+
+def posterior(fitted: Fitted) -> Column:
+    """P(good | votes): of each class the log of its share and of the chances of the votes, summed in the row."""
+    logs = []
+    for weight, chances in zip(np.log(fitted.weight).tolist(), np.log(fitted.chance).tolist(), strict=True):
+        z = F.lit(weight)
+        for rule, (bad, doubt, good) in zip(rules(), chances, strict=True):
+            z = z + F.when(rule == -1, bad).when(rule == 1, good).otherwise(doubt)
+        logs.append(z)
+    return 1 / sum((F.exp(z - logs[0]) for z in logs[1:]), F.lit(1.0))
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """stats (see text_stats) with p_good, base_failed and kept.
 
-    Rules vote or abstain; their chances of a bad vote among good and bad rows are estimated from all rows without labels, and a row stays
-    if its posterior probability of being good is at least KEEP_FROM and no base rule fails. A null or
-    empty text has no words and fails; equal texts are judged alike; an empty table gives no rows.
+    Rules vote or abstain; their chances among good rows and kinds of junk are estimated from all rows
+    without labels, and a row stays if its posterior probability of being good is at least KEEP_FROM and
+    no base rule fails. A bad vote of a rule that others do not confirm is outweighed by their good
+    ones, and doubts of several rules can drop a row that no rule calls bad. A null or empty text has no
+    words and fails; texts of any length are judged whole; equal texts are judged alike; an empty table
+    gives no rows.
     """
-    params = fit_rules(stats.select(F.array(*rules()).alias("v")))
+    fitted = fit_rules(stats.select(F.array(*rules()).alias("v")))
     return (
         stats.withColumn("base_failed", base_failed())
-        .withColumn("p_good", posterior(params))
+        .withColumn("p_good", posterior(fitted))
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_FROM))
     )
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = stored(text_stats(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
-    return judge(stats).select("doc_id", "n_words", *_STATS, "base_failed", "kept", "p_good")
+    return judge(stats).select("doc_id", "n_words", *_STATS, "base_failed", "kept", "p_good", *_MORE)
