@@ -86,3 +86,24 @@ def test_one_symbol_over_and_over_and_clashing_columns(spark):
     docs = frame(spark, rows).withColumns({c: F.lit(1) for c in ("h", "key", "lo", "hi", "u", "n", "runs", "ranges", "__d", "place", "first", "body")})
     assert words_result(docs) == expected(rows, brute.substring)
     assert bytes_result(docs) == expected(rows, brute.suffix)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_thousands_of_equal_rows(spark, doc_id):
+    """Rows of one id and text are searched once, so their number costs nothing but their own output."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    text, other = prose(800), prose(60)
+    rows = [(doc_id, text)] * 5000 + [(1, f"{other} {text[:900]}"), (2, other), (None, "short"), (None, "short"), (3, None), (3, None)]
+    few = [(doc_id, text)] * 2 + rows[5000:]
+    got, want = words_result(frame(spark, rows)), words_result(frame(spark, few))
+    assert len(got) == len(rows) and set(got) == set(want)
+    # equal rows count as one document for words: what the first document lacks, all of them keep
+    if doc_id is None:
+        one = expected(rows[5000:] + rows[:1], brute.substring)
+        assert {x for x in got if x[1] == 800} == {x for x in one if x[1] == 800}
+    got = bytes_result(frame(spark, rows))
+    assert len(got) == len(rows) and set(got) == set(bytes_result(frame(spark, few)))
+    assert {x[2] for x in got if x[1] == len(text)} == {len(text)}  # every string of theirs is there twice
+    assert set(expected(few, brute.suffix)) == set(got)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, Hashes, anchors, free, mixed, small_batches, stored, word_ids, word_symbols, words_of
+from .common import HEAVY, SPACE, Hashes, anchors, free, mixed, small_batches, stored, word_ids, word_symbols, words_of
 
 #: Bytes of text that are worked on at once; longer documents are cut into overlapping parts.
 BUFFER = 1 << 19
@@ -272,15 +272,34 @@ def _settled(rows: DataFrame) -> DataFrame:
     return stored(dealt.where("n > 1").drop("place", "first", "deal", "k", "v", "c", "f"))
 
 
+def _folded(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with one row for all that are alike in doc_id and h, and those that stand for several; docs as they are if there are none.
+
+    Both aggregates are combined before the shuffle, so a document that a third of the rows hold costs a row a task.
+    """
+    alike = docs.groupBy("doc_id", "h")
+    if alike.count().where("count > 1").isEmpty():
+        return docs, None
+    folded = stored(alike.agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")))
+    return folded.select("doc_id", "h", "text"), folded.where("n > 1")
+
+
 def repeated(docs: DataFrame, kind: Kind, first_stays: bool) -> DataFrame:
     """doc_id, h, lo, hi: ranges of starts of the windows to remove.
 
-    docs has doc_id, h (a hash of the text) and text; rows alike in both are one document where it is
-    asked which window comes first. With first_stays that is the one of the smallest doc_id (none: after
-    all others), then h, then start; otherwise every window that starts at two places goes.
+    docs has doc_id, h (a hash of the text) and text; rows alike in both are searched as one document,
+    however many there are. With first_stays a window stays in the document of the smallest doc_id (none:
+    after all others), then h, then start; otherwise every window that starts at two places goes, and so
+    do all of a document that several rows hold.
     """
     small_batches(docs.sparkSession)
-    rows, found = stored(docs.mapInArrow(partial(_runs, kind=kind), _ROWS)), []
+    docs, again = _folded(docs)
+    found = []
+    if again is not None and not first_stays:
+        size = F.size(F.filter(F.split("text", SPACE), lambda w: w != "")) if kind.words else F.octet_length("text")
+        whole = again.select("doc_id", "h", F.lit(0).alias("lo"), (size - (kind.win - 1)).cast("int").alias("hi"))
+        found.append(whole.where("hi > 0"))
+    rows = stored(docs.mapInArrow(partial(_runs, kind=kind), _ROWS))
     for width in (*kind.widths, 0):
         met = _settled(rows)
         free(rows)
