@@ -246,30 +246,74 @@ def yearly_pool(keys: DataFrame, counts: DataFrame, least: int = MIN_POOL) -> Da
     return out.select(*keys.columns, F.coalesce(*[F.col(f"__{level}") for level in range(len(AXES) + 1)]).alias("__b")).select(*keys.columns, "__b.*")
 
 
-def ends(targets: DataFrame, pool: DataFrame, paths: int) -> DataFrame:
-    """id, path and x5, x10, x20: what bootstrap() has at the horizons, without the course in between."""
-    blocks = STEPS // BLOCK
-    keys = [c for c in pool.columns if c not in ("row", "steps")]
-    drawn = targets.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    drawn = drawn.withColumns(
-        {
-            "row": draw(F.col("seed"), F.col("path"), F.col("block"), F.col("n"), 1),
-            "start": draw(F.col("seed"), F.col("path"), F.col("block"), F.lit(STEPS - BLOCK + 1), 2).cast("int"),
-        }
-    )
-    met = drawn.join(pool, [*keys, "row"])
-    step = lambda j: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.get("steps", F.col("start") + j) * F.col("vol20")))
-    move = step(0) + step(1) + step(2) + step(3) + step(4)
-    met = met.select("id", "path", "block", move.alias("x"))
-    return met.groupBy("id", "path").agg(*[F.sum(F.when(F.col("block") < h // BLOCK, F.col("x"))).alias(f"x{h}") for h in HORIZONS])
-
-
-def end_quantiles(simulated: DataFrame) -> DataFrame:
-    """id, h and q5 .. q95: exact percentiles of x5, x10 and x20."""
-    share = F.array(*[F.lit(q / 100) for q in QUANTILES])
-    rows = simulated.groupBy("id").agg(*[F.percentile(f"x{h}", share).alias(f"p{h}") for h in HORIZONS])
-    rows = rows.select("id", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"p{h}").alias("q")) for h in HORIZONS])).alias("z"))
-    return rows.select("id", "z.h", *[F.col("z.q")[i].alias(f"q{q}") for i, q in enumerate(QUANTILES)])
+#: Rows of a slice of a pool about, groups of a target's paths, and targets that meet a slice in one task about.
+SLICE, GROUPS, TARGETS = 2048, 4, 1024
+
+
+def prefixed(rows: DataFrame) -> DataFrame:
+    """rows once for each prefix of their axes: level and pool."""
+    return rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(AXES))))).withColumn("pool", prefix(F.col("level")))
+
+
+def slices_of(n: Column) -> Column:
+    return F.ceil(n / SLICE).cast("long")
+
+
+def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """id, h and q5 .. q95: exact percentiles of what blocks of history, drawn at random, give after each horizon.
+
+    targets: id, seed, vol20, n and the keys of a pool (asof, pool, level, as members has them); members:
+    those keys, symbol, d, steps. A pool is dealt by a hash of (symbol, d) into slices of some 2,048 rows,
+    and the paths of a target into GROUPS groups, each of which draws all its blocks from one slice that
+    the target's seed chooses. So a target costs GROUPS rows and the numbers of its paths, whatever its
+    pool holds, and a task holds one slice and some 1,000 targets: slices that more targets want are
+    copied, once for each thousand. Every path is whole blocks of five steps, as long as the farthest horizon
+    asks for; its numbers depend on the seed alone. paths is a multiple of GROUPS.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys = [c for c in ("asof", "pool", "level") if c in members.columns]
+    load = targets.groupBy(*keys).agg(slices_of(F.max("n")).alias("__slices"), F.count(F.lit(1)).alias("__t"))
+    load = F.broadcast(load.select(*keys, "__slices", F.ceil(GROUPS * F.col("__t") / (F.col("__slices") * TARGETS)).alias("__salts")))  # values of six axes, by time
+    own = members.join(load, keys).withColumn("__slice", seed_of(F.col("symbol"), F.col("d")) % F.col("__slices"))
+    own = own.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)))
+    asked = targets.join(load, keys).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    asked = asked.withColumn("__slice", draw(F.col("seed"), F.col("__g"), F.lit(0), F.col("__slices"), 3)).withColumn("__salt", F.pmod(F.xxhash64("id"), "__salts"))
+    met = [*keys, "__slice", "__salt"]
+    blocks = max(horizons) // BLOCK
+
+    def drawn(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right.select(["symbol", "d"]), sort_keys=[("symbol", "ascending"), ("d", "ascending")]))
+        steps = right["steps"].combine_chunks().flatten().to_numpy().reshape(-1, STEPS)
+        seed, vol, group = (left[c].to_numpy()[:, None] for c in ("seed", "vol20", "__g"))
+        path = group.astype(np.int64) + GROUPS * np.arange(paths // GROUPS)
+        pick = lambda block, n, salt: (seed * 1103515 + path * 7919 + block * 104729 + salt * 15485863) % 2147483647 * 48271 % 2147483647 % n
+        total, out = np.zeros(path.shape), {}
+        for block in range(blocks):
+            row, start = pick(block, len(steps), 1), pick(block, STEPS - BLOCK + 1, 2)
+            x = np.zeros(path.shape)
+            for j in range(BLOCK):
+                x += np.clip(steps[row, start + j] * vol, -CLIP, CLIP)
+            total = total + x
+            if (block + 1) * BLOCK in horizons:
+                out[(block + 1) * BLOCK] = total
+        ends = pa.array(np.arange(len(left) + 1, dtype=np.int32) * path.shape[1])
+        return pa.table({"id": left["id"], **{f"x{h}": pa.ListArray.from_arrays(ends, pa.array(out[h].ravel())) for h in horizons}})
+
+    kind = targets.schema["id"].dataType.simpleString()
+    some = asked.select(*met, "id", "seed", "vol20", "__g").groupBy(*met).cogroup(own.select(*met, "symbol", "d", "steps").groupBy(*met))
+    some = some.applyInArrow(drawn, ", ".join([f"id {kind}", *[f"x{h} array<double>" for h in horizons]]))
+    every = some.groupBy("id").agg(*[F.sort_array(F.flatten(F.collect_list(f"x{h}"))).alias(f"x{h}") for h in horizons])
+
+    def at(h: int, q: int) -> Column:
+        place = (paths - 1) * q / 100
+        low, part = int(place), place - int(place)
+        return (F.get(f"x{h}", F.lit(low)) * (1 - part) + F.get(f"x{h}", F.lit(min(low + 1, paths - 1))) * part).alias(f"q{q}")
+
+    each = [F.struct(F.lit(h).alias("h"), *[at(h, q) for q in QUANTILES]) for h in horizons]
+    return every.select("id", F.explode(F.array(*each)).alias("z")).select("id", "z.*")
 
 
 def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:

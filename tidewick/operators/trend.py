@@ -57,7 +57,7 @@ def ema(bars: DataFrame, n: int, column: str = "c") -> DataFrame:
 
 def atr(bars: DataFrame, n: int) -> DataFrame:
     """bars with `value`: mean true range after Wilder, seeded with the mean of the first n, null before."""
-    return _along(bars, "value double", lambda frame: {"value": _smoothed(_true_ranges(frame), n, lambda e, x: (e * (n - 1) + x) / n)})
+    return _along(bars, "value double", lambda frame: {"value": _wilder(frame, n)})
 
 
 def atr_running(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -65,28 +65,61 @@ def atr_running(bars: DataFrame, n: int = 14) -> DataFrame:
     return _along(bars, "value double", lambda frame: {"value": _smoothed(_true_ranges(frame), 1, lambda e, x: e + (x - e) / n)})
 
 
-def supertrend(bars: DataFrame, n: int = 10, width: float = 3.0) -> DataFrame:
-    """bars with up and line: bands of `width` ATR that only tighten until the close is beyond them. It starts as down."""
+#: Sessions and width of the trend's bands.
+LENGTH, WIDTH = 10, 3.0
+
+
+def _wilder(frame: pd.DataFrame, n: int) -> list[float | None]:
+    return _smoothed(_true_ranges(frame), n, lambda e, x: (e * (n - 1) + x) / n)
+
+
+def _supertrend(frame: pd.DataFrame, ranges: list[float | None], width: float) -> tuple[list, list]:
+    """Direction and line of each bar, null while its range is."""
+    ups, lines = [], []
+    fu = fl = before = None
+    up = False
+    for h, l, c, a in zip(*(frame[x].tolist() for x in ("h", "l", "c")), ranges, strict=True):
+        if a is None:
+            ups.append(None)
+            lines.append(None)
+            continue
+        bu, bl = (h + l) / 2 + width * a, (h + l) / 2 - width * a
+        if before is None:
+            fu, fl, up = bu, bl, False
+        else:
+            fu = bu if bu < fu or before > fu else fu
+            fl = bl if bl > fl or before < fl else fl
+            up = not c < fl if up else c > fu
+        ups.append(up)
+        lines.append(fl if up else fu)
+        before = c
+    return ups, lines
+
+
+def supertrend(bars: DataFrame, n: int = LENGTH, width: float = WIDTH) -> DataFrame:
+    """bars with up and line: bands of `width` ATR that only tighten until the close is beyond them. It starts as down; bars before the first ATR are left out."""
 
     def fold(frame: pd.DataFrame) -> dict[str, list]:
-        ups, lines = [], []
-        fu = fl = before = None
-        up = False
-        for h, l, c, a in zip(*(frame[x].tolist() for x in ("h", "l", "c", "atr")), strict=True):
-            bu, bl = (h + l) / 2 + width * a, (h + l) / 2 - width * a
-            if before is None:
-                fu, fl, up = bu, bl, False
-            else:
-                fu = bu if bu < fu or before > fu else fu
-                fl = bl if bl > fl or before < fl else fl
-                up = not c < fl if up else c > fu
-            ups.append(up)
-            lines.append(fl if up else fu)
-            before = c
+        ups, lines = _supertrend(frame, _wilder(frame, n), width)
         return {"up": ups, "line": lines}
 
-    ready = atr(bars, n).withColumnRenamed("value", "atr").where("atr IS NOT NULL")
-    return _along(ready, "up boolean, line double", fold, "atr").drop("atr")
+    return _along(bars, "up boolean, line double", fold).where("up IS NOT NULL")
+
+
+def columns(bars: DataFrame, means: tuple[int, ...] = (), line: bool = False, running: bool = False) -> DataFrame:
+    """bars with ema{n} for each of means, st_up and st_line if line, atr if running: all in one pass over a symbol."""
+    names = [f"ema{n} double" for n in means] + ["st_up boolean", "st_line double"] * line + ["atr double"] * running
+
+    def fold(frame: pd.DataFrame) -> dict[str, list]:
+        close = frame["c"].tolist()
+        out = {f"ema{n}": _smoothed(close, n, lambda e, x, n=n: 2.0 / (n + 1) * x + (1 - 2.0 / (n + 1)) * e) for n in means}
+        if line:
+            out["st_up"], out["st_line"] = _supertrend(frame, _wilder(frame, LENGTH), WIDTH)
+        if running:
+            out["atr"] = _smoothed(_true_ranges(frame), 1, lambda e, x: e + (x - e) / 14)
+        return out
+
+    return _along(bars, ", ".join(names), fold)
 
 
 def trend_signals(bars: DataFrame, mean: int = 10, warm_up: int = 40) -> DataFrame:

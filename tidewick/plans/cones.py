@@ -10,25 +10,24 @@ from ..operators import evaluate as V
 from ..operators import events as E
 from ..operators import features as X
 from ..operators import regime as R
+from ..operators import trend as T
 from ..sources.market import bars
 from .features import FRAME_SQL
 from .registry import query
-from .signals import KEPT_SQL
-
-#: Shares of 60 predecessors stand for the rank of 250, so that short histories have regimes too; the trend is the sign of r20.
-RANK = 60
-
+from .signals import KEPT_SQL, TREND_SQL
 
 def keyed(spark, sf_dir):
     """Bars with returns, volatility, volume features, forward path and the regime's axes."""
-    frame = X.with_volatility(X.with_returns(bars(spark, sf_dir)))
+    frame = X.with_volatility(X.with_returns(T.columns(bars(spark, sf_dir), line=True)))
     frame = frame.withColumn("vol20", F.round("vol20", 12))
-    frame = X.with_gap(X.with_climax(X.with_volume(X.with_rank(frame, RANK))))
-    frame = frame.withColumns({"upvol_share": F.round("upvol_share", 9), "st_up": F.col("r20") > 0})
+    frame = X.with_gap(X.with_climax(X.with_volume(X.with_rank(frame))))
+    frame = frame.withColumn("upvol_share", F.round("upvol_share", 9))
     return X.with_path(frame).withColumns(R.regime_columns())
 
 
-KEYED_SQL = FRAME_SQL + f""",
+RANK = X.RANK_WINDOW
+
+KEYED_SQL = TREND_SQL + f""",
 k0 AS (
   SELECT symbol, d, i, o, h, l, c, v, c1, r20, round(vol20, 12) AS vol20,
     CASE WHEN count(*) OVER w = 20 THEN v / nullif(avg(v) OVER w, 0) END AS vol_ratio,
@@ -49,12 +48,12 @@ k1 AS (
          q AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN {RANK} PRECEDING AND 1 PRECEDING),
          f AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)
 ),
-k2 AS (SELECT *, CASE WHEN n_past = {RANK} AND vol20 IS NOT NULL THEN len(list_filter(past, lambda x: x < vol20)) / {RANK} END AS rk FROM k1),
-keyed AS (
-  SELECT *, rk IS NOT NULL AND upvol_share IS NOT NULL AND r20 IS NOT NULL AS known,
+k2 AS (SELECT *, CASE WHEN n_past = {RANK} AND vol20 IS NOT NULL THEN len(list_filter(past, lambda x: x < vol20)) / {RANK} END AS rk, s.up AS st_up FROM k1 LEFT JOIN (SELECT symbol AS of_, i AS at_, up FROM strend) s ON s.of_ = k1.symbol AND s.at_ = k1.i),
+keyed AS MATERIALIZED (
+  SELECT *, rk IS NOT NULL AND upvol_share IS NOT NULL AND st_up IS NOT NULL AS known,
     CASE WHEN rk <= 0.33 THEN 'low' WHEN rk <= 0.67 THEN 'mid' ELSE 'high' END AS vol,
     CASE WHEN upvol_share <= 0.40 THEN 'low' WHEN upvol_share <= 0.60 THEN 'mid' ELSE 'high' END AS upvol,
-    CASE WHEN r20 > 0 THEN 'up' ELSE 'down' END AS st, CASE WHEN spike3 THEN 'yes' ELSE 'no' END AS spike,
+    CASE WHEN st_up THEN 'up' ELSE 'down' END AS st, CASE WHEN spike3 THEN 'yes' ELSE 'no' END AS spike,
     CASE WHEN climax3 THEN 'yes' ELSE 'no' END AS climax_y, CASE WHEN gap_big THEN 'yes' ELSE 'no' END AS gap
   FROM k2
 ),
@@ -207,12 +206,12 @@ def _scored(spark, sf_dir):
     return targets, learn, rows
 
 
-def _issued(spark, sf_dir):
+def _issued(spark, sf_dir, horizons=R.HORIZONS):
     """Bootstrap cones of every day of the scored years, from pools of what was known before the year, and what came."""
     targets, learn, rows = _scored(spark, sf_dir)
     drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
-    cone = R.end_quantiles(R.ends(drawn, R.next_row(learn, drawn), SCORED_PATHS)).select("id.symbol", "id.d", "h", *[f"q{q}" for q in R.QUANTILES])
-    real = rows.select("symbol", "d", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fr{h}").alias("ret")) for h in R.HORIZONS])).alias("x")).select("symbol", "d", "x.*").where("ret IS NOT NULL")
+    cone = R.cones(drawn, R.prefixed(learn), SCORED_PATHS, horizons).select("id.symbol", "id.d", "h", *[f"q{q}" for q in R.QUANTILES])
+    real = rows.select("symbol", "d", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fr{h}").alias("ret")) for h in horizons])).alias("x")).select("symbol", "d", "x.*").where("ret IS NOT NULL")
     return cone, real
 
 
@@ -224,20 +223,35 @@ ytried AS (SELECT k.symbol, k.d, k.vol20, yrs.y, lv AS l, """ + _PREFIX.format("
 ytarget AS MATERIALIZED (SELECT t.symbol, t.d, t.vol20, t.y, c.l, c.pool, c.n, c.up5, c.up10, c.up20 FROM ytried t JOIN ycnt c ON c.y = t.y AND c.l = t.l AND c.pool = t.p WHERE c.n >= 200 OR c.l = 6
   QUALIFY row_number() OVER (PARTITION BY t.symbol, t.d ORDER BY c.l) = 1)"""
 
+def draw_sql(path: str, block: str, salt: int, seed: str = "t.seed") -> str:
+    """regime.draw() before the last modulus."""
+    return f"(((({seed} * 1103515 + {path} * 7919 + {block} * 104729 + {salt} * 15485863) % 2147483647) * 48271) % 2147483647)"
+
+
+def sliced_sql(rows: str, keys: str) -> str:
+    """Rows of pools with their slice, their number in it and its size: rows has the keys, symbol, d and n, the size of the pool."""
+    seed = "CAST(('0x' || left(sha1(concat_ws('|', symbol, CAST(d AS varchar))), 8)) AS bigint)"
+    return f"""SELECT *, row_number() OVER (PARTITION BY {keys}, sl ORDER BY symbol, d) - 1 AS row, count(*) OVER (PARTITION BY {keys}, sl) AS m
+  FROM (SELECT *, {seed} % CAST(ceil(n / {R.SLICE}) AS bigint) AS sl FROM {rows})"""
+
+
+def drawn_sql(target: str, slices: str, same: str, paths: int, blocks: int) -> str:
+    """Rows of target for each path and block, with the slice, the row in it and the start that they draw; slices: the keys, sl and m, met by `same`."""
+    return f"""SELECT t.*, {draw_sql('t.path', 't.block', 1)} % z.m AS row, {draw_sql('t.path', 't.block', 2)} % 16 AS start
+  FROM (SELECT t.*, p.path, b.block, {draw_sql(f'(p.path % {R.GROUPS})', '0', 3)} % CAST(ceil(t.n / {R.SLICE}) AS bigint) AS sl FROM {target} t, range(0, {paths}) AS p(path), range(0, {blocks}) AS b(block)) t
+  JOIN {slices} z ON {same} AND z.sl = t.sl"""
+
+
 _HITS = _YEARS + f""",
 ystep AS (SELECT symbol, d, list_transform(range(1, 21), lambda j: (ln(nxt[j] / c) - CASE WHEN j = 1 THEN 0 ELSE ln(nxt[j - 1] / c) END) / vol20) AS steps FROM rows_),
-yrow AS (SELECT l.y, l.l, l.pool, l.symbol, l.d, row_number() OVER (PARTITION BY l.y, l.l, l.pool ORDER BY l.symbol, l.d) - 1 AS row FROM learn l SEMI JOIN ytarget t ON t.y = l.y AND t.l = l.l AND t.pool = l.pool),
-ypool AS MATERIALIZED (SELECT r.y, r.l, r.pool, r.row, s.steps FROM yrow r JOIN ystep s ON s.symbol = r.symbol AND s.d = r.d),
+yrow AS MATERIALIZED ({sliced_sql('(SELECT l.y, l.l, l.pool, l.symbol, l.d, c.n FROM learn l JOIN ycnt c ON c.y = l.y AND c.l = l.l AND c.pool = l.pool SEMI JOIN ytarget t ON t.y = l.y AND t.l = l.l AND t.pool = l.pool)', 'y, l, pool')}),
+yslice AS (SELECT y, l, pool, sl, any_value(m) AS m FROM yrow GROUP BY ALL),
+ypool AS MATERIALIZED (SELECT r.y, r.l, r.pool, r.sl, r.row, s.steps FROM yrow r JOIN ystep s ON s.symbol = r.symbol AND s.d = r.d),
 yseed AS (SELECT *, CAST(('0x' || left(sha1(concat_ws('|', symbol, CAST(d AS varchar))), 8)) AS bigint) AS seed FROM ytarget),
-ydr AS (
-  SELECT t.symbol, t.d, t.vol20, t.y, t.l, t.pool, p.path, b.block,
-    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 15485863) % 2147483647) * 48271) % 2147483647) % t.n) AS row,
-    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 2 * 15485863) % 2147483647) * 48271) % 2147483647) % 16) AS start
-  FROM yseed t, range(0, {SCORED_PATHS}) AS p(path), range(0, 4) AS b(block)
-),
+ydr AS ({drawn_sql('yseed', 'yslice', 'z.y = t.y AND z.l = t.l AND z.pool = t.pool', SCORED_PATHS, 4)}),
 yx AS (
   SELECT e.symbol, e.d, e.path, e.block, """ + " + ".join(f"greatest(-ln(1.07), least(ln(1.07), p.steps[e.start + {j}] * e.vol20))" for j in range(1, 6)) + """ AS x
-  FROM ydr e JOIN ypool p ON p.y = e.y AND p.l = e.l AND p.pool = e.pool AND p.row = e.row
+  FROM ydr e JOIN ypool p ON p.y = e.y AND p.l = e.l AND p.pool = e.pool AND p.sl = e.sl AND p.row = e.row
 ),
 yend AS (SELECT symbol, d, path, sum(x) FILTER (block < 1) AS x5, sum(x) FILTER (block < 2) AS x10, sum(x) AS x20 FROM yx GROUP BY symbol, d, path),
 yq AS MATERIALIZED (SELECT symbol, d, quantile_cont(x5, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q5, quantile_cont(x10, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q10, quantile_cont(x20, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q20 FROM yend GROUP BY symbol, d),
@@ -360,10 +374,10 @@ sg AS (SELECT year(y.d) AS year, n.net11, t.up10 >= 0.6::double AND y.q10[3] > 0
 )
 def backtest_by_year(spark, sf_dir):
     """Bought where the pool rose in six of ten cases and three quarters of the cone lie above today's price."""
-    cone, _ = _issued(spark, sf_dir)
+    cone, _ = _issued(spark, sf_dir, (10,))
     pools = _scored(spark, sf_dir)[0].select("symbol", "d", "up10")
     net = bars(spark, sf_dir).select("symbol", "d", V.net_return(11).alias("net"))
-    rows = cone.where("h = 10").join(pools, ["symbol", "d"]).join(net, ["symbol", "d"]).withColumn("year", F.year("d"))
+    rows = cone.join(pools, ["symbol", "d"]).join(net, ["symbol", "d"]).withColumn("year", F.year("d"))
     return V.backtest(rows, (F.col("up10") >= 0.6) & (F.col("q25") > 0)).withColumns({c: r6(c) for c in ("net", "win", "all_net", "all_win")})
 
 
@@ -417,7 +431,7 @@ def _forecasts(spark, sf_dir, sessions: int):
     counts = R.yearly_counts(learn)
     targets = R.yearly_pool(ready, counts).where("level IS NOT NULL")
     drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
-    cone = R.end_quantiles(R.ends(drawn, R.next_row(learn, drawn), PATHS)).where("h = 10").select("id.symbol", "id.d", "q10", "q25", "q50", "q90")
+    cone = R.cones(drawn, R.prefixed(learn), PATHS, (10,)).select("id.symbol", "id.d", "q10", "q25", "q50", "q90")
     base = counts.where(F.col("level") == len(R.AXES)).select("asof", F.col("up10").alias("base10"))
     hit = E.keep_first(frame.withColumn("hit", E.red_volume_demand()), "hit").select("symbol", "d", F.lit("red_vol_demand").alias("event"))
     rows = own.select("symbol", "d", "asof", F.col("c").alias("price"), "before", "v").join(targets.select("symbol", "d", "level", "n", "up5", "up10"), ["symbol", "d"], "left")
@@ -439,16 +453,12 @@ ftried AS (SELECT k.symbol, k.d, k.vol20, lv AS l, """ + _PREFIX.format("k.", "c
 ftarget AS MATERIALIZED (SELECT t.symbol, t.d, t.vol20, c.l, c.pool, c.n, c.up5, c.up10, CAST(('0x' || left(sha1(concat_ws('|', t.symbol, CAST(t.d AS varchar))), 8)) AS bigint) AS seed
   FROM ftried t JOIN fcnt c ON c.s = t.d AND c.l = t.l AND c.pool = t.p WHERE c.n >= 200 OR c.l = 6 QUALIFY row_number() OVER (PARTITION BY t.symbol, t.d ORDER BY c.l) = 1),
 fstep AS (SELECT symbol, d, list_transform(range(1, 21), lambda j: (ln(nxt[j] / c) - CASE WHEN j = 1 THEN 0 ELSE ln(nxt[j - 1] / c) END) / vol20) AS steps FROM rows_),
-frow AS (SELECT l.s, l.l, l.pool, l.symbol, l.d, row_number() OVER (PARTITION BY l.s, l.l, l.pool ORDER BY l.symbol, l.d) - 1 AS row FROM flearn l SEMI JOIN ftarget t ON t.d = l.s AND t.l = l.l AND t.pool = l.pool),
-fpool AS MATERIALIZED (SELECT r.s, r.l, r.pool, r.row, s.steps FROM frow r JOIN fstep s ON s.symbol = r.symbol AND s.d = r.d),
-fdr AS (
-  SELECT t.symbol, t.d, t.vol20, t.l, t.pool, p.path, b.block,
-    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 15485863) % 2147483647) * 48271) % 2147483647) % t.n) AS row,
-    (((((t.seed * 1103515 + p.path * 7919 + b.block * 104729 + 2 * 15485863) % 2147483647) * 48271) % 2147483647) % 16) AS start
-  FROM ftarget t, range(0, 2000) AS p(path), range(0, 2) AS b(block)
-),
+frow AS MATERIALIZED (""" + sliced_sql("(SELECT l.s, l.l, l.pool, l.symbol, l.d, c.n FROM flearn l JOIN fcnt c ON c.s = l.s AND c.l = l.l AND c.pool = l.pool SEMI JOIN ftarget t ON t.d = l.s AND t.l = l.l AND t.pool = l.pool)", "s, l, pool") + """),
+fslice AS (SELECT s, l, pool, sl, any_value(m) AS m FROM frow GROUP BY ALL),
+fpool AS MATERIALIZED (SELECT r.s, r.l, r.pool, r.sl, r.row, x.steps FROM frow r JOIN fstep x ON x.symbol = r.symbol AND x.d = r.d),
+fdr AS (""" + drawn_sql("ftarget", "fslice", "z.s = t.d AND z.l = t.l AND z.pool = t.pool", PATHS, 2) + """),
 fx AS (SELECT e.symbol, e.d, e.path, """ + " + ".join(f"greatest(-ln(1.07), least(ln(1.07), p.steps[e.start + {j}] * e.vol20))" for j in range(1, 6)) + """ AS x
-  FROM fdr e JOIN fpool p ON p.s = e.d AND p.l = e.l AND p.pool = e.pool AND p.row = e.row),
+  FROM fdr e JOIN fpool p ON p.s = e.d AND p.l = e.l AND p.pool = e.pool AND p.sl = e.sl AND p.row = e.row),
 fq AS (SELECT symbol, d, quantile_cont(x, [0.1, 0.25, 0.5, 0.9]) AS q FROM (SELECT symbol, d, path, sum(x) AS x FROM fx GROUP BY symbol, d, path) GROUP BY symbol, d),
 item AS (
   SELECT b.symbol, b.d, round(b.c, 4) AS price, round(100 * (b.c / nullif(b.c1, 0) - 1), 2) AS change_pct, t.n IS NOT NULL AS ok, CAST(t.l AS int) AS level, t.n, round(t.up5, 3) AS p5, round(t.up10, 3) AS p10, round(g.up10, 3) AS base10,
