@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Axes, cuts, horizons, quantiles, levels and limits are part of what is computed.
 AXES = ("vol", "upvol", "st", "spike", "climax", "gap")
@@ -302,9 +303,9 @@ def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[in
         ends = pa.array(np.arange(len(left) + 1, dtype=np.int32) * path.shape[1])
         return pa.table({"id": left["id"], **{f"x{h}": pa.ListArray.from_arrays(ends, pa.array(out[h].ravel())) for h in horizons}})
 
-    kind = targets.schema["id"].dataType.simpleString()
+    schema = T.StructType([targets.schema["id"], *[T.StructField(f"x{h}", T.ArrayType(T.DoubleType())) for h in horizons]])
     some = asked.select(*met, "id", "seed", "vol20", "__g").groupBy(*met).cogroup(own.select(*met, "symbol", "d", "steps").groupBy(*met))
-    some = some.applyInArrow(drawn, ", ".join([f"id {kind}", *[f"x{h} array<double>" for h in horizons]]))
+    some = some.applyInArrow(drawn, schema)
     every = some.groupBy("id").agg(*[F.sort_array(F.flatten(F.collect_list(f"x{h}"))).alias(f"x{h}") for h in horizons])
 
     def at(h: int, q: int) -> Column:

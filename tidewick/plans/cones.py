@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.reuse import once
 from ..functions.rolling import r6
 from ..operators import evaluate as V
 from ..operators import events as E
@@ -191,24 +192,22 @@ def cone_scenarios(spark, sf_dir):
     return out.select("id", "name", r6("weight").alias("weight"), r6(F.element_at("path", -1)).alias("last"))
 
 
-#: Years whose days are scored, the last of the bars.
-SCORED_YEARS = 3
-
-
 def _scored(spark, sf_dir):
-    """Targets of the last years, each with its pool as of that year, the rows of those pools and the frame."""
-    rows = X.with_labels(keyed(spark, sf_dir))
-    last = rows.agg(F.max(F.year("d")).alias("y")).first()["y"]  # one number
-    years = list(range(last - SCORED_YEARS + 1, last + 1))
+    """Targets of every year whose pools hold MIN_POOL rows, each with its pool as of that year, the rows of those pools and the frame."""
+    rows = X.with_labels(keyed(spark, sf_dir)).select("symbol", "d", "vol20", "path", *R.AXES, *[f"fr{h}" for h in R.HORIZONS])
+    rows = once(rows)  # read for pools, targets and what came
+    every = [r["y"] for r in rows.select(F.year("d").alias("y")).distinct().collect()]  # a row a year
+    known = R.yearly(R.pool_rows(rows), every).groupBy("asof").count().where(F.col("count") >= R.MIN_POOL)
+    years = sorted(r["asof"] for r in known.collect()) or every[-1:]
     learn = R.yearly(R.pool_rows(rows), years)
     keys = rows.where(F.col("vol").isNotNull() & (F.col("vol20") > 0)).withColumn("asof", F.year("d")).where(F.col("asof").isin(years))
     targets = R.yearly_pool(keys.select("symbol", "d", "vol20", "asof", *R.AXES), R.yearly_counts(learn)).where("level IS NOT NULL")
     return targets, learn, rows
 
 
-def _issued(spark, sf_dir, horizons=R.HORIZONS):
+def _issued(spark, sf_dir, horizons=R.HORIZONS, scored=None):
     """Bootstrap cones of every day of the scored years, from pools of what was known before the year, and what came."""
-    targets, learn, rows = _scored(spark, sf_dir)
+    targets, learn, rows = scored or _scored(spark, sf_dir)
     drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
     cone = R.cones(drawn, R.prefixed(learn), SCORED_PATHS, horizons).select("id.symbol", "id.d", "h", *[f"q{q}" for q in R.QUANTILES])
     real = rows.select("symbol", "d", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fr{h}").alias("ret")) for h in horizons])).alias("x")).select("symbol", "d", "x.*").where("ret IS NOT NULL")
@@ -216,7 +215,7 @@ def _issued(spark, sf_dir, horizons=R.HORIZONS):
 
 
 _YEARS = KEYED_SQL + f""",
-yrs AS (SELECT unnest(range(max(year(d)) - {SCORED_YEARS - 1}, max(year(d)) + 1)) AS y FROM bars),
+yrs AS MATERIALIZED (SELECT y FROM (SELECT DISTINCT year(d) AS y FROM bars) t WHERE (SELECT count(*) FROM rows_ k WHERE k.d < make_date(t.y, 1, 1) - 35) >= {R.MIN_POOL}),
 learn AS MATERIALIZED (SELECT yrs.y, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, k.s5, k.s10, k.s20 FROM rows_ k, yrs, range(0, 7) AS r(lv) WHERE k.d < make_date(yrs.y, 1, 1) - 35),
 ycnt AS MATERIALIZED (SELECT y, l, pool, count(*) AS n, avg((s5 > 0)::int) AS up5, avg((s10 > 0)::int) AS up10, avg((s20 > 0)::int) AS up20 FROM learn GROUP BY ALL),
 ytried AS (SELECT k.symbol, k.d, k.vol20, yrs.y, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS p FROM keyed k, yrs, range(0, 7) AS r(lv) WHERE known AND vol20 > 0 AND year(k.d) = yrs.y),
@@ -349,8 +348,9 @@ def scale_fit(spark, sf_dir):
 )
 def coverage_by_level(spark, sf_dir):
     """By how many axes the pool of a cone had to drop."""
-    cone, real = _issued(spark, sf_dir)
-    levels = _scored(spark, sf_dir)[0].select("symbol", "d", "level")
+    scored = _scored(spark, sf_dir)
+    cone, real = _issued(spark, sf_dir, scored=scored)
+    levels = scored[0].select("symbol", "d", "level")
     rows = cone.join(real, ["symbol", "d", "h"]).join(levels, ["symbol", "d"])
     out = rows.groupBy("level", "h").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("ret").between(F.col("q10"), F.col("q90")).cast("int"))).alias("cov80"), r6(F.avg(F.col("q90") - F.col("q10"))).alias("width80"))
     return out.where("n >= 100")
@@ -374,8 +374,9 @@ sg AS (SELECT year(y.d) AS year, n.net11, t.up10 >= 0.6::double AND y.q10[3] > 0
 )
 def backtest_by_year(spark, sf_dir):
     """Bought where the pool rose in six of ten cases and three quarters of the cone lie above today's price."""
-    cone, _ = _issued(spark, sf_dir, (10,))
-    pools = _scored(spark, sf_dir)[0].select("symbol", "d", "up10")
+    scored = _scored(spark, sf_dir)
+    cone, _ = _issued(spark, sf_dir, (10,), scored)
+    pools = scored[0].select("symbol", "d", "up10")
     net = bars(spark, sf_dir).select("symbol", "d", V.net_return(11).alias("net"))
     rows = cone.join(pools, ["symbol", "d"]).join(net, ["symbol", "d"]).withColumn("year", F.year("d"))
     return V.backtest(rows, (F.col("up10") >= 0.6) & (F.col("q25") > 0)).withColumns({c: r6(c) for c in ("net", "win", "all_net", "all_win")})
@@ -421,7 +422,7 @@ REPLAYED, P_MIN, N_MIN = 20, 0.58, 200
 
 def _forecasts(spark, sf_dir, sessions: int):
     """One row for each symbol with a bar on each of the last sessions: pool, probabilities, cone, alerts; pools hold what was known that day."""
-    frame = keyed(spark, sf_dir).withColumns({"known_on": F.lead("d", 20).over(_own()), "before": F.lag("c").over(_own())})
+    frame = once(keyed(spark, sf_dir).withColumns({"known_on": F.lead("d", 20).over(_own()), "before": F.lag("c").over(_own())}))
     last = frame.select("d").distinct().orderBy(F.desc("d")).limit(sessions)
     number = F.date_format("d", "yyyyMMdd").cast("int")
     days = [r["d"] for r in last.orderBy("d").collect()]  # `sessions` dates
