@@ -231,5 +231,28 @@ def test_direction_gate(spark):
     from tidewick.operators import evaluate
 
     rows = [(5, y, 0.2, 0.25, 0.6, 0.5) for y in range(5)] + [(10, y, 0.2 if y < 3 else 0.3, 0.25, 0.6, 0.5) for y in range(5)]
-    out = {r["h"]: r["enabled"] for r in evaluate.direction_gate(spark.createDataFrame(rows, "h int, year int, brier double, brier_base double, accuracy double, up_rate double")).collect()}
+    out = {r["h"]: r["enabled"] for r in evaluate.direction_gate(spark.createDataFrame(rows, "h int, year int, brier double, brier_freq double, accuracy double, up_rate double")).collect()}
     assert out == {5: True, 10: False}
+
+
+def test_baselines_by_hand(spark):
+    """Three guesses for each year: the pool's share, the mean of what was known 35 days before, one half."""
+    import datetime as dt
+
+    from tidewick.operators import evaluate
+
+    start = dt.date(2020, 1, 1)
+    rows = [(start + dt.timedelta(days=k), k % 3 == 0 if k < 600 else None, k % 2 == 0, (k % 5) / 4 if k % 7 else None, 0.25) for k in range(900)]
+    frame = spark.createDataFrame(rows, "d date, y5 boolean, y10 boolean, p5 double, p10 double")
+    got = {(r["h"], r["year"]): r for r in evaluate.baselines(frame, (5, 10), least=300).collect()}
+    for h, y, p in ((5, 1, 3), (10, 2, 4)):
+        for year in (2020, 2021, 2022):
+            past = [r[y] for r in rows if r[y] is not None and r[0] < dt.date(year, 1, 1) - dt.timedelta(days=35)]
+            own = [(float(r[y]), 0.5 if r[p] is None else r[p]) for r in rows if r[y] is not None and r[0].year == year]
+            if len(past) < 300 or not own:
+                assert (h, year) not in got
+                continue
+            r, base, n = got[h, year], sum(past) / len(past), len(own)
+            want = (sum(x for x, _ in own) / n, sum((q - x) ** 2 for x, q in own) / n, sum((base - x) ** 2 for x, _ in own) / n, 0.25)
+            assert (r["n_train"], r["n_test"]) == (len(past), n)
+            assert all(abs(r[c] - w) < 1e-12 for c, w in zip(("up_rate", "brier_freq", "brier_global", "brier_half"), want))

@@ -11,6 +11,7 @@ from ..operators import features as X
 from ..operators import ingest as G
 from ..operators import zones as Z
 from ..sources.market import BARS_SQL, INDEX, TICKS_SQL, bars, ticks
+from . import cones
 from .features import FRAME_SQL
 from .registry import query
 from .volume import LEVELS_SQL, MINUTES_SQL
@@ -218,16 +219,45 @@ def deviation_pivot(spark, sf_dir):
     return _buckets(spark, sf_dir).groupBy("year").pivot("bucket", ["down", "flat", "up"]).agg(F.round(F.stddev_samp("ret"), 6))
 
 
+def _with_shares(spark, sf_dir, rows):
+    """rows of days with a regime, with p5 and p10, the share of rises of the pool as of the year; 0.5 without one."""
+    targets, _, frame = cones._scored(spark, sf_dir)
+    shares = targets.select("symbol", "d", F.col("up5").alias("p5"), F.col("up10").alias("p10"))
+    rows = rows.join(frame.where("vol IS NOT NULL").select("symbol", "d"), ["symbol", "d"], "left_semi").join(shares, ["symbol", "d"], "left")
+    return rows.fillna({"p5": 0.5, "p10": 0.5})
+
+
+@query(
+    """WITH lb AS (SELECT k.symbol, k.d, l.h, CASE l.h WHEN 5 THEN b.f5 ELSE b.f10 END > 0 AS up, coalesce(CASE l.h WHEN 5 THEN t.up5 ELSE t.up10 END, 0.5) AS p
+      FROM keyed k JOIN lab b ON b.symbol = k.symbol AND b.d = k.d LEFT JOIN ytarget t ON t.symbol = k.symbol AND t.d = k.d, (VALUES (5), (10)) AS l(h)
+      WHERE known AND CASE l.h WHEN 5 THEN b.f5 ELSE b.f10 END IS NOT NULL),
+    kn AS (SELECT h, y, count(*) AS n_train, avg(up::int) AS base FROM lb, (SELECT DISTINCT year(d) AS y FROM lb) WHERE d < make_date(y, 1, 1) - 35 GROUP BY h, y HAVING count(*) >= 1000)
+    SELECT lb.h, year(lb.d) AS year, n_train, count(*) AS n_test, round(avg(up::int), 6) AS up_rate, round(avg((p - up::int) ** 2), 6) AS brier_freq,
+           round(avg((base - up::int) ** 2), 6) AS brier_global, round(avg((0.5 - up::int) ** 2), 6) AS brier_half
+    FROM lb JOIN kn ON kn.h = lb.h AND kn.y = year(lb.d) GROUP BY ALL""",
+    cones._YEARS + """,
+lab AS (SELECT symbol, d, ln(lead(c, 5) OVER w / c) AS f5, ln(lead(c, 10) OVER w / c) AS f10 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))""",
+)
+def direction_baselines(spark, sf_dir):
+    """What a model of the direction has to beat: pools' shares, the mean of the past and one half."""
+    out = V.baselines(_with_shares(spark, sf_dir, X.with_labels(bars(spark, sf_dir))), (5, 10))
+    return out.select("h", "year", "n_train", "n_test", *[r6(c).alias(c) for c in ("up_rate", "brier_freq", "brier_global", "brier_half")])
+
+
+def _direction(spark, sf_dir):
+    return V.walk_forward(_with_shares(spark, sf_dir, D.matrix(bars(spark, sf_dir), INDEX)), D.COLUMNS, (5, 10))
+
+
 @query()
 def walk_forward_direction(spark, sf_dir):
     """Rows only: boosted trees have no SQL. Both horizons, every year that has a thousand rows to learn from."""
-    return V.walk_forward(D.matrix(bars(spark, sf_dir), INDEX), D.COLUMNS, (5, 10))
+    return _direction(spark, sf_dir)
 
 
 @query()
 def direction_gate(spark, sf_dir):
     """Rows only, as what it judges is. The last year is not full."""
-    results = V.walk_forward(D.matrix(bars(spark, sf_dir), INDEX), D.COLUMNS, (5, 10))
+    results = _direction(spark, sf_dir)
     last = results.agg(F.max("year").alias("last"))
     return V.direction_gate(results.join(F.broadcast(last), F.col("year") < F.col("last")))  # one row
 
