@@ -133,39 +133,49 @@ def order_blocks(bars: DataFrame) -> DataFrame:
     return blocks.join(touch, keys, "left").select("symbol", "k", "m", "lo", "hi", "bull", "touch")
 
 
-def climaxes(bars: DataFrame) -> DataFrame:
-    """symbol, d, kind: selling (sc) and buying (bc) climaxes.
+#: A day's change from which it counts as a limit day.
+LIMIT = 0.065
 
-    Twice the mean volume after a move of 10 % in 15 bars, on a wide bar (1.5 ATR) or a limit day, that
-    is of the move's colour or nearly without body. bars needs atr.
-    """
-    ref, pc = back("c", 15), back("c")
-    volume = roll(F.avg, "v", 20, 1)
-    body, spread = F.abs(F.col("c") - F.col("o")), F.col("h") - F.col("l")
-    slim = body <= 0.2 * F.greatest(spread, F.lit(1e-9))
+
+def climax(selling: bool) -> Column:
+    """Twice the mean volume after a move of 10 % in 15 bars, on a wide bar (1.5 ATR) or a limit day, of the move's colour or nearly without body. Needs atr."""
+    s = 1 if selling else -1
+    body, spread, volume = F.col("c") - F.col("o"), F.col("h") - F.col("l"), roll(F.avg, "v", 20, 1)
+    slim = F.abs(body) <= 0.2 * F.greatest(spread, F.lit(1e-9))
     loud = (F.col("v") >= 2.0 * volume) & (volume > 0) & F.col("atr").isNotNull()
-    wide = spread >= 1.5 * F.col("atr")
-    sc = loud & (F.col("c") / ref - 1 <= -0.10) & ((F.col("c") <= F.col("o")) | slim) & ((F.col("c") <= pc * (1 - 0.065)) | wide)
-    bc = loud & (F.col("c") / ref - 1 >= 0.10) & ((F.col("c") >= F.col("o")) | slim) & ((F.col("c") >= pc * (1 + 0.065)) | wide)
-    rows = bars.withColumns({"__sc": true(sc), "__bc": true(bc)})
+    limit = F.col("c") <= back("c") * (1 - LIMIT) if selling else F.col("c") >= back("c") * (1 + LIMIT)
+    return loud & (s * (F.col("c") / back("c", 15) - 1) <= -0.10) & ((s * body <= 0) | slim) & (limit | (spread >= 1.5 * F.col("atr")))
+
+
+def climaxes(bars: DataFrame) -> DataFrame:
+    """symbol, d, kind: selling (sc) and buying (bc) climaxes. bars needs atr."""
+    rows = bars.withColumns({"__sc": true(climax(True)), "__bc": true(climax(False))})
     rows = rows.withColumn("kind", F.explode(F.array_compact(F.array(F.when(F.col("__sc"), "sc"), F.when(F.col("__bc"), "bc")))))
     return rows.select("symbol", "d", "kind")
 
 
-def ranges(bars: DataFrame, win: int = 20, prior: int = 40) -> DataFrame:
-    """symbol, d, lo, hi: sideways ranges of 20 bars after a fall: 6 to 35 % high, both edges touched twice, hardly any slope."""
-    hi, lo = roll(F.max, "h", win), roll(F.min, "l", win)
-    rows = numbered(bars).withColumns({"hi": hi, "lo": lo, "__before": roll(F.max, "c", prior, win), "__h": F.collect_list("h").over(by_symbol().rowsBetween(1 - win, 0)), "__l": F.collect_list("l").over(by_symbol().rowsBetween(1 - win, 0))})
+def with_range(rows: DataFrame, win: int = 20, prior: int = 40) -> DataFrame:
+    """rows (numbered) with lo, hi and slope of the last 20 bars, and ranging: whether they are a sideways range after a fall.
+
+    It is 6 to 35 % high, both edges are touched twice, and there is hardly any slope.
+    """
+    recent = by_symbol().rowsBetween(1 - win, 0)
+    rows = rows.withColumns({"hi": roll(F.max, "h", win), "lo": roll(F.min, "l", win), "__before": roll(F.max, "c", prior, win), "__h": F.collect_list("h").over(recent), "__l": F.collect_list("l").over(recent)})
     band = 0.15 * (F.col("hi") - F.col("lo"))
-    rows = rows.withColumn("slope", F.regr_slope("c", "t").over(by_symbol().rowsBetween(1 - win, 0)) / roll(F.avg, "c", win))
-    height = F.col("hi") / F.col("lo") - 1
-    return rows.where(
-        height.between(0.06, 0.35)
+    rows = rows.withColumn("slope", F.regr_slope("c", "t").over(recent) / roll(F.avg, "c", win))
+    ranging = (
+        (F.col("hi") / F.col("lo") - 1).between(0.06, 0.35)
         & (F.col("__before") >= 1.10 * F.col("hi"))
         & (F.size(F.filter("__h", lambda x: x >= F.col("hi") - band)) >= 2)
         & (F.size(F.filter("__l", lambda x: x <= F.col("lo") + band)) >= 2)
         & (F.abs("slope") <= 0.004)
-    ).select("symbol", "d", "lo", "hi", "slope")
+    )
+    return rows.withColumn("ranging", true(ranging)).drop("__before", "__h", "__l")
+
+
+def ranges(bars: DataFrame) -> DataFrame:
+    """symbol, d, lo, hi, slope of the bars at which a sideways range (see with_range) is complete."""
+    return with_range(numbered(bars)).where("ranging").select("symbol", "d", "lo", "hi", "slope")
 
 
 def reversals(bars: DataFrame, least: int = 2, look: int = 10, life: int = 20) -> DataFrame:

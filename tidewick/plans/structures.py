@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
+from ..operators import phases as W
 from ..operators import structure as S
 from ..operators import trend as T
 from ..sources.market import BARS_SQL, bars
@@ -133,3 +134,43 @@ def delivery_reversals(spark, sf_dir):
 @query("SELECT label, up, count(*) AS n FROM (SELECT up, CASE WHEN was IS NULL OR was = up THEN 'BOS' ELSE 'CHoCH' END AS label FROM br) GROUP BY label, up", N_SQL)
 def structure_break_counts(spark, sf_dir):
     return S.breaks(bars(spark, sf_dir)).groupBy("label", "up").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- phases of accumulation and distribution ---------------------------------------------------------
+
+
+def _walked(spark, sf_dir):
+    return W.walk(W.signs(bars(spark, sf_dir)))
+
+
+@query()
+def wyckoff_events(spark, sf_dir):
+    """Rows only: the automaton is beyond SQL that can be read; tests/test_phases.py compares it with one that looks back at all bars."""
+    return W.events(_walked(spark, sf_dir)).withColumn("vol_ratio", r6("vol_ratio"))
+
+
+@query()
+def wyckoff_signals(spark, sf_dir):
+    """What was found at each symbol's last bar, the most reliable first."""
+    return W.signals(_walked(spark, sf_dir))
+
+
+@query()
+def wyckoff_board(spark, sf_dir):
+    """Each symbol's phase, edges, age and last event."""
+    return W.board(_walked(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT b.*, row_number() OVER x - 1 AS t, a.value AS atr, avg(b.v) OVER y AS av, lag(b.v) OVER x AS v1, lag(b.v, 2) OVER x AS v2, lag(b.c) OVER x AS p1, lag(b.c, 4) OVER x AS p4
+      FROM bars b LEFT JOIN atr a ON a.symbol = b.symbol AND a.d = b.d
+      WINDOW x AS (PARTITION BY b.symbol ORDER BY b.d), y AS (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    ok AS (SELECT * FROM s WHERE t >= 40 AND atr > 0 AND av > 0 AND h > l)
+    SELECT symbol, d, CAST(t AS int) AS t, 'er_absorb' AS id, round(v / av, 6) AS vol_ratio FROM ok WHERE v / av >= 2 AND abs(c - o) / atr / (v / av) < 0.5
+    UNION ALL SELECT symbol, d, CAST(t AS int), 'no_demand', round(v / av, 6) FROM ok WHERE c > o AND v < v1 AND v < v2 AND h - l < 0.7 * atr AND p1 > p4""",
+    atr_sql(14),
+)
+def wyckoff_labels(spark, sf_dir):
+    """Effort without result, and rises that nobody buys."""
+    found = W.events(_walked(spark, sf_dir)).where("id IN ('er_absorb', 'no_demand')")
+    return found.select("symbol", "d", "t", "id", r6("vol_ratio").alias("vol_ratio"))
