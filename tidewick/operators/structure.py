@@ -5,6 +5,8 @@ Everything but the levels in force is a window or a join bounded by the row numb
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,46 @@ def order_blocks(bars: DataFrame) -> DataFrame:
     return blocks.join(touch, keys, "left").select("symbol", "k", "m", "lo", "hi", "bull", "touch")
 
 
+#: Bars of one stretch, as searches for a first bar read them.
+STRETCH = 64
+
+
+def stretches(bars: DataFrame) -> DataFrame:
+    """symbol, stretch, own: the bars (t, h, l, c) of each stretch of 64, in order. One row a stretch: what a search joins."""
+    own = F.sort_array(F.collect_list(F.struct("t", "h", "l", "c")))
+    return numbered(bars).groupBy("symbol", F.expr(f"t div {STRETCH}").alias("stretch")).agg(own.alias("own"))
+
+
+def first_bar(points: DataFrame, held: DataFrame, start: Column, end: Column, meets: Callable[[Column], Column], name: str) -> DataFrame:
+    """points with `name`: the first bar t of their symbol with start < t <= end that meets the condition, null where none does.
+
+    Each point meets the few stretches that its span touches, not every bar in it; the earliest hit of
+    them is kept. Points are told apart by all their columns.
+    """
+    spans = points.withColumns({"__s": start, "__e": end})
+    touched = F.when(F.col("__s") < F.col("__e"), F.sequence(F.expr(f"(__s + 1) div {STRETCH}"), F.expr(f"__e div {STRETCH}")))
+    near = spans.withColumn("stretch", F.explode_outer(touched)).join(held, ["symbol", "stretch"], "left")
+    hit = F.get(F.filter("own", lambda b: (b["t"] > F.col("__s")) & (b["t"] <= F.col("__e")) & meets(b)), F.lit(0))["t"]
+    return near.groupBy(*points.columns).agg(F.min(hit).alias(name))
+
+
+def breakers(blocks: DataFrame, bars: DataFrame) -> DataFrame:
+    """blocks (symbol, k, m, lo, hi, bull, touch) with brk_close and brk, both null for downward blocks.
+
+    brk_close: the first of 60 bars after m that closes below an upward block. brk: the first bar after
+    that, within 60, which is back at the block's low once a bar has been wholly below it. The second
+    search begins where the first one ended.
+    """
+    held = stretches(bars)
+    up = blocks.where("bull")
+    low = F.col("lo")
+    up = first_bar(up, held, F.col("m"), F.col("m") + LIFE, lambda b: b["c"] < low, "brk_close")
+    up = first_bar(up, held, F.col("brk_close"), F.col("brk_close") + LIFE, lambda b: b["h"] < low, "__away")
+    up = first_bar(up, held, F.col("__away"), F.col("brk_close") + LIFE, lambda b: b["h"] >= low, "brk").drop("__away")
+    none = F.lit(None).cast("int")
+    return up.unionByName(blocks.where("NOT bull").withColumns({"brk_close": none, "brk": none}))
+
+
 #: A day's change from which it counts as a limit day.
 LIMIT = 0.065
 

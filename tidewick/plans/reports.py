@@ -115,11 +115,21 @@ def basket_heat(spark, sf_dir):
     return P.heat(A.active_orders(ticks(spark, sf_dir)), 10_000.0).withColumn("net", F.round("net", 4))
 
 
-@query()
+@query(
+    """WITH la AS (SELECT symbol, max(t) AS last, max_by(c, t) AS c, max_by(atr, t) AS atr FROM ab GROUP BY symbol),
+    al AS (SELECT b.*, la.last, la.c, la.atr, greatest(lo - la.c, la.c - hi, 0.0) AS dist,
+             CASE WHEN NOT bull THEN CASE WHEN NOT EXISTS (SELECT 1 FROM nb n WHERE n.symbol = b.symbol AND n.t > b.m AND n.c > b.hi) THEN 'bear' END
+                  WHEN brk_close IS NULL THEN 'bull' WHEN brk IS NULL THEN 'bb' END AS kind
+           FROM bk b JOIN la ON la.symbol = b.symbol WHERE la.last - m <= 60),
+    z AS (SELECT symbol, k, kind, lo, hi, CASE WHEN dist = 0 THEN 'in' WHEN dist <= atr THEN 'near' ELSE 'far' END AS pos, round(dist / nullif(atr, 0), 2) AS dist_atr, round(dist / c, 4) AS dist_pct,
+            lo > c AS above, last - m AS age, touch IS NOT NULL AS touched FROM al WHERE kind IS NOT NULL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY dist_atr NULLS FIRST, k, kind) AS integer) AS rank FROM z""",
+    structures.BLOCKS_SQL,
+)
 def order_blocks_in_force(spark, sf_dir):
-    """Rows only: order_blocks has the SQL of what it filters."""
+    """Blocks and breakers that still count at each symbol's last bar, the nearest first."""
     own = structures.with_atr(spark, sf_dir)
-    return P.zones_in_force(S.order_blocks(own), own)
+    return P.zones_in_force(S.breakers(S.order_blocks(own), own), own)
 
 
 @query(

@@ -73,20 +73,32 @@ def _blocks(bull: bool) -> str:
     return f"SELECT symbol, t AS k, l AS lo, h AS hi, {str(bull).lower()} AS bull, CASE {cases} END AS m FROM ob0 WHERE t >= 20 AND {s} * (c - o) < 0 AND {s} * (c1 - o1) > 0"
 
 
-@query(
-    f"""WITH {_FORCE},
+BLOCKS_SQL = A_SQL + f""",
+{_FORCE},
     ob0 AS (SELECT a.symbol, a.t, a.o, a.h, a.l, a.c, a.atr, f.high, f.low, lead(a.c) OVER w AS c1, lead(a.c, 2) OVER w AS c2, lead(a.c, 3) OVER w AS c3, lead(a.o) OVER w AS o1
             FROM ab a JOIN fo f ON a.symbol = f.symbol AND a.t = f.t WINDOW w AS (PARTITION BY a.symbol ORDER BY a.t)),
     ob AS (SELECT * FROM ({_blocks(True)} UNION ALL {_blocks(False)}) WHERE m IS NOT NULL),
     lt AS (SELECT o.*, n.t AS ta, CASE WHEN o.bull THEN n.l > o.hi ELSE n.h < o.lo END AS away FROM ob o LEFT JOIN nb n ON n.symbol = o.symbol AND n.t BETWEEN o.m + 1 AND o.m + 60),
-    ar AS (SELECT *, min(CASE WHEN away THEN ta END) OVER (PARTITION BY symbol, k, bull) AS gone FROM lt)
-    SELECT symbol, k, m, lo, hi, bull, min(CASE WHEN ta > gone AND NOT away THEN ta END) AS touch FROM ar GROUP BY symbol, k, m, lo, hi, bull""",
-    A_SQL,
-)
+    ar AS (SELECT *, min(CASE WHEN away THEN ta END) OVER (PARTITION BY symbol, k, bull) AS gone FROM lt),
+    obt AS MATERIALIZED (SELECT symbol, k, m, lo, hi, bull, min(CASE WHEN ta > gone AND NOT away THEN ta END) AS touch FROM ar GROUP BY symbol, k, m, lo, hi, bull),
+    bk1 AS (SELECT o.*, (SELECT min(n.t) FROM nb n WHERE n.symbol = o.symbol AND n.t > o.m AND n.t <= o.m + 60 AND n.c < o.lo) AS brk_close FROM obt o WHERE bull),
+    bk2 AS (SELECT o.*, (SELECT min(n.t) FROM nb n WHERE n.symbol = o.symbol AND n.t > o.brk_close AND n.t <= o.brk_close + 60 AND n.h < o.lo) AS gone FROM bk1 o),
+    bk AS MATERIALIZED (SELECT o.* EXCLUDE (gone), (SELECT min(n.t) FROM nb n WHERE n.symbol = o.symbol AND n.t > o.gone AND n.t <= o.brk_close + 60 AND n.h >= o.lo) AS brk FROM bk2 o
+      UNION ALL SELECT o.*, NULL, NULL FROM obt o WHERE NOT bull)"""
+
+
+@query("SELECT symbol, k, m, lo, hi, bull, touch FROM obt", BLOCKS_SQL)
 def order_blocks(spark, sf_dir):
     return S.order_blocks(with_atr(spark, sf_dir))
 
 
+@query("SELECT symbol, k, m, lo, hi, bull, touch, brk_close, brk FROM bk", BLOCKS_SQL)
+def breaker_blocks(spark, sf_dir):
+    """Upward blocks that a close went through, and the first return to them from below."""
+    own = with_atr(spark, sf_dir)
+    return S.breakers(S.order_blocks(own), own)
+
+
 @query(
     """WITH w AS (SELECT b.*, a.value AS atr, lag(b.c, 15) OVER x AS ref, lag(b.c) OVER x AS pc, CASE WHEN count(*) OVER y = 20 THEN avg(b.v) OVER y END AS av
       FROM bars b LEFT JOIN atr a ON a.symbol = b.symbol AND a.d = b.d
