@@ -317,33 +317,60 @@ def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[in
     return every.select("id", F.explode(F.array(*each)).alias("z")).select("id", "z.*")
 
 
+def daily_cells(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:
+    """session, d, h, level, cells: of each day's cones, how many catch their return from which scale on.
+
+    Whether a cone catches its return depends on the scale by one number, the least scale that does, so a
+    day is a short table of counts by that number in steps of 0.0001, to which scales are rounded.
+    calendar: d, session.
+    """
+    rows = cone.join(real, ["symbol", "d", "h"])
+    needed = [F.struct(F.lit(v).alias("level"), F.when(F.col("ret") >= F.col("q50"), (F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{b}") - F.col("q50"), F.lit(0.0))).otherwise((F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{a}") - F.col("q50"), F.lit(0.0))).alias("r")) for v, (a, b) in LEVELS.items()]
+    rows = rows.select("d", "h", F.explode(F.array(*needed)).alias("t")).select("d", "h", "t.level", F.ceil(F.least(F.coalesce("t.r", F.lit(9.0)), F.lit(9.0)) * 10000).alias("cell"))
+    cells = rows.groupBy("d", "h", "level", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.groupBy("d", "h", "level").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return cells.join(F.broadcast(calendar), "d").select("session", "d", "h", "level", "cells")  # sessions
+
+
+class Scale:
+    """The scale of one (h, level) from day to day: it learns what a day's cones caught h sessions later.
+
+    due: (session, hit) of the days whose returns are not known yet, at most h; hits: the last WINDOW
+    that are; session: the last day that was seen, at or before which nothing counts again.
+    """
+
+    def __init__(self, h: int, level: int, s: float = 1.0, session: int = -1, due: list | None = None, hits: list | None = None):
+        self.h, self.level, self.s, self.session, self.due, self.hits = h, level, s, session, list(due or []), list(hits or [])
+
+    def day(self, session: int, cells: list[tuple[int, int]]) -> tuple[float, float] | None:
+        """(scale in force, share caught) of the day's cones; None for a day that was seen."""
+        if session <= self.session:
+            return None
+        self.session = session
+        while self.due and self.due[0][0] <= session:
+            hit = self.due.pop(0)[1]
+            self.s = float(round(min(SCALE_HIGH, max(SCALE_LOW, self.s * math.exp(GAMMA * (self.level / 100 - hit)))), 4))
+            self.hits = [*self.hits, round(hit, 4)][-WINDOW:]
+        edge = round(self.s * 10000)
+        hit = sum(n for cell, n in cells if cell <= edge) / sum(n for _, n in cells)
+        self.due.append((session + self.h, hit))
+        return self.s, hit
+
+
 def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:
     """d, h, level, s, hit: the scale in force when each day's cones were issued, and the share that they then caught.
 
     A day's share is known h sessions after it and moves the scale only then, before that day's cones are
-    issued. Whether a cone catches its return depends on the scale by one number, the least scale that
-    does, so a day is a short table of counts by that number in steps of 0.0001, to which scales are
-    rounded; the fold over days of one (h, level) sees those tables. calendar: d, session.
+    issued. The fold over days of one (h, level) sees the short tables of daily_cells().
     """
     import pandas as pd
 
-    rows = cone.join(real, ["symbol", "d", "h"])
-    needed = [F.struct(F.lit(v).alias("level"), F.when(F.col("ret") >= F.col("q50"), (F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{b}") - F.col("q50"), F.lit(0.0))).otherwise((F.col("ret") - F.col("q50")) / F.nullif(F.col(f"q{a}") - F.col("q50"), F.lit(0.0))).alias("r")) for v, (a, b) in LEVELS.items()]
-    rows = rows.select("d", "h", F.explode(F.array(*needed)).alias("t")).select("d", "h", "t.level", F.ceil(F.least(F.coalesce("t.r", F.lit(9.0)), F.lit(9.0)) * 10000).alias("cell"))
-    cells = rows.groupBy("d", "h", "level", "cell").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(calendar), "d")  # sessions
-
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        h, level = int(frame["h"].iloc[0]), int(frame["level"].iloc[0])
-        s, due, out = 1.0, {}, []
-        for session, day in frame.sort_values("session").groupby("session"):
-            for at in sorted(k for k in due if k <= session):
-                s = float(round(min(SCALE_HIGH, max(SCALE_LOW, s * math.exp(GAMMA * (level / 100 - due.pop(at))))), 4))
-            hit = float(day["n"][day["cell"] <= round(s * 10000)].sum() / day["n"].sum())
-            due[session + h] = hit
-            out.append((day["d"].iloc[0], h, level, s, hit))
+        scale = Scale(int(frame["h"].iloc[0]), int(frame["level"].iloc[0]))
+        out = [(r.d, scale.h, scale.level, *scale.day(int(r.session), [(c["cell"], c["n"]) for c in r.cells])) for r in frame.sort_values("session").itertuples()]
         return pd.DataFrame(out, columns=["d", "h", "level", "s", "hit"])
 
-    return cells.groupBy("h", "level").applyInPandas(fold, "d date, h int, level int, s double, hit double")
+    return daily_cells(cone, real, calendar).groupBy("h", "level").applyInPandas(fold, "d date, h int, level int, s double, hit double")
 
 
 def fit_scale(cone: DataFrame, real: DataFrame, low: float = 0.8, high: float = 3.0, step: float = 0.05) -> DataFrame:

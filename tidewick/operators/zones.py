@@ -283,35 +283,3 @@ def minute_bars(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     return ticks.groupBy("symbol", "d", (F.floor(F.col("sec") / seconds) * seconds).cast("int").alias("sec")).agg(
         F.min_by("price", "acc").alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", "acc").alias("c"), F.sum("vol").alias("v")
     )
-
-
-def break_alerts(stats: DataFrame, areas: DataFrame) -> DataFrame:
-    """symbol, d, direction, level: the close leaves the value area that ended the session before, with large orders behind it.
-
-    stats: with_change rows; areas: symbol, d, val, vah of the window that ends before d.
-    """
-    rows = stats.join(areas, ["symbol", "d"])
-    up = (F.col("pc") <= F.col("vah")) & (F.col("c") > F.col("vah")) & (F.col("big_net_val") > 0)
-    down = (F.col("pc") >= F.col("val")) & (F.col("c") < F.col("val")) & (F.col("big_net_val") < 0)
-    rows = rows.withColumn("direction", F.when(up, "up").when(down, "down")).where("direction IS NOT NULL")
-    return rows.select("symbol", "d", "direction", F.when(F.col("direction") == "up", F.col("vah")).otherwise(F.col("val")).alias("level"))
-
-
-def windows(by_level: DataFrame, n: int) -> DataFrame:
-    """by_level for each (symbol, window): the n sessions before each session, with symbol 'symbol@date' for the profile of the window."""
-    days = by_level.select("symbol", "d").distinct()
-    days = days.withColumn("session", F.dense_rank().over(Window.partitionBy("symbol").orderBy("d")))
-    ends = days.select("symbol", F.col("d").alias("end"), F.explode(F.sequence(F.col("session") - n, F.col("session") - 1)).alias("session"))
-    members = ends.join(days, ["symbol", "session"])
-    return by_level.join(members, ["symbol", "d"]).withColumn("symbol", F.concat_ws("@", "symbol", "end"))
-
-
-def window_areas(by_level: DataFrame, n: int = 10) -> DataFrame:
-    """symbol, d, val, vah: value area of the n sessions before each session."""
-    bins = profile(windows(by_level, n))
-    area = value_area(bins)
-    lo = bins.select("symbol", F.col("bin").alias("val_bin"), F.col("lo").alias("val"))
-    hi = bins.select("symbol", F.col("bin").alias("vah_bin"), F.col("hi").alias("vah"))
-    out = area.join(lo, ["symbol", "val_bin"]).join(hi, ["symbol", "vah_bin"])
-    name = F.split("symbol", "@")
-    return out.select(name[0].alias("symbol"), F.to_date(name[1]).alias("d"), "val", "vah")

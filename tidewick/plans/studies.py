@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
@@ -14,7 +15,7 @@ from ..sources.market import BARS_SQL, INDEX, TICKS_SQL, bars, ticks
 from . import cones
 from .features import FRAME_SQL
 from .registry import query
-from .volume import LEVELS_SQL, MINUTES_SQL
+from .volume import LEVELS_SQL, MINUTES_SQL, SLID_SQL, break_alerts
 
 # -- ingestion ---------------------------------------------------------------------------------------
 
@@ -168,13 +169,16 @@ def volume_cross_check(spark, sf_dir):
     return G.volume_check(Z.sessions(once), daily).withColumn("off", r6("off"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT symbol, d, direction, CASE direction WHEN 'up' THEN vah ELSE val END AS level FROM brk WHERE direction IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, d ORDER BY w) = 1)
+    SELECT d, count(*) AS n, CASE WHEN count(*) > 6 THEN printf('%d alerts: %d up, %d down', count(*), count(*) FILTER (direction = 'up'), count(*) FILTER (direction = 'down'))
+      ELSE string_agg(printf('%s %s %.2f', symbol, direction, level), '; ' ORDER BY printf('%s %s %.2f', symbol, direction, level)) END AS body FROM f GROUP BY d""",
+    SLID_SQL,
+)
 def alert_payloads(spark, sf_dir):
-    """Rows only, as its alerts are."""
-    from .volume import break_alerts
-
-    found = break_alerts(spark, sf_dir)
-    return G.payloads(G.new_alerts(found, found.where(F.col("symbol") == "T0")))
+    """One text for each session's alerts, each by its shortest window."""
+    first = F.row_number().over(Window.partitionBy("symbol", "d").orderBy("w"))
+    return G.payloads(break_alerts(spark, sf_dir).withColumn("__r", first).where("__r = 1"))
 
 
 # -- studies -----------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import r6
 from ..operators import flow as A
+from ..operators import sliding as L
 from ..operators import zones as Z
 from ..sources.market import TICKS_SQL, ticks
 from .registry import query
@@ -240,12 +241,64 @@ def estimated_levels(spark, sf_dir):
     return Z.estimate_levels(bars)
 
 
-@query()
-def break_alerts(spark, sf_dir):
-    """Rows only: the value area of every window is a fold; value_area has the SQL for one window."""
+#: Whale pairs of sparse ticks are farther apart.
+PAIR_GAP = 1.0
+
+#: The sessions before each session, once for each window: what value areas and pairs are taken from.
+_BEFORE = """sn AS (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS z FROM (SELECT DISTINCT symbol, d FROM levels)),
+wn AS (SELECT unnest([10, 20, 40]) AS w),
+chg AS (SELECT st.symbol, st.d, big_net_val, close AS c, lag(close) OVER (PARTITION BY st.symbol ORDER BY st.d) AS pc FROM stats st JOIN sess ON sess.symbol = st.symbol AND sess.d = st.d)"""
+SLID_SQL = LEVELS_SQL + ",\n" + _BEFORE + """,
+recent AS (SELECT concat_ws('@', e.symbol, e.d, w) AS symbol, l.d, price, buy, sell, x, big_buy, big_sell
+  FROM sn e JOIN wn ON true JOIN sn m ON m.symbol = e.symbol AND m.z BETWEEN e.z - w AND e.z - 1 JOIN levels l ON l.symbol = m.symbol AND l.d = m.d),""" + AREA_SQL[AREA_SQL.index("\nspan0 AS") :] + """,
+edges AS MATERIALIZED (SELECT split_part(a.symbol, '@', 1) AS symbol, CAST(split_part(a.symbol, '@', 2) AS date) AS d, CAST(split_part(a.symbol, '@', 3) AS int) AS w, lo.lo AS val, hi.hi AS vah
+  FROM area a JOIN bins lo ON lo.symbol = a.symbol AND lo.bin = a.val_bin JOIN bins hi ON hi.symbol = a.symbol AND hi.bin = a.vah_bin),
+brk AS MATERIALIZED (SELECT e.symbol, e.d, w, CASE WHEN pc <= vah AND c > vah AND big_net_val > 0 THEN 'up' WHEN pc >= val AND c < val AND big_net_val < 0 THEN 'down' END AS direction, val, vah
+  FROM edges e JOIN chg ON chg.symbol = e.symbol AND chg.d = e.d)"""
+
+_PAIRS_SQL = LEVELS_SQL + ",\n" + _BEFORE + f""",
+wl AS (SELECT e.symbol, e.d, w, k, round(round_even(price / 0.05::double, 0) * 0.05::double, 4) AS price, sum(big_buy) AS b, sum(big_sell) AS s
+  FROM sn e JOIN wn ON true JOIN (SELECT unnest([0, 1]) AS k) ON true JOIN sn m ON m.symbol = e.symbol AND m.z BETWEEN e.z - w - k + 1 AND e.z - k JOIN levels l ON l.symbol = m.symbol AND l.d = m.d WHERE e.z > 1 GROUP BY 1, 2, 3, 4, 5),
+wp AS (SELECT * FROM (SELECT symbol, d, w, k, first(price ORDER BY b DESC, price) FILTER (b > 0) AS buy_p, first(price ORDER BY s DESC, price) FILTER (s > 0) AS sell_p FROM wl GROUP BY 1, 2, 3, 4) WHERE abs(buy_p - sell_p) <= {PAIR_GAP} + 1e-9),
+prs AS MATERIALIZED (SELECT symbol, d, w, buy_p, sell_p FROM wp n WHERE k = 0 AND NOT EXISTS (SELECT 1 FROM wp o WHERE o.k = 1 AND o.symbol = n.symbol AND o.d = n.d AND o.w = n.w))"""
+
+
+def _slid(spark, sf_dir):
+    """(stats with closes, sliding profiles) of all sessions."""
     rows = ticks(spark, sf_dir)
     by_level = Z.levels(rows, BIG)
-    return Z.break_alerts(Z.with_change(Z.session_stats(by_level), Z.sessions(rows)), Z.window_areas(by_level))
+    return Z.with_change(Z.session_stats(by_level), Z.sessions(rows)), L.slide(by_level, L.WINDOWS, BINS, PAIR_GAP)
+
+
+@query("SELECT symbol, d, CAST(w AS integer) AS w, val, vah FROM edges", SLID_SQL)
+def sliding_value_areas(spark, sf_dir):
+    """The value area of the 10, 20 and 40 sessions before each session."""
+    return _slid(spark, sf_dir)[1].where("val IS NOT NULL").select("symbol", "d", "w", "val", "vah")
+
+
+@query("SELECT symbol, d, CAST(w AS integer) AS w, direction, CASE direction WHEN 'up' THEN vah ELSE val END AS level FROM brk WHERE direction IS NOT NULL", SLID_SQL)
+def break_alerts(spark, sf_dir):
+    """Closes that leave the value area of any of three windows, with large orders behind them."""
+    return L.breaks(*_slid(spark, sf_dir))
+
+
+@query("SELECT symbol, d, CAST(w AS integer) AS w, buy_p, sell_p FROM prs", _PAIRS_SQL)
+def pair_alerts(spark, sf_dir):
+    """Whale pairs of each session's windows that the session before did not have."""
+    return L.pairs(_slid(spark, sf_dir)[1])
+
+
+@query(
+    """WITH b AS (SELECT symbol, d, count(*) AS n_breaks, min(w) AS first_break FROM brk WHERE direction IS NOT NULL GROUP BY symbol, d), p AS (SELECT symbol, d, count(*) AS n_pairs FROM prs GROUP BY symbol, d)
+    SELECT symbol, d, c AS close, round(big_net_val, 6) AS big_net_val, coalesce(n_breaks, 0) AS n_breaks, CAST(first_break AS integer) AS first_break, coalesce(n_pairs, 0) AS n_pairs
+    FROM b FULL JOIN p USING (symbol, d) JOIN chg USING (symbol, d)""",
+    SLID_SQL + _PAIRS_SQL[len(LEVELS_SQL + ",\n" + _BEFORE) :],
+)
+def session_alerts(spark, sf_dir):
+    """One row for each symbol and session with an alert on any window."""
+    out = L.alerts(*_slid(spark, sf_dir))
+    counts = [F.size("breaks").cast("long").alias("n_breaks"), F.get("breaks", F.lit(0))["w"].alias("first_break"), F.size("pairs").cast("long").alias("n_pairs")]
+    return out.select("symbol", "d", "close", F.round("big_net_val", 6).alias("big_net_val"), *counts)
 
 
 ORDERS_SQL = TICKS_SQL + """,
