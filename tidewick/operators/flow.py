@@ -110,6 +110,47 @@ def shuffled(orders: DataFrame, seed: int) -> DataFrame:
     return orders.select("symbol", "d", "i", "sec", "price").join(dealt, ["symbol", "d", "i"])
 
 
+#: Shuffles whose mean is the null of chains, and how far the null of baskets shifts a symbol's time.
+SHUFFLES, SHIFT = 5, 1800
+
+
+def replicated(orders: DataFrame, shuffles: int = SHUFFLES) -> DataFrame:
+    """orders as they are (symbol 'S#0') and under each of so many shuffles ('S#1', ...): the replicate is a dimension, so one plan judges all."""
+    rows = orders.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(shuffles))))
+    key = F.md5(F.concat_ws("|", "rep", "symbol", F.col("d").cast("string"), F.col("i").cast("string")))
+    order = Window.partitionBy("symbol", "d", "rep").orderBy(F.when(F.col("rep") == 0, F.col("i")), key)
+    dealt = rows.select("symbol", "d", "rep", "side", "vol", F.row_number().over(order).alias("i"))
+    met = orders.select("symbol", "d", "i", "sec", "price").join(dealt, ["symbol", "d", "i"])
+    return met.withColumn("symbol", F.concat_ws("#", "symbol", "rep")).drop("rep")
+
+
+def chain_null(orders: DataFrame, min_size: int, steady: tuple, even: tuple, shuffles: int = SHUFFLES) -> DataFrame:
+    """symbol, d, chains, fake: how many chains a symbol's day has, and how many on average once its orders are shuffled. Days without any count too."""
+    found = chains(replicated(orders, shuffles), min_size, steady, even)
+    name = F.split("symbol", "#")
+    found = found.select(name[0].alias("symbol"), "d", (name[1] == "0").alias("own"))
+    counts = found.groupBy("symbol", "d").agg(F.count_if("own").alias("chains"), (F.count_if(~F.col("own")) / shuffles).alias("fake"))
+    return orders.select("symbol", "d").distinct().join(counts, ["symbol", "d"], "left").fillna({"chains": 0, "fake": 0.0})
+
+
+def basket_null(orders: DataFrame, least_value: float, symbols: int = BASKET_SYMBOLS, unit: int = 1) -> DataFrame:
+    """d, baskets, fake: how many baskets a day has, and how many once every symbol's time is shifted by up to SHIFT seconds, in whole units, by a hash of its name."""
+    most = SHIFT // unit
+    by = (F.conv(F.substring(F.sha1(F.concat_ws("|", "symbol", F.lit("7"))), 1, 8), 16, 10).cast("long") % (2 * most + 1) - most) * unit
+    rows = orders.where((F.col("vol") * F.col("price") >= least_value) & ~F.col("sec").isin(*SKIPPED)).select("symbol", "d", "side", "sec", by.alias("by"))
+    rows = rows.withColumn("fake", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.col("sec") + F.when(F.col("fake"), F.col("by")).otherwise(0))
+    met = rows.groupBy("d", "fake", "at", "side").agg(F.countDistinct("symbol").alias("n")).where(F.col("n") >= symbols)
+    return met.groupBy("d").agg(F.count_if(~F.col("fake")).alias("baskets"), F.count_if("fake").alias("fake"))
+
+
+def flow_null(by_chain: DataFrame, by_basket: DataFrame) -> DataFrame:
+    """d, chains, chains_null, chains_false, baskets, baskets_null, baskets_false: what a day has, what chance gives, and the share of the former that chance explains (null without any)."""
+    chained = by_chain.groupBy("d").agg(F.sum("chains").alias("chains"), F.sum("fake").alias("chains_null"))
+    rows = chained.join(by_basket.select("d", "baskets", F.col("fake").alias("baskets_null")), "d", "left").fillna(0, ["baskets", "baskets_null"])
+    false = {f"{x}_false": F.least(F.col(f"{x}_null") / F.nullif(F.col(x), F.lit(0)), F.lit(1.0)) for x in ("chains", "baskets")}
+    return rows.withColumns(false)
+
+
 def baskets(orders: DataFrame, least_value: float, symbols: int = BASKET_SYMBOLS) -> DataFrame:
     """d, sec, side, n, val, members: seconds in which at least so many symbols have a large order on one side."""
     value = F.col("vol") * F.col("price")

@@ -10,6 +10,7 @@ from ..functions.rolling import r6
 from ..operators import evaluate as V
 from ..operators import events as E
 from ..operators import features as X
+from ..operators import ledger as G
 from ..operators import regime as R
 from ..operators import trend as T
 from ..sources.market import bars
@@ -414,6 +415,24 @@ def sequential_calibration(spark, sf_dir):
     return R.sequential(cone, real, calendar).select("d", "h", "level", F.round("s", 4).alias("s"), r6("hit").alias("hit"))
 
 
+@query(
+    """WITH cal AS MATERIALIZED (SELECT d, row_number() OVER (ORDER BY d) AS z FROM (SELECT DISTINCT d FROM bars)),
+    q3 AS (SELECT symbol, d, unnest([{'h': 5, 'q': q5}, {'h': 10, 'q': q10}, {'h': 20, 'q': q20}], recursive := true) FROM yq),
+    rt AS (SELECT q3.d, q3.h, q3.q, u.d AS scored_on, ln(b.c / a.c) AS ret FROM q3 JOIN cal c ON c.d = q3.d JOIN cal u ON u.z = c.z + q3.h
+      JOIN bars a ON a.symbol = q3.symbol AND a.d = q3.d JOIN bars b ON b.symbol = q3.symbol AND b.d = u.d)
+    SELECT d, h, level, count(*) AS n, round(avg((ret BETWEEN q[a] AND q[b])::int), 6) AS hit, scored_on FROM rt, lev GROUP BY d, h, level, scored_on""",
+    _HITS,
+)
+def maturity_ledger(spark, sf_dir):
+    """Cones scored in two runs whose sessions overlap: each issue day, horizon and level is in the ledger once."""
+    cone = once(_issued(spark, sf_dir)[0])
+    own = bars(spark, sf_dir).select("symbol", "d", "c")
+    calendar = once(G.sessions(own))
+    n = calendar.count()
+    early, late = G.matured(cone, own, calendar, 1, n - 15), G.matured(cone, own, calendar, n - 60, n)
+    return G.merged(early, late).withColumn("hit", r6("hit"))
+
+
 # -- the forecast of the last sessions ---------------------------------------------------------------
 
 #: Sessions that are replayed, and the settings of the alert by probability.

@@ -395,6 +395,38 @@ def order_baskets(spark, sf_dir):
     return A.baskets(by_minute, 10_000.0, 2).select("d", F.col("sec").alias("minute"), "side", "n", F.round("val", 4).alias("val"), "members")
 
 
+#: Chains of the orders as they are and under five shuffles, a symbol's replicates told apart by its name.
+_REPLICATED = ORDERS_SQL + f""",
+reps AS (SELECT unnest(range(0, {A.SHUFFLES + 1})) AS rep),
+rd AS (SELECT symbol, d, rep, side, vol, row_number() OVER (PARTITION BY symbol, d, rep ORDER BY CASE WHEN rep = 0 THEN i END, md5(concat_ws('|', rep, symbol, CAST(d AS varchar), i))) AS i FROM act, reps),
+rp AS (SELECT concat_ws('#', a.symbol, b.rep) AS symbol, a.d, a.i, a.sec, a.price, b.side, b.vol FROM act a JOIN rd b ON a.symbol = b.symbol AND a.d = b.d AND a.i = b.i)""" + CHAINS_SQL[len(ORDERS_SQL) :].replace("FROM act WHERE", "FROM rp WHERE") + f""",
+bk0 AS (SELECT d, symbol, side, CAST(floor(sec / 60) * 60 AS int) AS minute, (CAST(('0x' || left(sha1(concat_ws('|', symbol, 7)), 8)) AS bigint) % {2 * (A.SHIFT // 60) + 1} - {A.SHIFT // 60}) * 60 AS shift FROM act WHERE vol * price >= 10000),
+bk1 AS (SELECT d, side, symbol, fake, minute + CASE WHEN fake THEN shift ELSE 0 END AS moved FROM bk0, (SELECT unnest([false, true]) AS fake) WHERE minute NOT IN (33300, 46800)),
+bk2 AS (SELECT d, fake FROM bk1 GROUP BY d, fake, moved, side HAVING count(DISTINCT symbol) >= 2),
+bks AS (SELECT d, count(*) FILTER (NOT fake) AS baskets, count(*) FILTER (fake) AS baskets_null FROM bk2 GROUP BY d),
+chn AS (SELECT split_part(symbol, '#', 1) AS symbol, d, count(*) FILTER (symbol LIKE '%#0') AS chains, count(*) FILTER (symbol NOT LIKE '%#0') / {A.SHUFFLES}::double AS fake FROM chains GROUP BY 1, 2),
+chd AS (SELECT a.symbol, a.d, coalesce(c.chains, 0) AS chains, coalesce(c.fake, 0) AS fake FROM (SELECT DISTINCT symbol, d FROM act) a LEFT JOIN chn c ON c.symbol = a.symbol AND c.d = a.d)"""
+
+
+@query("SELECT symbol, d, chains, round(fake, 6) AS fake FROM chd", _REPLICATED)
+def chain_null(spark, sf_dir):
+    """Chains of each symbol's day beside their mean over five shuffles."""
+    return A.chain_null(orders(spark, sf_dir), SIZE, STEADY, EVEN).withColumn("fake", r6("fake"))
+
+
+@query(
+    """SELECT d, CAST(sum(chains) AS bigint) AS chains, round(sum(fake), 6) AS chains_null, round(least(sum(fake) / nullif(sum(chains), 0), 1.0), 6) AS chains_false, coalesce(any_value(baskets), 0) AS baskets, coalesce(any_value(baskets_null), 0) AS baskets_null,
+           round(least(any_value(baskets_null)::double / nullif(any_value(baskets), 0), 1.0), 6) AS baskets_false FROM chd LEFT JOIN bks USING (d) GROUP BY d""",
+    _REPLICATED,
+)
+def hidden_flow_null(spark, sf_dir):
+    """Chains and baskets of each day, what chance gives of them, and the share that it explains. Minutes stand for seconds, two symbols for five."""
+    own = orders(spark, sf_dir)
+    by_minute = own.withColumn("sec", (F.floor(F.col("sec") / 60) * 60).cast("int"))
+    out = A.flow_null(A.chain_null(own, SIZE, STEADY, EVEN), A.basket_null(by_minute, 10_000.0, 2, 60))
+    return out.withColumns({c: r6(c) for c in ("chains_null", "chains_false", "baskets_false")})
+
+
 DAYS_SQL = CHAINS_SQL + """,
 days AS (
   SELECT symbol, d, count(*) AS n, min_by(price, i) AS open, max_by(price, i) AS close, sum(vol * price) / sum(vol) AS vwap, sum(vol * price) AS val,
