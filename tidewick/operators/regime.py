@@ -387,7 +387,7 @@ def fit_scale(cone: DataFrame, real: DataFrame, low: float = 0.8, high: float =
 def forecast_items(rows: DataFrame, p_min: float, n_min: int) -> DataFrame:
     """Items of symbols and sessions: price, change, pool, shares of rises, cone at 10 sessions, and both kinds of alert.
 
-    rows: symbol, d, price, before, level, n, up5, up10, base10, q10, q25, q50, q90 (log returns) and event; all
+    rows: symbol, d, price, before, level, n, up5, up10, base10, q10, q25, q50, q90 (log returns) and events, the codes that give an alert (null: none); all
     from level on are null for a symbol without a regime, whose item is not ok.
     """
     at = lambda q: F.round(F.col("price") * F.exp(f"q{q}"), 4).alias(f"q{q}")
@@ -408,5 +408,6 @@ def forecast_items(rows: DataFrame, p_min: float, n_min: int) -> DataFrame:
         at(50),
         at(90),
         F.coalesce(by_share, F.lit(False)).alias("alert_p10"),
-        F.col("event").isNotNull().alias("alert_event"),
+        F.col("events").isNotNull().alias("alert_event"),
+        F.coalesce("events", F.lit("")).alias("alert_events"),
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.reuse import once
 from ..functions.rolling import r6
+from ..operators import conditional as K
 from ..operators import evaluate as V
-from ..operators import events as E
 from ..operators import features as X
 from ..operators import ledger as G
 from ..operators import regime as R
@@ -16,7 +16,7 @@ from ..operators import trend as T
 from ..sources.market import bars
 from .features import FRAME_SQL
 from .registry import query
-from .signals import KEPT_SQL, TREND_SQL
+from .signals import FOUR_SQL, TREND_SQL
 
 def keyed(spark, sf_dir):
     """Bars with returns, volatility, volume features, forward path and the regime's axes."""
@@ -437,6 +437,8 @@ def maturity_ledger(spark, sf_dir):
 
 #: Sessions that are replayed, and the settings of the alert by probability.
 REPLAYED, P_MIN, N_MIN = 20, 0.58, 200
+#: The events that give an alert on their day.
+PUSHED = K.CODES
 
 
 def _forecasts(spark, sf_dir, sessions: int):
@@ -453,7 +455,8 @@ def _forecasts(spark, sf_dir, sessions: int):
     drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
     cone = R.cones(drawn, R.prefixed(learn), PATHS, (10,)).select("id.symbol", "id.d", "q10", "q25", "q50", "q90")
     base = counts.where(F.col("level") == len(R.AXES)).select("asof", F.col("up10").alias("base10"))
-    hit = E.keep_first(frame.withColumn("hit", E.red_volume_demand()), "hit").select("symbol", "d", F.lit("red_vol_demand").alias("event"))
+    hit = K.kept(K.flags(bars(spark, sf_dir))).where(F.col("code").isin(*PUSHED)).groupBy("symbol", "d")
+    hit = hit.agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("events"))
     rows = own.select("symbol", "d", "asof", F.col("c").alias("price"), "before", "v").join(targets.select("symbol", "d", "level", "n", "up5", "up10"), ["symbol", "d"], "left")
     rows = rows.join(cone, ["symbol", "d"], "left").join(F.broadcast(base), "asof", "left").join(hit, ["symbol", "d"], "left")  # a row a session
     return R.forecast_items(rows, P_MIN, N_MIN)
@@ -464,7 +467,7 @@ def _own():
 
 
 def _forecast_sql(sessions: int) -> str:
-    return KEPT_SQL + "," + KEYED_SQL[len(FRAME_SQL) + 1 :] + f""",
+    return FOUR_SQL + "," + KEYED_SQL[len(FRAME_SQL) + 1 :] + f""",
 fs AS MATERIALIZED (SELECT DISTINCT d AS s FROM bars ORDER BY d DESC LIMIT {sessions}),
 kn AS (SELECT symbol, d, lead(d, 20) OVER (PARTITION BY symbol ORDER BY d) AS known_on FROM bars),
 flearn AS MATERIALIZED (SELECT fs.s, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, k.s5, k.s10 FROM rows_ k JOIN kn ON kn.symbol = k.symbol AND kn.d = k.d, fs, range(0, 7) AS r(lv) WHERE kn.known_on <= fs.s),
@@ -483,9 +486,9 @@ fq AS (SELECT symbol, d, quantile_cont(x, [0.1, 0.25, 0.5, 0.9]) AS q FROM (SELE
 item AS (
   SELECT b.symbol, b.d, round(b.c, 4) AS price, round(100 * (b.c / nullif(b.c1, 0) - 1), 2) AS change_pct, t.n IS NOT NULL AS ok, CAST(t.l AS int) AS level, t.n, round(t.up5, 3) AS p5, round(t.up10, 3) AS p10, round(g.up10, 3) AS base10,
     round(b.c * exp(q[1]), 4) AS q10, round(b.c * exp(q[2]), 4) AS q25, round(b.c * exp(q[3]), 4) AS q50, round(b.c * exp(q[4]), 4) AS q90,
-    coalesce(t.up10 >= 0.58::double AND t.n >= 200 AND q[2] > 0, false) AS alert_p10, k.d IS NOT NULL AS alert_event
+    coalesce(t.up10 >= 0.58::double AND t.n >= 200 AND q[2] > 0, false) AS alert_p10, k.events IS NOT NULL AS alert_event, coalesce(k.events, '') AS alert_events
   FROM ret b SEMI JOIN fs ON fs.s = b.d LEFT JOIN ftarget t ON t.symbol = b.symbol AND t.d = b.d LEFT JOIN fq ON fq.symbol = b.symbol AND fq.d = b.d
-  LEFT JOIN (SELECT * FROM fcnt WHERE l = 6) g ON g.s = b.d LEFT JOIN kept k ON k.symbol = b.symbol AND k.d = b.d
+  LEFT JOIN (SELECT * FROM fcnt WHERE l = 6) g ON g.s = b.d LEFT JOIN (SELECT symbol, d, string_agg(code, ',' ORDER BY code) AS events FROM kept4 GROUP BY symbol, d) k ON k.symbol = b.symbol AND k.d = b.d
 )"""
 
 
