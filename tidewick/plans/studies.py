@@ -21,14 +21,14 @@ from .volume import LEVELS_SQL, MINUTES_SQL, SLID_SQL, break_alerts
 
 
 def _holed(spark, sf_dir):
-    """Ticks of which every 97th running total is missing, and every 50th comes twice."""
-    rows = ticks(spark, sf_dir).where("(acc div 100) % 97 <> 0")
-    again = rows.where("(acc div 100) % 50 = 0")
-    return rows.withColumn("arrival", F.lit(0)).unionByName(again.withColumn("arrival", F.lit(1)))
+    """All ticks, each of which comes twice; on even days those of 1,000 report 200 too little, so that the running total has gaps."""
+    short = (F.col("vol") == 1000) & (F.day("d") % 2 == 0)
+    rows = ticks(spark, sf_dir).withColumn("vol", F.when(short, F.col("vol") - 200).otherwise(F.col("vol")))
+    return rows.withColumn("arrival", F.explode(F.array(F.lit(0), F.lit(1))))
 
 
 _HOLED = TICKS_SQL + """,
-holed AS (SELECT *, 0 AS arrival FROM ticks WHERE (acc // 100) % 97 <> 0 UNION ALL SELECT *, 1 FROM ticks WHERE (acc // 100) % 97 <> 0 AND (acc // 100) % 50 = 0),
+holed AS (SELECT * REPLACE (CASE WHEN vol = 1000 AND day(d) % 2 = 0 THEN vol - 200 ELSE vol END AS vol), unnest([0, 1]) AS arrival FROM ticks),
 once AS (SELECT * FROM holed QUALIFY row_number() OVER (PARTITION BY symbol, d, acc ORDER BY arrival) = 1)"""
 
 
@@ -151,14 +151,16 @@ def zone_store_put(spark, sf_dir):
 
 @query(
     """WITH a AS (SELECT symbol, d, sec, round(price, 3) AS price, vol, side, acc, row_number() OVER (PARTITION BY symbol, d, sec, round(price, 3), vol ORDER BY acc, side) AS n FROM ticks),
-    b0 AS (SELECT symbol, d, sec, round(price, 3) AS price, vol, CASE WHEN vol = 300 THEN 'PB' ELSE side END AS side, acc FROM ticks WHERE (acc // 100) % 11 <> 0),
+    b0 AS (SELECT symbol, d, sec, round(CASE WHEN vol = 700 THEN price + 0.05::double ELSE price END, 3) AS price, vol, CASE WHEN vol = 300 THEN 'PB' ELSE side END AS side, acc FROM ticks),
     b AS (SELECT *, row_number() OVER (PARTITION BY symbol, d, sec, price, vol ORDER BY acc, side) AS n FROM b0)
     SELECT concat_ws('/', a.side, coalesce(b.side, '-')) AS pair, count(*) AS n FROM a LEFT JOIN b ON a.symbol = b.symbol AND a.d = b.d AND a.sec = b.sec AND a.price = b.price AND a.vol = b.vol AND a.n = b.n GROUP BY 1""",
     TICKS_SQL,
 )
 def source_reconciliation(spark, sf_dir):
     left = ticks(spark, sf_dir)
-    right = left.where("(acc div 100) % 11 <> 0").withColumn("side", F.when(F.col("vol") == 300, "PB").otherwise(F.col("side")))
+    # the other source has another price for some sizes, and another side for one
+    price = F.when(F.col("vol") == 700, F.col("price") + 0.05).otherwise(F.col("price"))
+    right = left.withColumns({"price": price, "side": F.when(F.col("vol") == 300, "PB").otherwise(F.col("side"))})
     return G.bag_match(left, right)
 
 
