@@ -249,6 +249,8 @@ def yearly_pool(keys: DataFrame, counts: DataFrame, least: int = MIN_POOL) -> Da
 
 #: Rows of a slice of a pool about, groups of a target's paths, and targets that meet a slice in one task about.
 SLICE, GROUPS, TARGETS = 2048, 4, 1024
+#: The moves that a touch is of, and within how many sessions.
+UP, DOWN, TOUCH = math.log(1.05), math.log(0.95), 10
 
 
 def prefixed(rows: DataFrame) -> DataFrame:
@@ -260,7 +262,29 @@ def slices_of(n: Column) -> Column:
     return F.ceil(n / SLICE).cast("long")
 
 
-def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+def doubled_slices_of(n: Column) -> Column:
+    """The least power of two of slices of at most SLICE rows: pools that grow from day to day change it seldom."""
+    full = F.floor((n - 1) / SLICE)
+    return F.when(full < 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(full))).cast("long"))
+
+
+def growing_counts(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """pool_counts of the pools as of each of the sessions first to last (asof), by what each session adds.
+
+    rows: known, the session on which a row's steps are known. A row counts once, on that session (or the
+    first one), so the rows are never copied to the sessions; running sums see one number a pool and session.
+    """
+    ups = [f"up{h}" for h in HORIZONS]
+    gains = [F.sum((F.col("path")[h - 1] > 0).cast("long")).alias(f"up{h}") for h in HORIZONS]
+    added = prefixed(rows.where(F.col("known") <= last)).withColumn("asof", F.greatest(F.col("known"), F.lit(first)))
+    added = added.groupBy("pool", "level", "asof").agg(F.count(F.lit(1)).alias("n"), *gains)
+    pool = Window.partitionBy("pool", "level").orderBy("asof")
+    until = F.coalesce(F.lead("asof").over(pool) - 1, F.lit(last))
+    sums = added.select("pool", "level", "asof", until.alias("__until"), *[F.sum(c).over(pool).alias(c) for c in ("n", *ups)])
+    return sums.select("pool", "level", "n", *[(F.col(c) / F.col("n")).alias(c) for c in ups], F.explode(F.sequence("asof", "__until")).alias("asof"))
+
+
+def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[int, ...] = HORIZONS, touch: bool = False) -> DataFrame:
     """id, h and q5 .. q95: exact percentiles of what blocks of history, drawn at random, give after each horizon.
 
     targets: id, seed, vol20, n and the keys of a pool (asof, pool, level, as members has them); members:
@@ -270,43 +294,63 @@ def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[in
     pool holds, and a task holds one slice and some 1,000 targets: slices that more targets want are
     copied, once for each thousand. Every path is whole blocks of five steps, as long as the farthest horizon
     asks for; its numbers depend on the seed alone. paths is a multiple of GROUPS.
+
+    Pools that grow: members with `known` and targets with `until` (sessions). A target then draws from the
+    rows known until its session, which are the first ones of a slice in the order of (known, symbol, d), so
+    one copy of a pool serves the targets of all sessions. n is the pool's size as of the session; pools whose
+    number of slices doubles meanwhile are held for both numbers.
+
+    touch: adds p_touch, the share of paths that rise by 5 % before they fall by 5 %, within 10 sessions.
     """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     keys = [c for c in ("asof", "pool", "level") if c in members.columns]
-    load = targets.groupBy(*keys).agg(slices_of(F.max("n")).alias("__slices"), F.count(F.lit(1)).alias("__t"))
-    load = F.broadcast(load.select(*keys, "__slices", F.ceil(GROUPS * F.col("__t") / (F.col("__slices") * TARGETS)).alias("__salts")))  # values of six axes, by time
+    grown = ["until"] if "known" in members.columns else []
+    order = ["known", "symbol", "d"] if grown else ["symbol", "d"]
+    targets = targets.withColumn("__slices", (doubled_slices_of if grown else slices_of)(F.col("n")))
+    load = targets.groupBy(*keys, "__slices").agg(F.count(F.lit(1)).alias("__t"))
+    load = F.broadcast(load.select(*keys, F.col("__slices").alias("__slices"), F.ceil(GROUPS * F.col("__t") / (F.col("__slices") * TARGETS)).alias("__salts")))  # values of six axes, by time
     own = members.join(load, keys).withColumn("__slice", seed_of(F.col("symbol"), F.col("d")) % F.col("__slices"))
     own = own.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)))
-    asked = targets.join(load, keys).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    asked = targets.join(load, [*keys, "__slices"]).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
     asked = asked.withColumn("__slice", draw(F.col("seed"), F.col("__g"), F.lit(0), F.col("__slices"), 3)).withColumn("__salt", F.pmod(F.xxhash64("id"), "__salts"))
-    met = [*keys, "__slice", "__salt"]
+    met = [*keys, "__slices", "__slice", "__salt"]
     blocks = max(horizons) // BLOCK
 
     def drawn(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(pc.sort_indices(right.select(["symbol", "d"]), sort_keys=[("symbol", "ascending"), ("d", "ascending")]))
+        right = right.take(pc.sort_indices(right.select(order), sort_keys=[(c, "ascending") for c in order]))
         steps = right["steps"].combine_chunks().flatten().to_numpy().reshape(-1, STEPS)
         seed, vol, group = (left[c].to_numpy()[:, None] for c in ("seed", "vol20", "__g"))
         path = group.astype(np.int64) + GROUPS * np.arange(paths // GROUPS)
         pick = lambda block, n, salt: (seed * 1103515 + path * 7919 + block * 104729 + salt * 15485863) % 2147483647 * 48271 % 2147483647 % n
+        rows = np.searchsorted(right["known"].to_numpy(), left["until"].to_numpy(), side="right")[:, None] if grown else len(steps)
         total, out = np.zeros(path.shape), {}
+        first = [np.full(path.shape, TOUCH + 1) for _ in (UP, DOWN)] if touch else []
         for block in range(blocks):
-            row, start = pick(block, len(steps), 1), pick(block, STEPS - BLOCK + 1, 2)
+            row, start = pick(block, rows, 1), pick(block, STEPS - BLOCK + 1, 2)
             x = np.zeros(path.shape)
             for j in range(BLOCK):
                 x += np.clip(steps[row, start + j] * vol, -CLIP, CLIP)
+                at = block * BLOCK + j
+                if touch and at < TOUCH:
+                    for seen, there in zip(first, (total + x >= UP, total + x <= DOWN)):
+                        seen[there & (seen > at)] = at
             total = total + x
             if (block + 1) * BLOCK in horizons:
                 out[(block + 1) * BLOCK] = total
         ends = pa.array(np.arange(len(left) + 1, dtype=np.int32) * path.shape[1])
-        return pa.table({"id": left["id"], **{f"x{h}": pa.ListArray.from_arrays(ends, pa.array(out[h].ravel())) for h in horizons}})
+        gained = {"touched": pa.array((first[0] < first[1]).sum(axis=1))} if touch else {}
+        return pa.table({"id": left["id"], **{f"x{h}": pa.ListArray.from_arrays(ends, pa.array(out[h].ravel())) for h in horizons}, **gained})
 
     schema = T.StructType([targets.schema["id"], *[T.StructField(f"x{h}", T.ArrayType(T.DoubleType())) for h in horizons]])
-    some = asked.select(*met, "id", "seed", "vol20", "__g").groupBy(*met).cogroup(own.select(*met, "symbol", "d", "steps").groupBy(*met))
+    if touch:
+        schema = schema.add("touched", T.LongType())
+    some = asked.select(*met, "id", "seed", "vol20", "__g", *grown).groupBy(*met).cogroup(own.select(*met, *order, "steps").groupBy(*met))
     some = some.applyInArrow(drawn, schema)
-    every = some.groupBy("id").agg(*[F.sort_array(F.flatten(F.collect_list(f"x{h}"))).alias(f"x{h}") for h in horizons])
+    share = [(F.sum("touched") / paths).alias("p_touch")] if touch else []
+    every = some.groupBy("id").agg(*[F.sort_array(F.flatten(F.collect_list(f"x{h}"))).alias(f"x{h}") for h in horizons], *share)
 
     def at(h: int, q: int) -> Column:
         place = (paths - 1) * q / 100
@@ -314,7 +358,8 @@ def cones(targets: DataFrame, members: DataFrame, paths: int, horizons: tuple[in
         return (F.get(f"x{h}", F.lit(low)) * (1 - part) + F.get(f"x{h}", F.lit(min(low + 1, paths - 1))) * part).alias(f"q{q}")
 
     each = [F.struct(F.lit(h).alias("h"), *[at(h, q) for q in QUANTILES]) for h in horizons]
-    return every.select("id", F.explode(F.array(*each)).alias("z")).select("id", "z.*")
+    kept = ["id", "p_touch"] if touch else ["id"]
+    return every.select(*kept, F.explode(F.array(*each)).alias("z")).select(*kept, "z.*")
 
 
 def daily_cells(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -342,8 +387,8 @@ class Scale:
     def __init__(self, h: int, level: int, s: float = 1.0, session: int = -1, due: list | None = None, hits: list | None = None):
         self.h, self.level, self.s, self.session, self.due, self.hits = h, level, s, session, list(due or []), list(hits or [])
 
-    def day(self, session: int, cells: list[tuple[int, int]]) -> tuple[float, float] | None:
-        """(scale in force, share caught) of the day's cones; None for a day that was seen."""
+    def day(self, session: int, cells: list[tuple[int, int]]) -> tuple[float, float | None] | None:
+        """(scale in force, share caught) of the day's cones; None for a day that was seen, no share for one without returns."""
         if session <= self.session:
             return None
         self.session = session
@@ -351,15 +396,19 @@ class Scale:
             hit = self.due.pop(0)[1]
             self.s = float(round(min(SCALE_HIGH, max(SCALE_LOW, self.s * math.exp(GAMMA * (self.level / 100 - hit)))), 4))
             self.hits = [*self.hits, round(hit, 4)][-WINDOW:]
+        if not cells:
+            return self.s, None
         edge = round(self.s * 10000)
         hit = sum(n for cell, n in cells if cell <= edge) / sum(n for _, n in cells)
         self.due.append((session + self.h, hit))
         return self.s, hit
 
 
-def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFrame:
+def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame, issued: DataFrame | None = None) -> DataFrame:
     """d, h, level, s, hit: the scale in force when each day's cones were issued, and the share that they then caught.
 
+    issued: session, d, h, level of further days, whose returns may not be known yet: they have a scale and no share.
+
     A day's share is known h sessions after it and moves the scale only then, before that day's cones are
     issued. The fold over days of one (h, level) sees the short tables of daily_cells().
     """
@@ -367,10 +416,13 @@ def sequential(cone: DataFrame, real: DataFrame, calendar: DataFrame) -> DataFra
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         scale = Scale(int(frame["h"].iloc[0]), int(frame["level"].iloc[0]))
-        out = [(r.d, scale.h, scale.level, *scale.day(int(r.session), [(c["cell"], c["n"]) for c in r.cells])) for r in frame.sort_values("session").itertuples()]
-        return pd.DataFrame(out, columns=["d", "h", "level", "s", "hit"])
+        out = [(r.d, scale.h, scale.level, *scale.day(int(r.session), [(c["cell"], c["n"]) for c in ([] if r.cells is None else r.cells)])) for r in frame.sort_values("session").itertuples()]
+        return pd.DataFrame(out, columns=["d", "h", "level", "s", "hit"]).astype({"hit": "float64"})
 
-    return daily_cells(cone, real, calendar).groupBy("h", "level").applyInPandas(fold, "d date, h int, level int, s double, hit double")
+    days = daily_cells(cone, real, calendar)
+    if issued is not None:
+        days = days.join(issued, ["session", "d", "h", "level"], "full")
+    return days.groupBy("h", "level").applyInPandas(fold, "d date, h int, level int, s double, hit double")
 
 
 def fit_scale(cone: DataFrame, real: DataFrame, low: float = 0.8, high: float = 3.0, step: float = 0.05) -> DataFrame:

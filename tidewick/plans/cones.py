@@ -228,17 +228,22 @@ def draw_sql(path: str, block: str, salt: int, seed: str = "t.seed") -> str:
     return f"(((({seed} * 1103515 + {path} * 7919 + {block} * 104729 + {salt} * 15485863) % 2147483647) * 48271) % 2147483647)"
 
 
-def sliced_sql(rows: str, keys: str) -> str:
+_SLICES = f"CAST(ceil({{0}}n / {R.SLICE}) AS bigint)"
+#: Slices by powers of two.
+_DOUBLED = f"CASE WHEN ({{0}}n - 1) // {R.SLICE} < 1 THEN 1::bigint ELSE CAST(pow(2, len(bin(CAST(({{0}}n - 1) // {R.SLICE} AS bigint)))) AS bigint) END"
+
+
+def sliced_sql(rows: str, keys: str, slices: str = _SLICES, order: str = "symbol, d") -> str:
     """Rows of pools with their slice, their number in it and its size: rows has the keys, symbol, d and n, the size of the pool."""
     seed = "CAST(('0x' || left(sha1(concat_ws('|', symbol, CAST(d AS varchar))), 8)) AS bigint)"
-    return f"""SELECT *, row_number() OVER (PARTITION BY {keys}, sl ORDER BY symbol, d) - 1 AS row, count(*) OVER (PARTITION BY {keys}, sl) AS m
-  FROM (SELECT *, {seed} % CAST(ceil(n / {R.SLICE}) AS bigint) AS sl FROM {rows})"""
+    return f"""SELECT *, row_number() OVER (PARTITION BY {keys}, sl ORDER BY {order}) - 1 AS row, count(*) OVER (PARTITION BY {keys}, sl) AS m
+  FROM (SELECT *, {seed} % ({slices.format('')}) AS sl FROM {rows})"""
 
 
-def drawn_sql(target: str, slices: str, same: str, paths: int, blocks: int) -> str:
+def drawn_sql(target: str, slices: str, same: str, paths: int, blocks: int, number: str = _SLICES) -> str:
     """Rows of target for each path and block, with the slice, the row in it and the start that they draw; slices: the keys, sl and m, met by `same`."""
     return f"""SELECT t.*, {draw_sql('t.path', 't.block', 1)} % z.m AS row, {draw_sql('t.path', 't.block', 2)} % 16 AS start
-  FROM (SELECT t.*, p.path, b.block, {draw_sql(f'(p.path % {R.GROUPS})', '0', 3)} % CAST(ceil(t.n / {R.SLICE}) AS bigint) AS sl FROM {target} t, range(0, {paths}) AS p(path), range(0, {blocks}) AS b(block)) t
+  FROM (SELECT t.*, p.path, b.block, {draw_sql(f'(p.path % {R.GROUPS})', '0', 3)} % ({number.format('t.')}) AS sl FROM {target} t, range(0, {paths}) AS p(path), range(0, {blocks}) AS b(block)) t
   JOIN {slices} z ON {same} AND z.sl = t.sl"""
 
 
@@ -436,56 +441,101 @@ def maturity_ledger(spark, sf_dir):
 # -- the forecast of the last sessions ---------------------------------------------------------------
 
 #: Sessions that are replayed, and the settings of the alert by probability.
-REPLAYED, P_MIN, N_MIN = 20, 0.58, 200
+REPLAYED, P_MIN, N_MIN = 90, 0.58, 200
 #: The events that give an alert on their day.
 PUSHED = K.CODES
 
 
 def _forecasts(spark, sf_dir, sessions: int):
-    """One row for each symbol with a bar on each of the last sessions: pool, probabilities, cone, alerts; pools hold what was known that day."""
-    frame = once(keyed(spark, sf_dir).withColumns({"known_on": F.lead("d", 20).over(_own()), "before": F.lag("c").over(_own())}))
-    last = frame.select("d").distinct().orderBy(F.desc("d")).limit(sessions)
-    number = F.date_format("d", "yyyyMMdd").cast("int")
-    days = [r["d"] for r in last.orderBy("d").collect()]  # `sessions` dates
-    learn = R.pool_rows(frame).withColumn("on", F.explode(F.array(*[F.lit(d) for d in days]))).where("known_on <= on").withColumn("asof", F.date_format("on", "yyyyMMdd").cast("int"))
-    own = frame.where(F.col("d").isin(days)).withColumn("asof", number)
+    """One row for each symbol with a bar on each of the last sessions: pool, probabilities, cone, alerts; pools hold what was known that day.
+
+    Pools grow by what becomes known on a session: a row is held once, whatever the number of sessions. The
+    scale of the cones begins at 1 and learns of a session's cones ten sessions later, so one session has none.
+    """
+    calendar = once(G.sessions(bars(spark, sf_dir)))
+    last = calendar.count()
+    first = max(1, last - sessions + 1)
+    days = F.broadcast(calendar)  # sessions
+    frame = keyed(spark, sf_dir).withColumns({"known_on": F.lead("d", 20).over(_own()), "before": F.lag("c").over(_own())})
+    frame = frame.join(days, "d").join(days.select(F.col("d").alias("known_on"), F.col("session").alias("known")), "known_on", "left")
+    frame = once(frame)
+    learn = R.pool_rows(frame)
+    own = frame.where(F.col("session") >= first).withColumn("asof", F.col("session"))
     ready = own.where(F.col("vol").isNotNull() & (F.col("vol20") > 0)).select("symbol", "d", "vol20", "asof", *R.AXES)
-    counts = R.yearly_counts(learn)
+    counts = once(R.growing_counts(learn, first, last))
     targets = R.yearly_pool(ready, counts).where("level IS NOT NULL")
-    drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", "asof", "pool", "level", "n")
-    cone = R.cones(drawn, R.prefixed(learn), PATHS, (10,)).select("id.symbol", "id.d", "q10", "q25", "q50", "q90")
+    drawn = targets.select(F.struct("symbol", "d").alias("id"), R.seed_of(F.col("symbol"), F.col("d")).alias("seed"), "vol20", F.col("asof").alias("until"), "pool", "level", "n")
+    cone = R.cones(drawn, R.prefixed(learn), PATHS, (10,)).select("id.symbol", "id.d", "h", *[f"q{q}" for q in R.QUANTILES])
+    if sessions > 1:
+        cone = once(cone)
+        scale = F.broadcast(_carried(bars(spark, sf_dir), cone, calendar, first))  # sessions
+        cone = cone.join(scale, "d")
+        for a, b, s in ((10, 90, "s80"), (25, 75, "s50")):
+            cone = cone.withColumns({f"q{q}": F.col("q50") + F.col(s) * (F.col(f"q{q}") - F.col("q50")) for q in (a, b)})
+    cone = cone.select("symbol", "d", "q10", "q25", "q50", "q90")
     base = counts.where(F.col("level") == len(R.AXES)).select("asof", F.col("up10").alias("base10"))
     hit = K.kept(K.flags(bars(spark, sf_dir))).where(F.col("code").isin(*PUSHED)).groupBy("symbol", "d")
     hit = hit.agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("events"))
     rows = own.select("symbol", "d", "asof", F.col("c").alias("price"), "before", "v").join(targets.select("symbol", "d", "level", "n", "up5", "up10"), ["symbol", "d"], "left")
     rows = rows.join(cone, ["symbol", "d"], "left").join(F.broadcast(base), "asof", "left").join(hit, ["symbol", "d"], "left")  # a row a session
-    return R.forecast_items(rows, P_MIN, N_MIN)
+    out = R.forecast_items(rows, P_MIN, N_MIN)
+    return out.join(scale, "d", "left") if sessions > 1 else out
+
+
+def _carried(closes, cone, calendar, first: int):
+    """d, s50, s80: the scales in force on each session from first on, of cones after 10 sessions of the calendar."""
+    days = F.broadcast(calendar)  # sessions
+    own = closes.select("symbol", "d", "c").join(days, "d").where(F.col("session") >= first)
+    later = own.select("symbol", (F.col("session") - 10).alias("session"), F.col("c").alias("__c"))
+    real = own.join(later, ["symbol", "session"]).select("symbol", "d", F.lit(10).alias("h"), F.ln(F.col("__c") / F.col("c")).alias("ret"))
+    every = calendar.where(F.col("session") >= first).select("session", "d", F.lit(10).alias("h"), F.explode(F.array(*[F.lit(v) for v in R.LEVELS])).alias("level"))
+    scale = R.sequential(cone, real, calendar, every)
+    return scale.groupBy("d").agg(*[F.max(F.when(F.col("level") == v, F.col("s"))).alias(f"s{v}") for v in (50, 80)])
 
 
 def _own():
     return Window.partitionBy("symbol").orderBy("d")
 
 
+#: The scales from session to session, and the cones that they widen.
+_SCALED = """fcal AS MATERIALIZED (SELECT d, row_number() OVER (ORDER BY d) AS z FROM (SELECT DISTINCT d FROM bars)),
+fret AS (SELECT f.d, f.q, ln(b.c / a.c) AS ret FROM fraw f JOIN fcal c ON c.d = f.d JOIN fcal u ON u.z = c.z + 10 JOIN bars a ON a.symbol = f.symbol AND a.d = f.d JOIN bars b ON b.symbol = f.symbol AND b.d = u.d),
+flev AS (SELECT * FROM (VALUES (50, 2, 4), (80, 1, 5)) AS t(level, a, b)),
+fneed AS (SELECT d, level, list(ceil(least(coalesce(CASE WHEN ret >= q[3] THEN (ret - q[3]) / nullif(q[b] - q[3], 0) ELSE (ret - q[3]) / nullif(q[a] - q[3], 0) END, 9.0), 9.0) * 10000)) AS cells FROM fret, flev GROUP BY d, level),
+fdays AS MATERIALIZED (SELECT v.level, s.s AS d, c.z, n.cells, row_number() OVER (PARTITION BY v.level ORDER BY c.z) AS k FROM fs s JOIN fcal c ON c.d = s.s, flev v LEFT JOIN fneed n ON n.d = s.s AND n.level = v.level),
+frun AS MATERIALIZED (WITH RECURSIVE run AS (
+  SELECT level, 0::bigint AS k, 1.0::double AS s, NULL::date AS d, []::double[] AS due, []::bigint[] AS due_at FROM flev
+  UNION ALL
+  SELECT level, k, s, d, CASE WHEN cells IS NULL THEN due[m + 1:] ELSE list_append(due[m + 1:], len(list_filter(cells, lambda x: x <= round(s * 10000))) / len(cells)) END, CASE WHEN cells IS NULL THEN due_at[m + 1:] ELSE list_append(due_at[m + 1:], z + 10) END FROM (
+    SELECT n.level, n.k, n.z, n.d, n.cells, r.due, r.due_at, len(list_filter(r.due_at, lambda x: x <= n.z)) AS m,
+           list_reduce(list_filter(r.due, lambda x, i: r.due_at[i] <= n.z), lambda a, y: round(greatest(0.5::double, least(3.0::double, a * exp(0.05::double * (n.level / 100 - y)))), 4), r.s) AS s
+    FROM run r JOIN fdays n ON n.level = r.level AND n.k = r.k + 1)
+  ) SELECT * FROM run WHERE k > 0),
+fscale AS MATERIALIZED (SELECT d, max(s) FILTER (level = 50) AS s50, max(s) FILTER (level = 80) AS s80 FROM frun GROUP BY d),
+fq AS (SELECT f.symbol, f.d, [q[3] + s80 * (q[1] - q[3]), q[3] + s50 * (q[2] - q[3]), q[3], q[3] + s50 * (q[4] - q[3]), q[3] + s80 * (q[5] - q[3])] AS q FROM fraw f JOIN fscale s ON s.d = f.d),"""
+
+
 def _forecast_sql(sessions: int) -> str:
     return FOUR_SQL + "," + KEYED_SQL[len(FRAME_SQL) + 1 :] + f""",
 fs AS MATERIALIZED (SELECT DISTINCT d AS s FROM bars ORDER BY d DESC LIMIT {sessions}),
 kn AS (SELECT symbol, d, lead(d, 20) OVER (PARTITION BY symbol ORDER BY d) AS known_on FROM bars),
-flearn AS MATERIALIZED (SELECT fs.s, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, k.s5, k.s10 FROM rows_ k JOIN kn ON kn.symbol = k.symbol AND kn.d = k.d, fs, range(0, 7) AS r(lv) WHERE kn.known_on <= fs.s),
+flearn AS MATERIALIZED (SELECT fs.s, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS pool, k.symbol, k.d, kn.known_on, k.s5, k.s10 FROM rows_ k JOIN kn ON kn.symbol = k.symbol AND kn.d = k.d, fs, range(0, 7) AS r(lv) WHERE kn.known_on <= fs.s),
 fcnt AS MATERIALIZED (SELECT s, l, pool, count(*) AS n, avg((s5 > 0)::int) AS up5, avg((s10 > 0)::int) AS up10 FROM flearn GROUP BY ALL),
 ftried AS (SELECT k.symbol, k.d, k.vol20, lv AS l, """ + _PREFIX.format("k.", "climax_y", "lv") + """ AS p FROM keyed k SEMI JOIN fs ON fs.s = k.d, range(0, 7) AS r(lv) WHERE known AND vol20 > 0),
 ftarget AS MATERIALIZED (SELECT t.symbol, t.d, t.vol20, c.l, c.pool, c.n, c.up5, c.up10, CAST(('0x' || left(sha1(concat_ws('|', t.symbol, CAST(t.d AS varchar))), 8)) AS bigint) AS seed
   FROM ftried t JOIN fcnt c ON c.s = t.d AND c.l = t.l AND c.pool = t.p WHERE c.n >= 200 OR c.l = 6 QUALIFY row_number() OVER (PARTITION BY t.symbol, t.d ORDER BY c.l) = 1),
 fstep AS (SELECT symbol, d, list_transform(range(1, 21), lambda j: (ln(nxt[j] / c) - CASE WHEN j = 1 THEN 0 ELSE ln(nxt[j - 1] / c) END) / vol20) AS steps FROM rows_),
-frow AS MATERIALIZED (""" + sliced_sql("(SELECT l.s, l.l, l.pool, l.symbol, l.d, c.n FROM flearn l JOIN fcnt c ON c.s = l.s AND c.l = l.l AND c.pool = l.pool SEMI JOIN ftarget t ON t.d = l.s AND t.l = l.l AND t.pool = l.pool)", "s, l, pool") + """),
+frow AS MATERIALIZED (""" + sliced_sql("(SELECT l.s, l.l, l.pool, l.symbol, l.d, l.known_on, c.n FROM flearn l JOIN fcnt c ON c.s = l.s AND c.l = l.l AND c.pool = l.pool SEMI JOIN ftarget t ON t.d = l.s AND t.l = l.l AND t.pool = l.pool)", "s, l, pool", _DOUBLED, "known_on, symbol, d") + """),
 fslice AS (SELECT s, l, pool, sl, any_value(m) AS m FROM frow GROUP BY ALL),
 fpool AS MATERIALIZED (SELECT r.s, r.l, r.pool, r.sl, r.row, x.steps FROM frow r JOIN fstep x ON x.symbol = r.symbol AND x.d = r.d),
-fdr AS (""" + drawn_sql("ftarget", "fslice", "z.s = t.d AND z.l = t.l AND z.pool = t.pool", PATHS, 2) + """),
+fdr AS (""" + drawn_sql("ftarget", "fslice", "z.s = t.d AND z.l = t.l AND z.pool = t.pool", PATHS, 2, _DOUBLED) + """),
 fx AS (SELECT e.symbol, e.d, e.path, """ + " + ".join(f"greatest(-ln(1.07), least(ln(1.07), p.steps[e.start + {j}] * e.vol20))" for j in range(1, 6)) + """ AS x
   FROM fdr e JOIN fpool p ON p.s = e.d AND p.l = e.l AND p.pool = e.pool AND p.sl = e.sl AND p.row = e.row),
-fq AS (SELECT symbol, d, quantile_cont(x, [0.1, 0.25, 0.5, 0.9]) AS q FROM (SELECT symbol, d, path, sum(x) AS x FROM fx GROUP BY symbol, d, path) GROUP BY symbol, d),
+fraw AS MATERIALIZED (SELECT symbol, d, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM (SELECT symbol, d, path, sum(x) AS x FROM fx GROUP BY symbol, d, path) GROUP BY symbol, d),
+""" + (_SCALED if sessions > 1 else "fq AS (SELECT symbol, d, q FROM fraw),") + """
 item AS (
   SELECT b.symbol, b.d, round(b.c, 4) AS price, round(100 * (b.c / nullif(b.c1, 0) - 1), 2) AS change_pct, t.n IS NOT NULL AS ok, CAST(t.l AS int) AS level, t.n, round(t.up5, 3) AS p5, round(t.up10, 3) AS p10, round(g.up10, 3) AS base10,
-    round(b.c * exp(q[1]), 4) AS q10, round(b.c * exp(q[2]), 4) AS q25, round(b.c * exp(q[3]), 4) AS q50, round(b.c * exp(q[4]), 4) AS q90,
+    round(b.c * exp(q[1]), 4) AS q10, round(b.c * exp(q[2]), 4) AS q25, round(b.c * exp(q[3]), 4) AS q50, round(b.c * exp(q[5]), 4) AS q90,
     coalesce(t.up10 >= 0.58::double AND t.n >= 200 AND q[2] > 0, false) AS alert_p10, k.events IS NOT NULL AS alert_event, coalesce(k.events, '') AS alert_events
   FROM ret b SEMI JOIN fs ON fs.s = b.d LEFT JOIN ftarget t ON t.symbol = b.symbol AND t.d = b.d LEFT JOIN fq ON fq.symbol = b.symbol AND fq.d = b.d
   LEFT JOIN (SELECT * FROM fcnt WHERE l = 6) g ON g.s = b.d LEFT JOIN (SELECT symbol, d, string_agg(code, ',' ORDER BY code) AS events FROM kept4 GROUP BY symbol, d) k ON k.symbol = b.symbol AND k.d = b.d
@@ -497,7 +547,7 @@ def forecast_item(spark, sf_dir):
     return _forecasts(spark, sf_dir, 1)
 
 
-@query("SELECT * FROM item", _forecast_sql(REPLAYED))
+@query("SELECT i.*, round(s.s50, 4) AS s50, round(s.s80, 4) AS s80 FROM item i LEFT JOIN fscale s ON s.d = i.d", _forecast_sql(REPLAYED))
 def forecast_replay(spark, sf_dir):
-    """The forecasts of the last 20 sessions, each by what was known on that day."""
-    return _forecasts(spark, sf_dir, REPLAYED)
+    """The forecasts of the last 90 sessions, each by what was known on that day, with the scale carried from day to day."""
+    return _forecasts(spark, sf_dir, REPLAYED).withColumns({s: F.round(s, 4) for s in ("s50", "s80")})
