@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by_symbol
@@ -69,6 +69,64 @@ def scored_log(found: DataFrame, frame: DataFrame, cones: DataFrame, last: int =
     )
 
 
+def touched(path: Column) -> Column:
+    """Whether a path of cumulative log returns rises by 5 % before it falls by 5 %."""
+
+    def first(hit) -> Column:
+        at = F.array_position(F.transform(F.slice(path, 1, regime.TOUCH), lambda x: hit(F.round(x, 9))), True)
+        return F.when(at == 0, regime.TOUCH + 1).otherwise(at)
+
+    return first(lambda x: x >= round(regime.UP, 9)) < first(lambda x: x <= round(regime.DOWN, 9))
+
+
+def event_scales(rows: DataFrame, low: float = 0.8, high: float = 3.0, step: float = 0.05) -> DataFrame:
+    """code, level, scale, cov_after: the least width of a grid at which cones of events catch a level's share of returns (else the greatest), and the share caught.
+
+    rows: code, ret, q5 .. q95. Rows are met with the 45 widths and counted before they are shuffled.
+    """
+    n = round((high - low) / step)
+    levels = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"q{a}").alias("a"), F.col(f"q{b}").alias("b")) for v, (a, b) in regime.LEVELS.items()])
+    each = rows.select("code", "ret", "q50", F.explode(levels).alias("t")).select("code", "ret", "q50", "t.*")
+    each = each.withColumn("s", F.explode(F.expr(f"transform(sequence(0, {n}), k -> round({low}D + k * {step}D, 2))")))
+    inside = F.col("ret").between(F.col("q50") + F.col("s") * (F.col("a") - F.col("q50")), F.col("q50") + F.col("s") * (F.col("b") - F.col("q50")))
+    cover = each.groupBy("code", "level", "s").agg(F.avg(inside.cast("int")).alias("cov"))
+    fits = F.when(F.col("cov") >= F.col("level") / 100, F.col("s"))
+    return cover.groupBy("code", "level").agg(F.coalesce(F.min(fits), F.lit(high)).alias("scale"), F.coalesce(F.min_by("cov", fits), F.max_by("cov", "s")).alias("cov_after"))
+
+
+def paired_scores(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """Cones of events and of regimes for the same days, scored side by side for each year and code.
+
+    rows: year, code, n_pool, ret, p_touch, hit (whether the real path touched the upper bound first), q5 .. q95
+    of the event's cone and a5 .. a95 of the regime's. Suffixes: ev, app, and wide for the event's cone
+    widened by scales (code, level, scale). pin: mean pinball loss of the seven quantiles, in per cent.
+    """
+    wide = scales.groupBy("code").pivot("level", list(regime.LEVELS)).agg(F.first("scale"))
+    rows = rows.join(F.broadcast(wide), "code")  # a row a code
+    widened = {"w50": F.col("q50")}
+    for level, pair in regime.LEVELS.items():
+        widened |= {f"w{q}": F.col("q50") + F.col(f"`{level}`") * (F.col(f"q{q}") - F.col("q50")) for q in pair}
+    rows = rows.withColumns(widened)
+
+    def pinball(x: str) -> Column:
+        loss = [F.greatest(q / 100 * (F.col("ret") - F.col(f"{x}{q}")), (q / 100 - 1) * (F.col("ret") - F.col(f"{x}{q}"))) for q in regime.QUANTILES]
+        return F.avg(sum(loss[1:], loss[0]) / len(loss)) * 100
+
+    kinds = {"ev": "q", "app": "a", "wide": "w"}
+    hit = F.col("hit").cast("int")
+    return rows.groupBy("year", "code").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("n_pool").alias("n_pool"),
+        *[F.avg(F.col("ret").between(F.col(f"{x}10"), F.col(f"{x}90")).cast("int")).alias(f"cov80_{k}") for k, x in kinds.items()],
+        *[pinball(x).alias(f"pin_{k}") for k, x in kinds.items()],
+        *[F.avg(F.exp(f"{x}50") - 1).alias(f"med_{k}") for k, x in kinds.items() if k != "wide"],
+        F.avg(F.exp("ret") - 1).alias("real_mean"),
+        F.avg("p_touch").alias("touch_ev"),
+        F.avg(hit).alias("touch_real"),
+        F.avg(F.pow(F.col("p_touch") - hit, 2)).alias("brier_touch"),
+    )
+
+
 def history(days: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
     """days with n_alerts, cov5 and cov10: events of the day, and the share that its cones of 80 % caught after 5 and 10 sessions."""
     alerts = found.groupBy("d").agg(F.count(F.lit(1)).alias("n_alerts"))
