@@ -36,3 +36,17 @@ def test_whole_pools_give_what_slices_give(tables, monkeypatch, grown):
 def test_paths_are_not_shuffled(tables):
     plan = regime.cones(*tables, 40)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # targets and pools
+
+
+def test_rows_of_unwanted_prefixes_stay_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with sizes that Spark does not know
+    axes = ", ".join(f"{a} string" for a in regime.AXES)
+    rows = spark.createDataFrame([("A", dt.date(2020, 1, k + 1), [0.5] * regime.STEPS, "low" if k % 2 else "high", *["no"] * 5) for k in range(8)], f"symbol string, d date, steps array<double>, {axes}")
+    wanted = spark.createDataFrame([("low", 5)], "pool string, level int")
+    out = regime.next_row(rows, wanted.unionByName(wanted))
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan.splitlines())
+        assert sorted(r["row"] for r in out.collect()) == [0, 1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
