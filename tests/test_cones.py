@@ -7,7 +7,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewick.operators import regime
+from tidewick import catalogue
+from tidewick.operators import ledger, regime
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +51,29 @@ def test_rows_of_unwanted_prefixes_stay_where_they_are(spark):
         assert sorted(r["row"] for r in out.collect()) == [0, 1, 2, 3]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_pool_is_copied_for_twice_its_rows():
+    assert [regime.copies(t, 80_000) for t in (1, 90_000, 160_000, 160_001)] == [1, 1, 1, 2]
+    assert regime.copies(regime.LEAST_TARGETS + 1, 10) == 2
+
+
+@pytest.mark.parametrize("name", ["scored_cones", "cone_hits", "pinball_loss", "coverage_by_level", "scale_fit", "maturity_ledger"])
+def test_cones_are_not_shuffled_for_what_came(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and ("ret" in line or "symbol" in line) and "Inner" in line for line in plan.split("FlatMapCoGroupsInArrow")[0].splitlines())
+
+
+def test_returns_over_sessions_are_those_of_a_join_with_closes(spark):
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    bars = spark.createDataFrame([(f"S{s}", day(k), 20.0 + (k * 7 + s * 3) % 11) for s in range(4) for k in range(40) if (k + s) % 6], "symbol string, d date, c double")
+    calendar = ledger.sessions(bars)
+    quantiles = [F.lit((q - 50) / 200.0).alias(f"q{q}") for q in regime.QUANTILES]
+    horizon = F.explode(F.array(*[F.lit(h) for h in regime.HORIZONS])).alias("h")
+    cones = bars.select("symbol", "d", horizon, *quantiles)
+    rows = ledger.session_returns(bars, calendar, regime.HORIZONS)
+    ret = F.coalesce(*[F.when(F.col("h") == h, F.col(f"sr{h}")) for h in regime.HORIZONS]).alias("ret")
+    carried = ledger.matured(rows.select("symbol", "d", *[f"sr{h}" for h in regime.HORIZONS], horizon, *quantiles).select("*", ret), None, calendar, 1, 40)
+    listed = lambda x: sorted(tuple(r) for r in x.select("d", "h", "level", "n", "hit", "scored_on").collect())
+    assert listed(carried) == listed(ledger.matured(cones, bars, calendar, 1, 40))
+    assert listed(ledger.between(carried, calendar, 12, 20)) == listed(ledger.matured(cones, bars, calendar, 12, 20)) != []
