@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from tidewick.operators import reports, zones
+from tidewick.operators import phases, reports, structure, zones
 
 
 def test_new_whale_pairs_are_those_of_two_rankings_and_levels_are_sorted_once(spark):
@@ -20,5 +20,27 @@ def test_new_whale_pairs_are_those_of_two_rankings_and_levels_are_sorted_once(sp
         had = {r["symbol"] for r in before.collect()}
         want += [(r["symbol"], w, r["buy_p"], r["sell_p"]) for r in now.collect() if r["symbol"] not in had]
     out = reports.new_whale_pairs(levels, (2, 4), 1.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
     assert sorted(tuple(r) for r in out.collect()) == sorted(want) != []
-    assert out._jdf.queryExecution().executedPlan().toString().count("Window [") <= 1
+
+
+def test_blocks_are_found_without_a_join_and_are_those_of_searches(spark):
+    deal = random.Random(11)
+    rows, day = [], dt.date(2022, 1, 1)
+    for s in range(4):
+        c = 20.0
+        for k in range(400):
+            o, c = c, round(c * (1 + deal.uniform(-0.04, 0.04)), 4)
+            rows.append((f"S{s}" if s else None, day + dt.timedelta(k), o, max(o, c) * 1.005, min(o, c) * 0.995, c, 1000, 0.4))
+    bars = spark.createDataFrame(rows, "symbol string, d date, o double, h double, l double, c double, v long, atr double")
+    out = structure.order_blocks(bars, broken=True)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    listed = lambda x: sorted(map(repr, (tuple(r) for r in x.select("symbol", "k", "m", "lo", "hi", "bull", "touch", "brk_close", "brk").collect())))
+    got = listed(out)
+    assert got == listed(structure.breakers(structure.order_blocks(bars), bars)) and len(got) > 20 and not any(x.startswith("(None") for x in got)
+    assert any(not x.endswith("None)") for x in got)
+
+
+def test_a_walk_is_walked_once_for_its_signals(spark):
+    walked = spark.createDataFrame([], "symbol string, t int, at int, d date, id string, vol_ratio double, lo double, hi double, stop double, target double, target_ext double, state string")
+    assert "Join" not in phases.signals(walked)._jdf.queryExecution().analyzed().toString()
