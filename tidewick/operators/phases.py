@@ -421,9 +421,9 @@ def _meta(name: str, at: int):
 
 def signals(walked: DataFrame) -> DataFrame:
     """symbol, rank, id, direction, priority, at, d: what was found at each symbol's last bar, labels apart, the most reliable first."""
-    last = walked.where("state IS NOT NULL").select("symbol", F.col("at").alias("__last"))
-    own = events(walked).withColumns({"direction": _meta("id", 0), "priority": _meta("id", 1)}).where("direction <> 'label'")
-    own = own.join(last, "symbol").where(F.col("at") == F.col("__last"))
+    last = F.max(F.when(F.col("state").isNotNull(), F.col("at"))).over(Window.partitionBy("symbol"))  # a join would walk twice
+    own = events(walked.where("symbol IS NOT NULL").withColumn("__last", last)).where(F.col("at") == F.col("__last"))
+    own = own.withColumns({"direction": _meta("id", 0), "priority": _meta("id", 1)}).where("direction <> 'label'")
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy("priority", "t"))
     return own.select("symbol", rank.alias("rank"), "id", "direction", "priority", "at", "d")
 
