@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from tidewick.operators import phases, reports, structure, zones
+from tidewick.operators import flow, phases, reports, structure, zones
 
 
 def test_new_whale_pairs_are_those_of_two_rankings_and_levels_are_sorted_once(spark):
@@ -44,3 +44,15 @@ def test_blocks_are_found_without_a_join_and_are_those_of_searches(spark):
 def test_a_walk_is_walked_once_for_its_signals(spark):
     walked = spark.createDataFrame([], "symbol string, t int, at int, d date, id string, vol_ratio double, lo double, hi double, stop double, target double, target_ext double, state string")
     assert "Join" not in phases.signals(walked)._jdf.queryExecution().analyzed().toString()
+
+
+def test_chains_of_all_passes_are_found_without_a_join(spark):
+    def beat(start, n, gap, vol):
+        return [("A", dt.date(2024, 1, 2), start + k * gap, "B", vol, 30.0 + k) for k in range(n)]
+
+    rows = [(s, d, i, *x) for i, (s, d, *x) in enumerate(beat(1000, 8, 400, 700) + beat(20000, 7, 60, 900) + beat(20010, 3, 350, 900) + beat(40000, 9, 100, 800))]
+    orders = spark.createDataFrame(rows, "symbol string, d date, i long, sec int, side string, vol long, price double")
+    out = flow.chains(orders)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r["size"], r["rule"], r["n"], r["first"], r["last"]) for r in out.collect())
+    assert (700, 0, 8, 1000, 3800) in found and (800, 0, 9, 40000, 40800) in found and len(found) == len({r[0] for r in found})

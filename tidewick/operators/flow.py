@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.rolling import true
+
 MIN_ORDERS = 100
 MIN_SIZE = 500
 #: (longest gap in seconds, fewest orders) of the two passes that look for a steady beat, and of the last one, for even gaps.
@@ -54,52 +56,68 @@ def segments(orders: DataFrame, gap: int) -> DataFrame:
 _SEGMENT = ("symbol", "d", "side", "vol", "seg")
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """One row per segment: n, first, last, cv of its gaps, the share of gaps on the beat and missed beats.
+def on_beat(rows: DataFrame) -> DataFrame:
+    """segments with beat, their median gap, good and missed: whether a gap is on the beat, and how many beats it left out.
 
-    The beat is the median gap; a gap of one to three beats within TOLERANCE of a beat is on it.
+    A gap of one to three beats within TOLERANCE of a beat is on it.
     """
     beat = F.percentile("gap", F.lit(0.5)).over(Window.partitionBy(*_SEGMENT))
     rows = rows.withColumn("beat", beat)
     times = F.rint(F.col("gap") / F.nullif(F.col("beat"), F.lit(0.0)))
     good = times.between(1, 3) & (F.abs(F.col("gap") - times * F.col("beat")) <= TOLERANCE * F.col("beat"))
-    rows = rows.withColumns({"good": F.coalesce(good, F.lit(False)).cast("int"), "missed": F.when(good, times - 1).otherwise(0)})
-    mean = F.avg("gap")
-    return rows.groupBy(*_SEGMENT).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("sec").alias("first"),
-        F.max("sec").alias("last"),
-        F.avg("price").alias("avg_price"),
-        F.when(mean > 0, F.stddev_pop("gap") / mean).otherwise(9.0).alias("cv"),
-        F.first("beat").alias("beat"),
-        F.sum("good").alias("good"),
-        F.sum("missed").cast("long").alias("missed"),
-        F.count("gap").alias("gaps"),
-        F.collect_list("price").alias("prices"),
-    )
+    return rows.withColumns({"good": F.coalesce(good, F.lit(False)).cast("int"), "missed": F.when(good, times - 1).otherwise(0)})
+
+
+def _cv(own: WindowSpec | None = None) -> Column:
+    over = lambda x: x if own is None else x.over(own)
+    return F.when(over(F.avg("gap")) > 0, over(F.stddev_pop("gap")) / over(F.avg("gap"))).otherwise(9.0)
+
+
+def _measures() -> dict[str, Column]:
+    """Of a segment: n, first, last, cv of its gaps, the share of gaps on the beat and missed beats."""
+    return {
+        "n": F.count(F.lit(1)),
+        "first": F.min("sec"),
+        "last": F.max("sec"),
+        "avg_price": F.avg("price"),
+        "cv": _cv(),
+        "beat": F.first("beat"),
+        "good": F.sum("good"),
+        "missed": F.sum("missed").cast("long"),
+        "gaps": F.count("gap"),
+        "prices": F.collect_list("price"),
+    }
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """One row per segment with what _measures() tells of it."""
+    return on_beat(rows).groupBy(*_SEGMENT).agg(*[how.alias(name) for name, how in _measures().items()])
 
 
 def chains(orders: DataFrame, min_size: int = MIN_SIZE, steady=STEADY, even=EVEN) -> DataFrame:
     """symbol, d, side, size, rule, n, first, last, cv, missed, avg_price, prices: orders of one exact size at a steady beat.
 
     Three passes over the orders of a size: segments of the long gap, then of the short one, then even
-    ones. A later segment with any order that an earlier pass used is out.
+    ones. A later segment with any order that an earlier pass used is out. All passes are windows over the orders
+    of a symbol's day, side and size, so orders are made and dealt once.
     """
-    own = orders.where(F.col("vol") >= min_size)
-    keys = ["symbol", "d", "side", "vol"]
-    passes = [(gap, (F.col("n") >= n) & (F.col("beat") > 0) & (F.col("good") >= SHARE * F.col("gaps"))) for gap, n in steady]
-    passes.append((even[0], (F.col("n") >= even[1]) & (F.col("cv") < even[2])))
-    found, used = None, None
+    rows = orders.where(F.col("vol") >= min_size).withColumn("__used", F.lit(False))
+    passes = [(gap, lambda x, n=n: (x("n") >= n) & (x("beat") > 0) & (x("good") >= SHARE * x("gaps"))) for gap, n in steady]
+    passes.append((even[0], lambda x: (x("n") >= even[1]) & (x("cv") < even[2])))
+    hits = []
     for k, (gap, rule) in enumerate(passes):
-        rows = segments(own, gap)
-        hits = measured(rows).where(rule)
-        if used is not None:
-            taken = rows.join(used, [*keys, "i"], "left_semi").select(*_SEGMENT).distinct()
-            hits = hits.join(taken, list(_SEGMENT), "left_anti")
-        now = rows.join(hits.select(*_SEGMENT), list(_SEGMENT), "left_semi").select(*keys, "i")
-        used = now if used is None else used.unionByName(now)
-        hits = hits.withColumn("rule", F.lit(k))
-        found = hits if found is None else found.unionByName(hits)
+        rows = on_beat(segments(rows, gap))
+        own = Window.partitionBy(*_SEGMENT)
+        of = {name: how.over(own) for name, how in _measures().items() if name in ("n", "good", "gaps")} | {"cv": _cv(own), "beat": F.col("beat")}
+        taken = F.max("__used").over(own)
+        rows = rows.withColumns({"__rule": true(rule(of.get)), "__taken": taken}).withColumn("__hit", F.col("__rule") & ~F.col("__taken"))
+        kept = F.struct(F.lit(k).alias("rule"), *[F.col(c).alias(c) for c in ("seg", "gap", "beat", "good", "missed")])
+        rows = rows.withColumn(f"__{k}", F.when(F.col("__hit"), kept))
+        met = F.col("symbol").isNotNull() & F.col("d").isNotNull()  # else it is equal to nothing
+        rows = rows.withColumn("__used", F.col("__used") | (F.col("__hit") & met)).drop("seg", "gap", "beat", "good", "missed", "__rule", "__taken", "__hit")
+        hits.append(f"__{k}")
+    found = rows.select("symbol", "d", "side", "vol", "sec", "price", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("*", "x.*")
+    found = found.groupBy(*_SEGMENT, "rule").agg(*[how.alias(name) for name, how in _measures().items()])
     return found.select("symbol", "d", "side", F.col("vol").alias("size"), "rule", "n", "first", "last", "cv", "missed", "avg_price", "prices")
 
 
