@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from tidewick.operators import flow, phases, reports, structure, zones
+from tidewick.operators import flow, phases, regime, reports, structure, zones
 
 
 def test_new_whale_pairs_are_those_of_two_rankings_and_levels_are_sorted_once(spark):
@@ -56,3 +56,15 @@ def test_chains_of_all_passes_are_found_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     found = sorted((r["size"], r["rule"], r["n"], r["first"], r["last"]) for r in out.collect())
     assert (700, 0, 8, 1000, 3800) in found and (800, 0, 9, 40000, 40800) in found and len(found) == len({r[0] for r in found})
+
+
+def test_pools_of_years_count_a_row_once(spark):
+    deal = random.Random(3)
+    axes = ", ".join(f"{a} string" for a in regime.AXES)
+    rows = [(dt.date(2018, 1, 1) + dt.timedelta(deal.randrange(1400)), [deal.uniform(-1, 1) for _ in range(regime.STEPS)], deal.choice(["low", "high"]), *["no"] * 5) for _ in range(300)]
+    own = spark.createDataFrame(rows, f"d date, path array<double>, {axes}")
+    got = {(r["asof"], r["pool"]): (r["n"], r["up5"]) for r in regime.yearly_counts(own, [2021, 2019, 2020]).where("level = 5").collect()}
+    for y in (2019, 2020, 2021):
+        for vol in ("low", "high"):
+            paths = [r[1] for r in rows if r[0] < dt.date(y, 1, 1) - dt.timedelta(35) and r[2] == vol]
+            assert got[y, vol] == (len(paths), sum(p[4] > 0 for p in paths) / len(paths))
