@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from tidewick.operators import flow, phases, regime, reports, structure, zones
+from pyspark.sql import functions as F
+
+from tidewick.functions.rolling import Together, roll
+from tidewick.operators import conditional, features, flow, phases, regime, reports, structure, trend, zones
 
 
 def test_new_whale_pairs_are_those_of_two_rankings_and_levels_are_sorted_once(spark):
@@ -68,3 +71,25 @@ def test_pools_of_years_count_a_row_once(spark):
         for vol in ("low", "high"):
             paths = [r[1] for r in rows if r[0] < dt.date(y, 1, 1) - dt.timedelta(35) and r[2] == vol]
             assert got[y, vol] == (len(paths), sum(p[4] > 0 for p in paths) / len(paths))
+
+
+def test_values_made_in_one_pass_are_those_of_windows(spark):
+    deal = random.Random(5)
+    rows = [(f"S{s}", dt.date(2020, 1, 1) + dt.timedelta(k), 1.0, 2.0, 0.5, round(deal.uniform(1, 3), 2), deal.randrange(9), None if k in (0, 47) else round(deal.uniform(0, 1), 1)) for s in range(2) for k in range(90)]
+    own = spark.createDataFrame([*rows, ("short", *rows[0][1:])], "symbol string, d date, o double, h double, l double, c double, v long, x double")
+    asked = [(F.avg, "v", 20, 0), (F.sum, "x", 12, 1), (F.max, "c", 20, 1), (F.min, F.abs(F.col("c") - 2), 30, 3), (F.max, "c", 3, 0)]
+    together = Together()
+    for a in asked:
+        together(*a)
+    assert len(together.windows()) == 4  # a short window stays a window
+    out = trend.columns(own, ranked={"x": 25}, together=together).join(features.with_rank(own.withColumnRenamed("x", "vol20"), 25).select("symbol", "d", "vol20_rank"), ["symbol", "d"])
+    out = out.join(own.select("symbol", "d", "x").withColumnRenamed("x", "__x"), ["symbol", "d"])
+    got = out.select("x_rank", "vol20_rank", *[together(*a).alias(f"a{i}") for i, a in enumerate(asked)], *[roll(*a).alias(f"b{i}") for i, a in enumerate(asked)]).collect()
+    assert len(got) == 181 and sum(r["x_rank"] is not None for r in got) > 20
+    for r in got:
+        assert r["x_rank"] == r["vol20_rank"] and all(r[f"a{i}"] == r[f"b{i}"] for i in range(len(asked)))
+
+
+def test_bars_of_events_are_flagged_without_a_join(spark):
+    bars = spark.createDataFrame([], "symbol string, d date, o double, h double, l double, c double, v long")
+    assert "Join" not in conditional.flags(bars)._jdf.queryExecution().analyzed().toString()

@@ -56,3 +56,10 @@ def test_replay_equals_one_day_runs(spark, monkeypatch):
     for symbol, r in one.items():
         for k, v in r.items():
             assert some[symbol][k] == (pytest.approx(v, abs=1.1e-4) if isinstance(v, float) else v), (symbol, k)
+
+
+def test_a_forecast_walks_the_trades_once(spark, monkeypatch):
+    own, calls = cones.bars, []
+    monkeypatch.setattr(cones, "bars", lambda spark, sf_dir: calls.append(1) or own(spark, sf_dir))
+    cones._forecasts(spark, SF, 8)
+    assert len(calls) == 1
