@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,9 @@ def test_a_forecast_walks_the_trades_once(spark, monkeypatch):
     monkeypatch.setattr(cones, "bars", lambda spark, sf_dir: calls.append(1) or own(spark, sf_dir))
     cones._forecasts(spark, SF, 8)
     assert len(calls) == 1
+
+
+def test_a_pool_is_dealt_once_for_all_sessions_with_its_number_of_slices():
+    until, slices = np.array([5, 3, 4, 5, 3]), np.array([4, 2, 2, 4, 2])
+    assert sorted(sorted(x.tolist()) for x in regime._deals(until, slices, True)) == [[0, 3], [1, 2, 4]]
+    assert sorted(sorted(x.tolist()) for x in regime._deals(until, slices, False)) == [[0, 3], [1, 4], [2]]
