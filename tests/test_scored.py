@@ -103,3 +103,26 @@ def test_pools_are_looked_up_once(spark):
     targets, _ = cones._scored(spark, SF)
     plan = targets._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
     assert plan.count("Join") == 1
+
+
+def test_rows_and_regimes_share_one_walk(spark, monkeypatch):
+    from tidewick.plans import studies
+
+    calls, own = [], cones.bars
+    for module in (cones, studies):
+        monkeypatch.setattr(module, "bars", lambda spark, sf_dir: calls.append(1) or own(spark, sf_dir))
+    studies.direction_baselines(spark, SF)
+    assert len(calls) == 1
+
+
+def test_trees_get_no_flag_that_no_row_has(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from tidewick.operators import evaluate
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=4 * k) for k in range(180)]
+    rows = [(d, k % 3 == 0, 0.5, float(k % 6), None if k % 7 == 0 else 1.0 * k) for k, d in enumerate(days)]
+    sizes, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, train: (sizes.append(train.first()["features"].size), fit(self, train))[1])
+    out = evaluate.walk_forward(spark.createDataFrame(rows, "d date, y5 boolean, p5 double, f double, g double"), ("f", "g"), (5,), least=10, rounds=2)
+    assert out.count() == len(sizes) == 1 and sizes == [3]  # f, g, and whether g is missing
