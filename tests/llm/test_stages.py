@@ -124,3 +124,36 @@ def test_pieces_of_repeated_rows_and_marks(spark):
     docs = spark.createDataFrame([(1, "a▁b"), (1, "a▁b"), (None, "a b"), (2, None)], "doc_id long, text string").withColumn("ids", F.lit(1))
     out = [(r["doc_id"], tuple(r["ids"]), r["text"]) for r in sentencepieces.decode(sentencepieces.encode(docs)).collect()]
     assert len({i for d, i, _ in out if d != 2}) == 1 and {t for d, _, t in out if d != 2} == {"a b"} and (2, (), "") in out
+
+
+def _families(spread: int, edits: tuple[int, ...], n: int):
+    rnd = random.Random(23)
+    words = [f"w{i}" for i in range(400)]
+    data = []
+    for f in range(3):
+        base = [rnd.choice(words) for _ in range(90)]
+        for i in range(n):
+            copy = base[rnd.randrange(spread) :]
+            for _ in range(rnd.choice(edits)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            data.append((f * 1000 + i, " ".join(copy)))
+    return data
+
+
+@pytest.mark.parametrize("edits", [(0, 1), (1, 2, 3), (2, 3, 4, 5)])
+def test_what_is_connected_is_not_opened_again(spark, monkeypatch, edits):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    rows, own = [], ngram_jaccard.opened
+    monkeypatch.setattr(ngram_jaccard, "opened", lambda docs, jobs: rows.append(jobs.count()) or own(docs, jobs))
+    data = _families(4, edits, 40)
+    out = ngram_jaccard.link_components(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute.components(data)
+    if edits == (0, 1):  # near copies meet in the first round: a document is in few jobs, not in one for each of the ten blocks of its group
+        assert rows[0] <= 4 * len(data) and sum(rows) <= 5 * len(data)
+
+
+def test_texts_that_no_group_opens_are_not_shuffled(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    jobs = spark.createDataFrame([(k, b"d", (1, 0, 0), 0) for k in (7, 99)], "doc_id long, digest binary, job struct<home:long,i:int,j:int>, side int")
+    plan = ngram_jaccard.opened(docs, jobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "__w" in line for line in plan.splitlines())
